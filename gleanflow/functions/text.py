@@ -11,7 +11,12 @@ BLANK_CODES = (
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
 )
 BLANKS = "".join(map(chr, BLANK_CODES))
-BLANK_CLASS = "".join(rf"\x{{{code:X}}}" for code in BLANK_CODES)  # also valid in RE2
+# The same set for a Java character class: ASCII blanks are looked up in a bit set, and one range
+# test rules out most other characters before the full list is tried.
+BLANK_CLASS = (
+    r"\t\n\x0B\f\r [\x{A0}-\x{FEFF}&&[\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]"
+)
 
 # The noise blocks and the named entities that are cleaned, in this order.
 NOISE_TAGS = ("script", "style", "noscript")
@@ -74,10 +79,21 @@ def strip_tags(html: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    decoded = text
-    for entity, char in ENTITIES:
-        decoded = F.regexp_replace(decoded, f"(?i){entity}", char)
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    def decode(entities: tuple) -> Column:
+        decoded = text
+        for entity, char in entities:
+            decoded = F.regexp_replace(decoded, f"(?i){entity}", char)
+        return decoded
+
+    # Decoding an ampersand can complete another entity, so the order is part of the result.
+    # Most texts only hold ampersands; one look for the other names saves their passes.
+    ampersand = tuple(pair for pair in ENTITIES if pair[0] == "&amp;")
+    others = "|".join(pair[0][1:-1] for pair in ENTITIES if pair not in ampersand)
+    return (
+        F.when(~F.contains(text, F.lit("&")), text)
+        .when(F.rlike(text, F.lit(f"(?i)&(?:amp;)*(?:{others});")), decode(ENTITIES))
+        .otherwise(decode(ampersand))
+    )
 
 
 def html_text(html: Column) -> Column:

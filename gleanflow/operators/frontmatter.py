@@ -20,7 +20,7 @@ HEAD = r"\A---[ \t]*\r?\n([\s\S]*?)\r?\n---[ \t]*\r?\n?"
 QUOTED = r"""(?s:"(?:\\.|[^"\\])*+(?:"|\\?\z)|'[^']*+(?:'|\z))"""
 FLAT_GROUP = rf"""[\[{{](?:{QUOTED}|[^"'\[\]{{}}])*+[\]}}]"""
 GROUP = rf"""[\[{{](?:{QUOTED}|[^"'\[\]{{}}]|{FLAT_GROUP})*+[\]}}]"""
-BEFORE_COMMENT = rf"""\A((?:{QUOTED}|[^"'#]|(?<=[^{BLANK_CLASS}])#)*+)"""
+BEFORE_COMMENT = rf"""\A((?:{QUOTED}|[^"'#]|(?<![{BLANK_CLASS}]|\A)#)*+)"""
 KEY = rf"""\A(?:{QUOTED}|[^"'\[\]{{}}:]|{GROUP}|:(?![ \t]|\z))*+:(?=[ \t]|\z)"""
 FLOW_ITEM = rf"""(?:{QUOTED}|{GROUP}|[^,"'\[\]{{}}])++"""
 NUMBER = r"\A-?[0-9]+(\.[0-9]+)?\z"
@@ -32,6 +32,7 @@ ESCAPES = (("n", "\n"), ("r", "\r"), ("t", "\t"))
 # --------------------------------------------------------------------------------
 
 _LEAF = "struct<path:array<string>,value:string,value_type:string,line:int>"
+_LINES = "array<struct<line:int,indent:int,tab:boolean,raw:string,content:string>>"
 _STATE = (
     "struct<stack:array<struct<kind:string,indent:int,path:array<string>,items:int>>,"
     "open:struct<path:array<string>,kind:string,indent:int,line:int>,"
@@ -181,7 +182,7 @@ def _mapping_entries(inner: Column, path: Column) -> Column:
     )
 
 
-def _scalar_leaves(text: Column, path: Column, line: Column, nesting: int = 3) -> Column:
+def _scalar_leaves(text: Column, path: Column, line: Column, nesting: int = 2) -> Column:
     """Leaves of one value. Failures are leaves of type ``error``."""
 
     def error(reason: Column) -> Column:
@@ -600,21 +601,19 @@ def _parse_lines(lines: Column) -> Column:
 @lru_cache(maxsize=4)
 def _parsed_lines(application_id: str) -> Column:
     """The fold over the column ``_lines``; its many nodes are built once per application."""
-    return F.when(F.col("_doc.block").isNotNull(), _parse_lines(F.col("_lines")))
+    lines = F.coalesce(F.col("_lines"), F.array().cast(_LINES))
+    return _let(lines, _parse_lines)
 
 
 def parse_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``body``, ``leaves`` and ``error`` (null when the block was read)."""
     split = docs.withColumn("_doc", split_document(F.col(text)))
-    lines = split.withColumn("_lines", block_lines(F.col("_doc.block")))
-    application = docs.sparkSession.sparkContext.applicationId
-    parsed = lines.withColumn("_parsed", _parsed_lines(application))
-    return parsed.select(
-        *docs.columns,
-        F.col("_doc.body").alias("body"),
-        F.coalesce(F.col("_parsed.leaves"), F.array().cast(f"array<{_LEAF}>")).alias("leaves"),
-        F.col("_parsed.error").alias("error"),
+    lines = split.select(
+        *docs.columns, F.col("_doc.body").alias("body"), block_lines(F.col("_doc.block")).alias("_lines")
     )
+    parsed = _parsed_lines(docs.sparkSession.sparkContext.applicationId)
+    # A generator and not a projection: filters above must not copy the fold below themselves.
+    return lines.select(*docs.columns, "body", F.inline(F.array(parsed)))
 
 
 def key_path(path: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,15 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(cores, *keys)
 
 
+def computed(df: DataFrame, *columns: Column) -> DataFrame:
+    """Adds expensive columns that must be evaluated once per row.
+
+    A filter on a plain projected column is pushed below the projection together with a copy of
+    the expression. Generated columns stay where they are.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def salted_join(
     many: DataFrame,
     one: DataFrame,

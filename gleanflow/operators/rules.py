@@ -15,9 +15,24 @@ from pyspark.sql import functions as F
 from gleanflow.contract import CAPTURE_VERSION, DEFAULT_TIMEOUT_MS, FILE_LEVELS, PRIVACY_LEVELS, PUSH_LEVELS, TARGET_KINDS
 from gleanflow.functions.text import blank_to_null, trim_blanks, utf16_length
 from gleanflow.functions.urls import is_absolute_uri, is_web_url
+from gleanflow.operators.layout import computed
 
 _ERRORS = "array<string>"
-_NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
+# Variant type names and the JSON type they stand for.
+_JSON_TYPES = {
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "STRING": "string",
+    "BOOLEAN": "boolean",
+    "VOID": "null",
+    "BIGINT": "number",
+    "DECIMAL": "number",
+    "DOUBLE": "number",
+    "FLOAT": "number",
+    "INT": "number",
+    "SMALLINT": "number",
+    "TINYINT": "number",
+}
 
 
 # --- variant helpers ---------------------------------------------------------------
@@ -25,15 +40,8 @@ _NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT"
 
 def json_class(value: Column) -> Column:
     """``object, array, string, number, boolean, null`` of a variant; null when missing."""
-    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    return (
-        F.when(kind == "OBJECT", "object")
-        .when(kind == "ARRAY", "array")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind == "VOID", "null")
-        .when(kind.isin(*_NUMBERS), "number")
-    )
+    names = F.create_map(*[F.lit(text) for pair in _JSON_TYPES.items() for text in pair])
+    return F.try_element_at(names, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
 
 
 def member(value: Column, key: str) -> Column:
@@ -294,7 +302,7 @@ def capture_rejects(documents: DataFrame, key: str, capture: str, version: str =
     problem = F.when(F.col("_value").isNull(), "not valid JSON").otherwise(
         capture_problem(F.col("_value"), version)
     )
-    return parsed.select(key, problem.alias("problem")).where(F.col("problem").isNotNull())
+    return computed(parsed, problem.alias("problem")).select(key, "problem").where(F.col("problem").isNotNull())
 
 
 # --- instance and target rows ---------------------------------------------------------------
@@ -321,7 +329,7 @@ def normalize_instances(rows: DataFrame, json_text: str = "value", label: str =
         F.when(~missing_or("config", "object"), named("has a non-object config")),
         F.when(~missing_or("checkpoint", "object", "null"), named("has a non-object checkpoint")),
     )
-    checked = v.withColumn("problem", problem)
+    checked = computed(v, problem.alias("problem"))
     good = lambda c: F.when(F.col("problem").isNull(), c)
     return checked.select(
         *rows.columns,
@@ -370,7 +378,7 @@ def normalize_targets(rows: DataFrame, json_text: str = "value") -> DataFrame:
             "webhook target requires an http(s) config.url",
         ),
     )
-    checked = v.withColumn("problem", problem)
+    checked = computed(v, problem.alias("problem"))
     good = lambda c: F.when(F.col("problem").isNull(), c)
     push = kind == "webhook"
     headers = F.map_filter(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanflow.contract import CAPTURE_ID_PREFIX, CAPTURE_SCHEMA, CAPTURE_VERSION, OUTBOX_STATUSES
 from gleanflow.functions import text as tx
 from gleanflow.functions import urls
+from gleanflow.operators.layout import computed
 from gleanflow.operators.rules import capture_problem
 from gleanflow.sources.web import with_optional
 
@@ -125,11 +126,11 @@ def read_captures(
 ) -> DataFrame:
     """Adds ``capture`` (struct) and ``problem`` to rows that hold one JSON text each."""
     unwrapped = documents.withColumn("_capture", unwrap_capture(F.col(json)))
-    checked = unwrapped.withColumn(
-        "problem",
-        F.when(F.col("_capture").isNull(), "not valid JSON").otherwise(
-            capture_problem(F.col("_capture"), version)
-        ),
+    checked = computed(
+        unwrapped,
+        F.when(F.col("_capture").isNull(), "not valid JSON")
+        .otherwise(capture_problem(F.col("_capture"), version))
+        .alias("problem"),
     )
     metadata = F.to_json(F.variant_get("_capture", "$.metadata", "variant"))
     parsed = F.from_json(F.to_json(F.col("_capture")), _IMPORT_SCHEMA)

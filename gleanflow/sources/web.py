@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanflow.contract import CAPTURE_ID_PREFIX, CAPTURE_VERSION, PRIVACY_LEVELS, Manifest, RunContext
 from gleanflow.functions import text as tx
 from gleanflow.functions import urls
+from gleanflow.operators.layout import computed
 from gleanflow.sources.responses import response_problem
 
 WEB_MANIFEST = Manifest(
@@ -80,9 +81,8 @@ def _page_problem() -> Column:
 def page_rows(responses: DataFrame) -> DataFrame:
     """Responses with trimmed address, canonical address and the reason they are refused."""
     rows = with_optional(responses, _OPTIONAL).withColumn("url", tx.trim_blanks(F.col("url")))
-    return rows.withColumn("_canonical", urls.canonical_url(F.col("url"))).withColumn(
-        "problem", _page_problem()
-    )
+    located = computed(rows, urls.canonical_url(F.col("url")).alias("_canonical"))
+    return located.withColumn("problem", _page_problem())
 
 
 def web_captures(
