@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanflow.contract import CAPTURE_SCHEMA, CAPTURE_VERSION, Manifest, RunContext, utc_now
+from gleanflow.contract import CAPTURE_VERSION, Manifest, RunContext, utc_now
 from gleanflow.operators import changes
 from gleanflow.operators import delivery as dl
 from gleanflow.operators.rules import capture_problem, option_errors
@@ -88,30 +88,41 @@ def collect_repository(
     mode: str = "fail",
     manifest: Manifest = repo.REPOSITORY_MANIFEST,
 ) -> Collected:
-    """Captures and next checkpoint of all instances. No headers means a full scan."""
+    """Captures and next checkpoint of all instances. No headers means a full scan.
+
+    The narrow results of change detection are written once to the shared folder: the captures,
+    both checkpoint tables and the checks read them, and none repeats the joins with the state.
+    """
+    spark = listing.sparkSession
+    stage = shared_folder(spark)
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{stage}/{name}")
+        return spark.read.parquet(f"{stage}/{name}")
+
     sources = repo.resolve_sources(config, manifest)
     bad = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).cast("boolean")
-    sources = changes.require_complete(sources.where(bad.isNull()))
-    files = changes.document_files(listing, sources)
+    sources = staged(changes.require_complete(sources.where(bad.isNull())), "sources")
+    files = staged(changes.document_files(listing, sources).select("instance_id", "path", "sha"), "files")
     if headers is None or before is None:
         changed = files
     else:
         known = changes.valid_checkpoint_files(before, headers, sources)
-        changed = changes.changed_files(files, known, changes.unchanged_sources(sources, headers))
+        unchanged = changes.unchanged_sources(sources, headers)
+        changed = staged(changes.changed_files(files, known, unchanged), "changed")
     captures = valid_captures(
         repo.repository_captures(repo.document_rows(changed, blobs), sources, run, mode, manifest)
     )
     next_headers = changes.next_checkpoint_headers(sources, files, changed, run)
     next_files = changes.next_checkpoint_files(files)
     if mode == "quarantine":
-        rejects = repo.document_rejects(changed, blobs)
+        rejects = staged(repo.document_rejects(changed, blobs), "rejects")
         next_headers, next_files = changes.quarantined_checkpoint(next_headers, next_files, rejects)
         return Collected(captures, next_headers, next_files, rejects)
-    gaps = repo.missing_blobs(changed, blobs)
-    lost = F.raise_error(F.concat(F.col("path"), F.lit(": "), F.col("problem"))).cast("string")
-    guard = gaps.select(*[lost.alias("id") if n == "id" else F.lit(None).cast(t).alias(n)
-                          for n, t in ((f.name, f.dataType) for f in CAPTURE_SCHEMA.fields)])
-    return Collected(captures.unionByName(guard), next_headers, next_files)
+    lost = repo.missing_blobs(changed, blobs).select(F.concat("path", F.lit(": "), "problem")).first()
+    if lost is not None:
+        raise ValueError(lost[0])
+    return Collected(captures, next_headers, next_files)
 
 
 def run_source(
@@ -124,15 +135,7 @@ def run_source(
     captures = spark.read.parquet(staged)
     enqueued = outbox.enqueue(captures, batch)
     if checkpoints is not None and collected.headers is not None:
-        # The new version is computed from the old one, so it is staged before it is published.
-        state = shared_folder(spark)
-        collected.headers.write.parquet(f"{state}/headers")
-        collected.files.write.parquet(f"{state}/files")
-        checkpoints.replace(
-            spark.read.parquet(f"{state}/headers"),
-            spark.read.parquet(f"{state}/files"),
-            checkpoints.next_version(),
-        )
+        checkpoints.replace(collected.headers, collected.files, checkpoints.next_version())
     return {"collected": captures.count(), "enqueued": enqueued}
 
 
