@@ -124,11 +124,15 @@ def seed_json(**fields: Column) -> Column:
         F.struct(*[column.alias(name) for name, column in fields.items()]),
         {"ignoreNullFields": "false"},
     )
-    repaired = text
-    for code in _CONTROL_CODES:
-        repaired = F.regexp_replace(
-            repaired, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}"
-        )
+    repaired = F.aggregate(
+        F.array(*[F.lit(code) for code in _CONTROL_CODES]),
+        text,
+        lambda done, code: F.regexp_replace(
+            done,
+            F.concat(F.lit(r"(?<!\\)((?:\\\\)*)\\u00"), code),
+            F.concat(F.lit(r"$1\\u00"), F.lower(code)),
+        ),
+    )
     return F.when(F.rlike(text, F.lit(r"\\u00[01][A-F]")), repaired).otherwise(text)
 
 

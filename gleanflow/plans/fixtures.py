@@ -166,6 +166,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "events"), "event_id")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
 

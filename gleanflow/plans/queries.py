@@ -182,7 +182,7 @@ def manual_uri(spark, sf):
 
 
 def import_captures(spark, sf):
-    rows = fx.table(spark, sf, "events").select("event_id", F.expr(fx.CAPTURE_JSON).alias("value"))
+    rows = fx.events(spark, sf).select("event_id", F.expr(fx.CAPTURE_JSON).alias("value"))
     return sub.read_captures(rows).select(
         "event_id",
         "problem",
@@ -299,7 +299,7 @@ def repo_captures(spark, sf):
 
 
 def fetch_triage(spark, sf):
-    rows = fx.table(spark, sf, "events").select(
+    rows = fx.events(spark, sf).select(
         "event_id",
         F.expr(fx.RESPONSE_URL).alias("url"),
         F.expr(fx.RESPONSE_STATUS).alias("status"),
@@ -529,7 +529,7 @@ def runnable_instances(spark, sf):
 
 
 def config_errors(spark, sf):
-    rows = fx.table(spark, sf, "events").select("event_id", F.expr(fx.OPTIONS_JSON).alias("config"))
+    rows = fx.events(spark, sf).select("event_id", F.expr(fx.OPTIONS_JSON).alias("config"))
     return rules.config_errors(rows, repo.REPOSITORY_MANIFEST.config_schema, "event_id")
 
 
@@ -537,7 +537,7 @@ def option_suggestions(spark, sf):
     known = list(repo.REPOSITORY_MANIFEST.config_schema["properties"])
     # Misspelt names: a declared name with the first letters of a document word appended.
     key = F.concat(F.col("event_type"), F.lit("_"), F.substring("props", 3, 1), F.lit("ranch"))
-    rows = fx.table(spark, sf, "events").select(
+    rows = fx.events(spark, sf).select(
         "event_id",
         F.when(F.col("event_type") == "click", F.lit("site_ur"))
         .when(F.col("event_type") == "view", F.concat(F.lit("token_"), F.substring("props", 7, 2)))
@@ -549,17 +549,17 @@ def option_suggestions(spark, sf):
 
 
 def capture_rejects(spark, sf):
-    rows = fx.table(spark, sf, "events").select("event_id", F.expr(fx.CAPTURE_JSON).alias("value"))
+    rows = fx.events(spark, sf).select("event_id", F.expr(fx.CAPTURE_JSON).alias("value"))
     return rules.capture_rejects(rows, "event_id", "value")
 
 
 def instances_normalized(spark, sf):
-    rows = fx.table(spark, sf, "events").select("event_id", F.expr(fx.INSTANCE_JSON).alias("value"))
+    rows = fx.events(spark, sf).select("event_id", F.expr(fx.INSTANCE_JSON).alias("value"))
     return rules.normalize_instances(rows).drop("value")
 
 
 def targets_normalized(spark, sf):
-    rows = fx.table(spark, sf, "events").select("event_id", F.expr(fx.TARGET_JSON).alias("value"))
+    rows = fx.events(spark, sf).select("event_id", F.expr(fx.TARGET_JSON).alias("value"))
     return rules.normalize_targets(rows).select(
         "event_id", "problem", "id", "kind", "directory", "url", "timeout_ms",
         F.array_join("levels", "|").alias("levels"),

@@ -75,9 +75,10 @@ def manual_captures(
         kind=F.col("_kind"),
     )
     null = F.lit(None).cast("string")
-    return clean.select(
+    identified = computed(clean, tx.stable_id(CAPTURE_ID_PREFIX, seed).alias("id"))
+    return identified.select(
         F.lit(version).alias("schema_version"),
-        tx.stable_id(CAPTURE_ID_PREFIX, seed).alias("id"),
+        "id",
         F.lit(MANUAL_CONNECTOR).alias("connector"),
         null.alias("instance_id"),
         null.alias("run_id"),
