@@ -108,15 +108,20 @@ def sync_plan(
     limit: int | None = None,
     ids: DataFrame | None = None,
     direct: int = DIRECT_LIMIT,
+    reason: Column | None = None,
 ) -> DataFrame:
     """Visited entries with ``reason`` (null: deliver). Needs columns ``id`` and ``level``.
 
+    ``reason`` replaces the privacy gate by the rule of a custom target.
+
     With a limit, the visit stops at the n-th accepted entry in file order; later entries are
     neither delivered nor reported. Skipped entries do not count.
     """
     if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit <= 0):
         raise ValueError("limit must be a positive integer")
-    visited = select_ids(pending, ids).withColumn("reason", skip_reason(F.col("level"), accepted))
+    visited = select_ids(pending, ids).withColumn(
+        "reason", skip_reason(F.col("level"), accepted) if reason is None else reason
+    )
     if limit is None:
         return visited
     keys = visited.where(F.col("reason").isNull()).select(file_order(F.col("id")).alias("key"))

@@ -439,7 +439,7 @@ ORACLES: dict[str, str] = {
     "config_remove": _OLD_NEW
     + "SELECT DISTINCT id, id IN (SELECT id FROM old) AS removed FROM new",
     "config_carry": _OLD_NEW
-    + f""", kept AS (SELECT id, max(CASE WHEN position % 2 = 0 THEN '0 1 * * *' END) AS schedule, max(props) AS checkpoint FROM old GROUP BY id),
+    + f""", kept AS (SELECT id, max(CASE WHEN props < '{{"k": 2' THEN '0 1 * * *' END) AS schedule, max(props) AS checkpoint FROM old GROUP BY id),
         asked AS (SELECT id, CASE WHEN count(*) > 13 THEN 'web-page' ELSE 'repository-documents' END AS connector,
           CASE WHEN count(*) > 15 THEN '@daily' END AS schedule, max(props) AS config FROM new GROUP BY id)
         SELECT a.id, a.connector, coalesce(a.schedule, k.schedule, m.default_schedule) AS schedule, a.config, k.checkpoint

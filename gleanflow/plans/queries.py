@@ -491,7 +491,7 @@ def config_remove(spark, sf):
 def config_carry(spark, sf):
     old, new = _instance_versions(spark, sf)
     existing = old.groupBy("id").agg(
-        F.max(F.when(F.col("position") % 2 == 0, "0 1 * * *")).alias("schedule"),
+        F.max(F.when(F.col("props") < '{"k": 2', "0 1 * * *")).alias("schedule"),
         F.max("props").alias("checkpoint"),
     )
     asked = new.groupBy("id").agg(F.max("props").alias("config"), F.count("*").alias("n")).select(

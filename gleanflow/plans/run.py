@@ -26,7 +26,11 @@ class Source(Protocol):
 
 
 class Deliverer(Protocol):
-    """A delivery target: which rows it accepts and what became of the accepted ones."""
+    """A custom delivery target: what it skips and what became of the rest.
+
+    ``accepts`` is the skip reason over capture columns (null: deliver); ``deliver`` returns rows
+    ``(id, status, error)`` with status ``sent`` or ``failed``.
+    """
 
     def accepts(self) -> Column: ...
 
@@ -147,15 +151,22 @@ def sync(
     limit: int | None = None,
     ids: DataFrame | None = None,
     lanes: int | None = None,
+    deliverer: Deliverer | None = None,
 ) -> DataFrame:
-    """Deliver pending captures and append the outcomes; returns one row per visited entry."""
+    """Deliver pending captures and append the outcomes; returns one row per visited entry.
+
+    ``deliverer`` replaces the gate and the transport of the target.
+    """
     spark = outbox.spark
-    plan = dl.sync_plan(outbox.pending(), target.accepted, limit, ids)
+    reason = None if deliverer is None else deliverer.accepts()
+    plan = dl.sync_plan(outbox.pending(), target.accepted, limit, ids, reason=reason)
     staged = shared_folder(spark)
     plan.write.parquet(staged)
     plan = spark.read.parquet(staged)
     accepted = plan.where(F.col("reason").isNull())
-    if target.kind == "file":
+    if deliverer is not None:
+        outcomes = deliverer.deliver(accepted)
+    elif target.kind == "file":
         dl.export_captures(accepted, f"{target.config['directory'].rstrip('/')}/batch={batch}")
         outcomes = accepted.select("id", F.lit("sent").alias("status"), F.lit(None).cast("string").alias("error"))
     else:

@@ -16,7 +16,11 @@ EXCERPT_UNITS = 200
 
 
 def _iso_seconds(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_millis((seconds * 1000).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """UTC text of epoch seconds, whatever the session time zone is."""
+    moment = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(
+        secs=seconds.cast("decimal(18,6)")
+    )
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def response_problem(
@@ -71,7 +75,7 @@ def triage(
             F.col("category") == "rate_limit",
             F.concat(
                 F.lit(f"{subject} API rate limit exhausted (resets at "),
-                F.when(reset > 0, _iso_seconds(reset)).otherwise("an unknown time"),
+                F.when((reset > 0) & (reset < 1e11), _iso_seconds(reset)).otherwise("an unknown time"),
                 F.lit("). "),
                 F.when(signed, "Wait for the window to reset or narrow config.content_dir.").otherwise(
                     "Set config.token_env to raise the limit from 60 to 5000 requests per hour."

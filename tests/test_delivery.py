@@ -115,6 +115,24 @@ def test_file_targets(spark):
         assert json.load(handle)["id"] + ".json" == names[0]
 
 
+def test_custom_deliverer(spark):
+    class TableTarget:
+        def accepts(self):
+            return F.when(F.col("payload.kind") != "reference", "only references")
+
+        def deliver(self, rows):
+            refused = F.when(F.col("level") == "private", "full")
+            return rows.select("id", F.when(refused.isNull(), "sent").otherwise("failed").alias("status"), refused.alias("error"))
+
+    outbox = Outbox(spark, shared_folder(spark))
+    outbox.enqueue(captures(spark, ["public", "private", "sensitive"]), "b")
+    done = sync(outbox, dl.Target("table", "custom"), "s", deliverer=TableTarget())
+    assert sorted(r["outcome"] for r in done.collect()) == ["delivered", "delivered", "failed"]
+    assert sorted((r["status"], r["last_error"]) for r in outbox.entries().collect()) == [
+        ("failed", "full"), ("sent", None), ("sent", None),
+    ]
+
+
 def test_missing_token_is_a_failure():
     send = dl.http_send("https://h.example", token_env="GLEANFLOW_TEST_UNSET_TOKEN")
     assert send("id", "{}") == "Environment variable GLEANFLOW_TEST_UNSET_TOKEN is not set"
