@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from gleanflow.llm.mixing import op10_pfair_mixture
+from gleanflow.llm.quality import op6_weak_supervision
 from gleanflow.llm.sharding import op3_stratified_shards
 from gleanflow.llm.simhash import op1_simhash_vptree
+from gleanflow.llm.tokens import op2_digest_cache_tokens
 
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
+    "op2_digest_cache_tokens": op2_digest_cache_tokens,
     "op3_stratified_shards": op3_stratified_shards,
+    "op6_weak_supervision": op6_weak_supervision,
     "op10_pfair_mixture": op10_pfair_mixture,
 }
 ORACLES: dict[str, str] = {}
