@@ -1,7 +1,7 @@
 """Quality rules by weak supervision: rules vote or abstain, and their accuracies are estimated without labels.
 
 Each rule looks at counts of a whole text and votes good (2), bad (0) or abstains (1). Expectation-maximisation
-on the votes of all documents estimates for each rule how often it is right on good and on bad texts, together with
+on the votes of all documents that pass the base rules (the others are decided) estimates for each rule how often it is right on good and on bad texts, together with
 the share of good ones. A document is kept if its posterior probability of being good reaches ``KEEP``,
 unless the two base rules reject it. The documents reach the driver only as counts per distinct vote pattern, at most
 3 ** rules of them.
@@ -61,7 +61,7 @@ def text_counts(text: str) -> tuple[int, ...]:
     times = np.bincount(row)
     kinds = list(ids)
     upper = np.array([len(w) > 1 and w.isupper() for w in kinds])
-    letters = np.array([any(c > 64 for c in w) and not w.isdigit() for w in kinds])
+    letters = np.array([any(c > 127 or 97 <= c | 32 <= 122 for c in w) for w in kinds])
     stops = np.array([w.lower().strip(b".,;:!?") in STOP_WORDS for w in kinds])
     ends = np.array([w.endswith((b".", b"!", b"?")) for w in kinds])
     return (
@@ -106,7 +106,6 @@ RULES = (
     Rule("word_length", "word_chars < 3 * n_words or word_chars > 10 * n_words",
          "2 * word_chars >= 7 * n_words and word_chars <= 8 * n_words"),
     Rule("lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 and n_lines >= 3"),
-    Rule("length", "n_words < 60", "n_words >= 100"),
     Rule("stop_words", "20 * n_stop_words < n_words", "10 * n_stop_words >= n_words"),
     Rule("letters", "10 * n_letter_words < 8 * n_words", "20 * n_letter_words >= 19 * n_words"),
     Rule("sentences", "2 * n_ends > n_words or 200 * n_ends < n_words", "50 * n_ends >= n_words and 4 * n_ends <= n_words"),
@@ -163,8 +162,9 @@ def fit(votes: np.ndarray, times: np.ndarray, rounds: int = 200) -> Model:
         right_good = (plus @ good + 8) / (plus @ (good | bad) + 10)
         right_bad = (minus @ bad + 8) / (minus @ (good | bad) + 10)
         prior = (plus.sum() + 8) / (times.sum() + 10)
-        # A rule that is wrong more often than right would turn good into bad.
-        new = Model(float(prior), np.clip(right_good, 0.501, 0.9999), np.clip(right_bad, 0.501, 0.9999))
+        # Votes may tell nothing but not the contrary, or good and bad could change places.
+        right_good = np.clip(right_good, 0.501, 0.9999)
+        new = Model(float(prior), right_good, np.clip(right_bad, 1.0001 - right_good, 0.9999))
         done = max(abs(new.right_good - model.right_good).max(), abs(new.right_bad - model.right_bad).max()) < 1e-9
         model = new
         if done:
@@ -173,8 +173,9 @@ def fit(votes: np.ndarray, times: np.ndarray, rounds: int = 200) -> Model:
 
 
 def scored(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, Model | None]:
-    """``_pattern``, ``_quality`` for every pattern in ``rows``, which has the column ``_pattern``."""
-    seen = rows.groupBy("_pattern").count().orderBy("_pattern").collect()
+    """``_pattern``, ``_quality`` for every pattern in ``rows``, which has ``_pattern`` and ``_failed``."""
+    open_ = F.count_if(~F.col("_failed")).alias("open")
+    seen = rows.groupBy("_pattern").agg(open_).orderBy("_pattern").collect()
     spark = rows.sparkSession
     if not seen:
         return spark.createDataFrame([], "_pattern int, _quality double"), None
@@ -187,23 +188,24 @@ def scored(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame,
 
 def judged(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``quality`` and ``kept`` for every row."""
-    rows = staged(counted(docs).select("doc_id", "_counts").withColumn("_pattern", pattern()))
+    rows = counted(docs).select("doc_id", "_counts").withColumns({"_pattern": pattern(), "_failed": base_failed()})
+    rows = staged(rows)
     quality, _ = scored(rows)
     # At most 3 ** len(RULES) rows of 12 bytes.
     return rows.join(F.broadcast(quality), "_pattern").select(
         "doc_id",
         "_counts.*",
-        base_failed().alias("base_failed"),
+        F.col("_failed").alias("base_failed"),
         F.round("_quality", 6).alias("quality"),
-        (~base_failed() & (F.col("_quality") >= keep)).alias("kept"),
+        (~F.col("_failed") & (F.col("_quality") >= keep)).alias("kept"),
     )
 
 
 def good_documents(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     """The kept rows with the columns of ``docs``. Texts are counted twice and never shuffled."""
-    rows = counted(docs).withColumn("_pattern", pattern())
-    quality, _ = scored(rows.select("_pattern"))
-    passed = rows.where(~base_failed()).join(F.broadcast(quality.where(F.col("_quality") >= keep)), "_pattern", "left_semi")
+    rows = counted(docs).withColumns({"_pattern": pattern(), "_failed": base_failed()})
+    quality, _ = scored(rows.select("_pattern", "_failed"))
+    passed = rows.where(~F.col("_failed")).join(F.broadcast(quality.where(F.col("_quality") >= keep)), "_pattern", "left_semi")
     return passed.select(*docs.columns)
 
 
