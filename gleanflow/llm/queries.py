@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gleanflow.llm.decontaminate import op7_spaced_seed_decontamination
 from gleanflow.llm.mixing import op10_pfair_mixture
 from gleanflow.llm.quality import op6_weak_supervision
 from gleanflow.llm.sharding import op3_stratified_shards
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_digest_cache_tokens": op2_digest_cache_tokens,
     "op3_stratified_shards": op3_stratified_shards,
     "op6_weak_supervision": op6_weak_supervision,
+    "op7_spaced_seed_decontamination": op7_spaced_seed_decontamination,
     "op10_pfair_mixture": op10_pfair_mixture,
 }
 ORACLES: dict[str, str] = {}
