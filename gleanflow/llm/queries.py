@@ -8,6 +8,7 @@ from gleanflow.llm.quality import op6_weak_supervision
 from gleanflow.llm.revisits import op5_warc_revisits
 from gleanflow.llm.sharding import op3_stratified_shards
 from gleanflow.llm.simhash import op1_simhash_vptree
+from gleanflow.llm.substrings import op8_radix_suffixes
 from gleanflow.llm.surrogates import op4_pii_surrogates
 from gleanflow.llm.tokens import op2_digest_cache_tokens
 from gleanflow.llm.wrappers import op9_wrapper_text
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_warc_revisits": op5_warc_revisits,
     "op6_weak_supervision": op6_weak_supervision,
     "op7_spaced_seed_decontamination": op7_spaced_seed_decontamination,
+    "op8_radix_suffixes": op8_radix_suffixes,
     "op9_wrapper_text": op9_wrapper_text,
     "op10_pfair_mixture": op10_pfair_mixture,
 }
