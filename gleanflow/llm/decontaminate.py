@@ -179,8 +179,7 @@ def overlap(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int,
     return low + start, end - start, agree
 
 
-@F.pandas_udf("run_start long, run_words long, agreeing long")
-def verify(words: pd.Series, item: pd.Series, shift: pd.Series) -> pd.DataFrame:
+def overlap_of(words: pd.Series, item: pd.Series, shift: pd.Series) -> pd.DataFrame:
     found = [overlap(np.asarray(w), np.asarray(i), s) for w, i, s in zip(words, item, shift, strict=True)]
     return pd.DataFrame(found, columns=["run_start", "run_words", "agreeing"], dtype="int64")
 
@@ -204,6 +203,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         .distinct()
     )
     bodies = items.groupBy("item_id", F.xxhash64("words").alias("_w")).agg(F.first("words").alias("item")).drop("_w")
+    verify = F.pandas_udf(overlap_of, "run_start long, run_words long, agreeing long")
     checked = (
         diagonals.join(regions.select("region", "key", "start", "words"), "region")
         .join(bodies, "item_id")

@@ -152,15 +152,19 @@ def votes_of(patterns: np.ndarray, rules: int) -> np.ndarray:
 
 
 def fit(votes: np.ndarray, times: np.ndarray, rounds: int = 200) -> Model:
-    """Expectation-maximisation from rules that are right four times in five; ten such votes stand as a prior."""
+    """Expectation-maximisation.
+
+    It starts from rules that are rarely wrong on good texts, and from bad texts that fall foul of three rules in ten.
+    Ten such votes stand as a prior, so small corpora lead to the same end as large ones.
+    """
     n = votes.shape[1]
-    model = Model(0.8, np.full(n, 0.8), np.full(n, 0.8))
+    model = Model(0.8, np.full(n, 0.95), np.full(n, 0.3))
     good, bad = votes == 2, votes == 0
     for _ in range(rounds):
         p = model.posterior(votes)
         plus, minus = p * times, (1 - p) * times
-        right_good = (plus @ good + 8) / (plus @ (good | bad) + 10)
-        right_bad = (minus @ bad + 8) / (minus @ (good | bad) + 10)
+        right_good = (plus @ good + 9.5) / (plus @ (good | bad) + 10)
+        right_bad = (minus @ bad + 3) / (minus @ (good | bad) + 10)
         prior = (plus.sum() + 8) / (times.sum() + 10)
         # Votes may tell nothing but not the contrary, or good and bad could change places.
         right_good = np.clip(right_good, 0.501, 0.9999)
