@@ -83,7 +83,8 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([text_counts(t or "") for t in texts], columns=COUNTS, dtype="int64")
 
-    return docs.withColumn("_counts", counts(F.col(text)))
+    # Without this, a filter would have the counts made once more.
+    return docs.withColumn("_counts", counts.asNondeterministic()(F.col(text)))
 
 
 # --- rules --------------------------------------------------------------------------------
