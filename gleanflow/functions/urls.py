@@ -74,10 +74,14 @@ def _resolve_dots(path: Column) -> Column:
     return F.when(F.rlike(path, F.lit(r"(?i)/(\.|%2e){1,2}(/|$)")), resolved).otherwise(path)
 
 
+_DOTTED_QUAD = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.|$)){4}$(?<!\.)"
+
+
 def canonical_url(url: Column) -> Column:
     """Struct ``(uri, issue)``: the serialized URL without fragment, or why there is none.
 
-    Hosts that need IDN mapping or number-form address parsing are reported and not guessed.
+    ASCII forms of international names and plain dotted IPv4 addresses stay as they are. Hosts that need IDN mapping, and
+    other forms of numeric addresses, are reported and not guessed.
     """
     cleaned = F.regexp_replace(
         F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", ""
@@ -113,9 +117,11 @@ def canonical_url(url: Column) -> Column:
         .when(~known, "unsupported scheme")
         .when(part(1) == "", "unreadable authority")
         .when(host == "", "empty host")
-        .when(F.rlike(host, F.lit(r"[^\x21-\x7E]|%|(^|\.)xn--")), "internationalized host")
+        .when(F.rlike(host, F.lit(r"[^\x21-\x7E]|%")), "internationalized host")
         .when(F.rlike(host, F.lit(r"[\x00-\x20#/<>?@\\^|]")), "invalid host")
-        .when(F.rlike(host, F.lit(r"^\[|(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$")), "numeric host")
+        .when(
+            F.rlike(host, F.lit(r"^\[|(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$")) & ~F.rlike(host, F.lit(_DOTTED_QUAD)), "numeric host"
+        )
         .when((path != "") & ~F.startswith(path, F.lit("/")), "invalid port")
         .when(F.length(bare_port) > 5, "invalid port")
         .when(bare_port.try_cast("int") > 65535, "invalid port")

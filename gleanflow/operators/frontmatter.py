@@ -130,10 +130,21 @@ def _leaf(path: Column, value: Column, kind: str, line: Column) -> Column:
 
 
 def _number_text(text: Column) -> Column:
-    """Number as JSON prints it: no leading zeros, no trailing fraction zeros."""
+    """Number as JSON prints it: plain from 1e-6 to below 1e21, else with an exponent; no needless zeros."""
     number = text.cast("double")
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-    return F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+    shortest = number.cast("string")
+    size = F.abs(number)
+
+    def plain(kind: str) -> Column:
+        return F.regexp_replace(shortest.try_cast(kind).cast("string"), r"\.?0+$", "")
+
+    exponent = F.regexp_replace(F.regexp_replace(shortest, r"\.0E|E", "e"), "e(?=[0-9])", "e+")
+    return (
+        F.when(size == 0, "0")
+        .when((size >= 1) & (size < 1e21), plain("decimal(38,17)"))
+        .when((size >= 1e-6) & (size < 1), plain("decimal(38,30)"))
+        .otherwise(exponent)
+    )
 
 
 def _flow_items(inner: Column) -> Column:

@@ -91,11 +91,11 @@ def runnable(instances: DataFrame, manifests: DataFrame, trigger: str = "trigger
         .withColumn(
             "error",
             F.coalesce(
-                F.when(~F.coalesce(t.isin(*TRIGGERS), F.lit(False)), F.concat(F.lit("Invalid trigger: "), t)),
-                F.when(F.col("_known").isNull(), F.concat(F.lit("Unknown connector: "), F.col("connector"))),
+                F.when(~F.coalesce(t.isin(*TRIGGERS), F.lit(False)), F.concat(F.lit("Invalid trigger: "), F.coalesce(t, F.lit("null")))),
+                F.when(F.col("_known").isNull(), F.concat(F.lit("Unknown connector: "), F.coalesce("connector", F.lit("null")))),
                 F.when(
-                    ~F.col("enabled") & (t != "manual"),
-                    F.concat(F.lit("Connector instance is disabled: "), F.col("id")),
+                    ~F.coalesce("enabled", F.lit(False)) & (t != "manual"),
+                    F.concat(F.lit("Connector instance is disabled: "), F.coalesce("id", F.lit("null"))),
                 ),
             ),
         )

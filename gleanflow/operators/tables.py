@@ -6,6 +6,8 @@ crash replaces the same folder, so replays change nothing.
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -29,13 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; a local one only for a local session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="gleanflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/gleanflow-{uuid.uuid4()}"
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="gleanflow-")
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The Parquet folder, or no rows while nothing was written yet."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.StringType(), True)])
@@ -86,15 +92,35 @@ class Outbox:
         return 0 if top is None else top + 1
 
     def enqueue(self, captures: DataFrame, batch: str, order_by=None, seq: int | None = None) -> int:
-        """Append the captures that are new; returns how many there were."""
-        seq = self.next_seq() if seq is None else seq
+        """Append the captures that are new; returns how many there were.
+
+        A batch that was written before keeps its place in the log, so later marks stay later and a replay adds
+        nothing. Of equal ids the first by ``order_by`` counts, by default the smallest row.
+        """
+        earlier = self.captures().where(F.col("batch") == batch).agg(F.count("*"), F.min("seq")).first()
+        if earlier[0]:
+            seq = earlier[1]
+        elif seq is None:
+            seq = self.next_seq()
+        if order_by is None:
+            order_by = F.struct(*CAPTURE_SCHEMA.names)
         # A removed id may come back; anything else that is stored stays as it is.
         stored = ob.stored_ids(self.log(without=batch))
-        new = ob.new_entries(captures, stored, F.lit(0) if order_by is None else order_by)
+        new = ob.new_entries(captures, stored, order_by)
         write_batch(
             new.select(*CAPTURE_SCHEMA.names, F.lit(seq).cast("bigint").alias("seq")), self._captures, batch
         )
-        return self.captures().where(F.col("batch") == batch).count()
+        return self.captures().where(F.col("batch") == batch).count() - earlier[0]
+
+    def unused_batch(self, name: str) -> str:
+        """``name``, or with a number added where marks of that name exist: outcomes are never replaced."""
+        marks = read_table(self.spark, self._marks, OUTBOX_EVENT_SCHEMA)
+        taken = {r[0] for r in marks.where(F.col("batch").startswith(name)).select("batch").distinct().collect()}
+        attempt, free = 0, name
+        while free in taken:
+            attempt += 1
+            free = f"{name}-{attempt}"
+        return free
 
     def append(self, events: DataFrame, batch: str) -> None:
         write_batch(events.select(*OUTBOX_EVENT_SCHEMA.names), self._marks, batch)
@@ -178,6 +204,20 @@ class Checkpoints:
         write_batch(files.select(*CHECKPOINT_FILES_SCHEMA.names, stamp), f"{self.root}/files", name)
         write_batch(headers.select(*CHECKPOINT_HEADER_SCHEMA.names, stamp), f"{self.root}/headers", name)
 
+    def version_for(self, stream: str, epoch: int) -> int:
+        """Version of one micro-batch of a stream: a new one, or that of its first attempt."""
+        schema = T.StructType([T.StructField("stream", T.StringType()), T.StructField("epoch", T.LongType()),
+                               T.StructField("version", T.LongType())])
+        known = read_table(self.spark, f"{self.root}/epochs", schema).drop("batch")
+        found = known.where((F.col("stream") == stream) & (F.col("epoch") == epoch)).agg(F.min("version")).first()[0]
+        if found is not None:
+            return found
+        last = known.agg(F.max("version")).first()[0]
+        version = max(self.next_version(), -1 if last is None else last + 1)
+        row = self.spark.createDataFrame([(stream, epoch, version)], schema)
+        write_batch(row, f"{self.root}/epochs", f"{version:012d}")
+        return version
+
     def next_version(self) -> int:
         top = self._headers().agg(F.max("version")).first()[0]
         return 0 if top is None else top + 1

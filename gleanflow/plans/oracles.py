@@ -275,7 +275,7 @@ ORACLES: dict[str, str] = {
     "normalize_tags": f"""
         SELECT conv_id, turn, coalesce(string_agg(tag, '|' ORDER BY pos), '') AS tags FROM (
           SELECT conv_id, turn, tag, min(pos) AS pos FROM (
-            SELECT conv_id, turn, trim(unnest([role, ' ' || chr(9) || role || ' ', '', left(text, 6), ' ']), {WS}) AS tag,
+            SELECT conv_id, turn, trim(unnest([role, ' ' || chr(9) || role || ' ', '', text, ' ']), {WS}) AS tag,
               unnest([1, 2, 3, 4, 5]) AS pos FROM conversations) WHERE tag <> '' GROUP BY ALL) GROUP BY ALL""",
     "slugs": rf"""
         WITH s AS (SELECT doc_id, source, lang,

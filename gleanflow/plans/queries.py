@@ -90,7 +90,7 @@ def stable_ids(spark, sf):
 
 def normalize_tags(spark, sf):
     raw = F.array(
-        F.col("role"), F.concat(F.lit(" \t"), F.col("role"), F.lit(" ")), F.lit(""), F.left("text", F.lit(6)), F.lit(" ")
+        F.col("role"), F.concat(F.lit(" \t"), F.col("role"), F.lit(" ")), F.lit(""), F.col("text"), F.lit(" ")
     )
     return fx.table(spark, sf, "conversations").select(
         "conv_id", "turn", F.array_join(tx.normalize_tags(raw), "|").alias("tags")

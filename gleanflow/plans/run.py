@@ -14,6 +14,7 @@ from gleanflow.operators import changes
 from gleanflow.operators import delivery as dl
 from gleanflow.operators.rules import capture_problem, option_errors
 from gleanflow.operators.tables import Checkpoints, Outbox, shared_folder
+from gleanflow.sources.web import page_rows, web_captures
 from gleanflow.sources import repository as repo
 
 
@@ -47,6 +48,17 @@ class Collected:
     rejects: DataFrame | None = None
 
 
+def collect_web(responses: DataFrame, run: RunContext, mode: str = "fail", version: str = CAPTURE_VERSION) -> Collected:
+    """Captures of crawled pages. A page that can't be taken fails the run, or is a reject in mode ``quarantine``."""
+    pages = page_rows(responses)
+    rejects = pages.where(F.col("problem").isNotNull()).select("url", "problem")
+    if mode == "fail":
+        bad = rejects.first()
+        if bad is not None:
+            raise ValueError(f"{bad['url']}: {bad['problem']}")
+    return Collected(web_captures(responses, run, version=version), rejects=rejects)
+
+
 def valid_captures(captures: DataFrame, version: str = CAPTURE_VERSION) -> DataFrame:
     """The same rows; a row that breaks the contract fails the job that reads it.
 
@@ -150,7 +162,7 @@ def sync(
     send: Callable[[str, str], str | None] | None = None,
     limit: int | None = None,
     ids: DataFrame | None = None,
-    lanes: int | None = None,
+    lanes: int | None = 1,
     deliverer: Deliverer | None = None,
 ) -> DataFrame:
     """Deliver pending captures and append the outcomes; returns one row per visited entry.
@@ -158,6 +170,7 @@ def sync(
     ``deliverer`` replaces the gate and the transport of the target.
     """
     spark = outbox.spark
+    batch = outbox.unused_batch(batch)
     reason = None if deliverer is None else deliverer.accepts()
     plan = dl.sync_plan(outbox.pending(), target.accepted, limit, ids, reason=reason)
     staged = shared_folder(spark)
@@ -167,7 +180,7 @@ def sync(
     if deliverer is not None:
         outcomes = deliverer.deliver(accepted)
     elif target.kind == "file":
-        dl.export_captures(accepted, f"{target.config['directory'].rstrip('/')}/batch={batch}")
+        dl.export_captures(accepted, f"{target.config['directory'].rstrip('/')}/batch={batch}", "overwrite")
         outcomes = accepted.select("id", F.lit("sent").alias("status"), F.lit(None).cast("string").alias("error"))
     else:
         if send is None:

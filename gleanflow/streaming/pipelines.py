@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gleanflow.contract import RunContext, utc_now
+from gleanflow.contract import RunContext
 from gleanflow.operators import changes
 from gleanflow.operators import delivery as dl
 from gleanflow.operators.tables import Checkpoints, Outbox, shared_folder
@@ -55,16 +55,18 @@ def stream_changes(
 ) -> StreamingQuery:
     """Changed files of a stream of listing snapshots ``(scan_id, instance_id, path, type, sha)``.
 
-    A snapshot must arrive whole within one micro-batch. Of several snapshots of an instance in
+    A truncated listing fails the micro-batch and leaves the checkpoint. Versions come from the checkpoint table
+    itself, so streams with new folders and batch runs may take turns. A snapshot must arrive whole within one micro-batch. Of several snapshots of an instance in
     a batch the newest counts and replaces the checkpoint of the instance.
     """
 
     def detect(batch: DataFrame, epoch: int) -> None:
         newest = batch.groupBy("instance_id").agg(F.max("scan_id").alias("scan_id"))
         listing = batch.join(newest, ["instance_id", "scan_id"], "left_semi")
-        present = sources.join(newest, "instance_id", "left_semi")
+        present = changes.require_complete(sources.join(newest, "instance_id", "left_semi"))
         files = changes.document_files(listing, present)
-        headers, before = checkpoints.headers(epoch), checkpoints.files(epoch)
+        version = checkpoints.version_for(checkpoint, epoch)
+        headers, before = checkpoints.headers(version), checkpoints.files(version)
         known = changes.valid_checkpoint_files(before, headers, present)
         unchanged = changes.unchanged_sources(present, headers)
         changed = changes.changed_files(files, known, unchanged)
@@ -75,7 +77,7 @@ def stream_changes(
         changes.next_checkpoint_headers(present, files, done, run).write.parquet(f"{scratch}/headers")
         spark = changed.sparkSession
         checkpoints.replace(
-            spark.read.parquet(f"{scratch}/headers"), changes.next_checkpoint_files(files), epoch
+            spark.read.parquet(f"{scratch}/headers"), changes.next_checkpoint_files(files), version
         )
 
     return (
@@ -100,7 +102,7 @@ def stream_sync(
         from gleanflow.plans.run import sync
 
         outbox.enqueue(batch, f"{name}-{epoch:012d}")
-        sync(outbox, target, f"{name}-sent-{epoch:012d}-{utc_now().replace(':', '')}", send=send)
+        sync(outbox, target, f"{name}-sent-{epoch:012d}", send=send)
 
     return (
         captures.writeStream.foreachBatch(deliver)

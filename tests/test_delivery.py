@@ -11,6 +11,7 @@ from gleanflow.operators import settings
 from gleanflow.operators.tables import Outbox, shared_folder
 from gleanflow.plans.run import sync
 from gleanflow.sources.submissions import manual_captures
+from gleanflow.streaming import pipelines
 
 PUSH = dl.Target("hook", "webhook", {"url": "https://h.example"})
 
@@ -95,10 +96,48 @@ def test_repeating_a_batch_changes_nothing(spark):
     outbox = Outbox(spark, shared_folder(spark))
     rows = captures(spark, ["public", "private"])
     assert outbox.enqueue(rows, "same") == 2
-    assert outbox.enqueue(rows, "same") == 2
+    assert outbox.enqueue(rows, "same") == 0
     assert outbox.entries().count() == 2
 
 
+def test_a_replay_leaves_delivered_entries_alone(spark):
+    outbox = Outbox(spark, shared_folder(spark))
+    rows = captures(spark, ["public", "private"])
+    outbox.enqueue(rows, "b1")
+    outbox.mark(rows.select("id"), "sent", "m1")
+    assert outbox.enqueue(rows, "b1") == 0
+    assert [r["status"] for r in outbox.entries().collect()] == ["sent", "sent"]
+
+
+def test_first_of_equal_ids_does_not_depend_on_the_run(spark):
+    rows = captures(spark, ["public", "public"]).withColumn("id", F.lit("same"))
+    kept = set()
+    for order in ("uri", None):
+        outbox = Outbox(spark, shared_folder(spark))
+        shuffled = rows.repartition(3) if order else rows.coalesce(1)
+        assert outbox.enqueue(shuffled, "b") == 1
+        kept.add(tuple(outbox.captures().select("subject.uri", "privacy.level").first()))
+    assert len(kept) == 1
+
+
+def test_stream_sync_replay_posts_nothing_twice(spark, tmp_path):
+    outbox = Outbox(spark, shared_folder(spark))
+    captures(spark, ["public", "private"]).write.parquet(str(tmp_path / "in"))
+    log = tmp_path / "posts"
+    log.mkdir()
+
+    def send(id_, value):
+        with open(log / id_.replace("/", "_"), "a") as handle:
+            handle.write("x")
+
+    target = dl.Target("hook", "webhook", {"url": "https://hook.example/in", "allowed_privacy_levels": ["public", "private"]})
+    for attempt in ("one", "two"):
+        source = spark.readStream.schema(captures(spark, ["public"]).schema).parquet(str(tmp_path / "in"))
+        pipelines.stream_sync(source, outbox, target, send, str(tmp_path / attempt)).awaitTermination()
+    assert sum(len(p.read_text()) for p in log.iterdir()) == len(list(log.iterdir())) > 0
+    assert {r["status"] for r in outbox.entries().collect()} <= {"sent", "pending"}
+
+
 def test_file_targets(spark):
     folder = shared_folder(spark)
     rows = captures(spark, ["public", "sensitive"])

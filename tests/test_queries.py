@@ -72,6 +72,20 @@ def test_listing_snapshots_replace_state(spark):
         last = out.agg(F.max("batch")).first()[0]
         return sorted(r["path"] for r in out.where(F.col("batch") == last).collect())
 
+    with pytest.raises(Exception, match="truncated"):
+        cut = spark.createDataFrame([(1, "i", "p/a.md", "blob", "1")], schema).coalesce(1)
+        cut.write.parquet(f"{folder}/cut")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/cut")
+        pipelines.stream_changes(
+            stream, sources.withColumn("truncated", F.lit(True)), checkpoints, fx.RUN, f"{folder}/cut-out", f"{folder}/cut-progress"
+        ).awaitTermination()
+    assert checkpoints.headers().count() == 0
     assert scan(1, {"a": "1", "b": "1"}) == ["p/a.md", "p/b.md"]
     assert scan(2, {"a": "1", "b": "2", "c": "1"}) == ["p/b.md", "p/c.md"]
     assert checkpoints.files().count() == 3
+    # A stream that starts anew continues the versions of the table.
+    rows = [(9, "i", "p/a.md", "blob", "9")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/again")
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/again")
+    pipelines.stream_changes(stream, sources, checkpoints, fx.RUN, f"{folder}/out2", f"{folder}/progress2").awaitTermination()
+    assert [r["sha"] for r in checkpoints.files().collect()] == ["9"]
