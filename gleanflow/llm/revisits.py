@@ -13,7 +13,7 @@ Outcomes: ``response`` for full responses; ``resolved``; ``no_response`` if no e
 ``etag``, ``last_modified`` or ``digest`` for the first validator that differs. Only resolved revisits get a payload.
 
 Defined cases: a null URL never resolves; a null time sorts first, and a revisit needs an earlier response, not one of the
-same time; of responses of equal time the one with the greatest id counts; ids are unique by contract, repeated ids
+same time; of responses of equal time the one with the greatest id counts; ids are unique by contract and not null, repeated ids
 share the first payload; header names are matched without case; an empty table gives no rows; other columns are dropped.
 """
 
@@ -99,11 +99,11 @@ def resolve(records: DataFrame) -> DataFrame:
         F.when(good, F.map_concat(kept, updates)).otherwise(own).alias("headers"),
         F.when(full, F.col("record_id")).when(good, F.col("_base.record_id")).alias("_body"),
     )
-    bodies = records.where(full).select(F.col("record_id").alias("_body"), "payload").dropDuplicates(["_body"])
-    # Records without a payload have no key in common that could gather them.
-    aside = F.when(F.col("_body").isNull(), 1 + F.pmod(F.xxhash64("record_id"), F.lit(1023))).otherwise(F.lit(0))
-    joined = rows.withColumn("_aside", aside).join(bodies.withColumn("_aside", F.lit(0)), ["_body", "_aside"], "left")
-    return joined.drop("_body", "_aside")
+    # Records without a payload get keys of their own, or they would all gather in one place.
+    with_body = F.concat(F.lit("r"), F.col("_body").cast("string"))
+    rows = rows.withColumn("_key", F.coalesce(with_body, F.concat(F.lit("n"), F.col("record_id").cast("string"))))
+    bodies = records.where(full).select(F.concat(F.lit("r"), F.col("record_id").cast("string")).alias("_key"), "payload")
+    return rows.join(bodies.dropDuplicates(["_key"]), "_key", "left").drop("_key", "_body")
 
 
 def crawl(pages: DataFrame) -> DataFrame:
