@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,27 +76,143 @@ def _resolve_dots(path: Column) -> Column:
     return F.when(F.rlike(path, F.lit(r"(?i)/(\.|%2e){1,2}(/|$)")), resolved).otherwise(path)
 
 
-_DOTTED_QUAD = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.|$)){4}$(?<!\.)"
+_ENDS_IN_NUMBER = r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$"
+
+
+def _number(part: Column) -> Column:
+    """Value of one part of a numeric host (decimal, ``0`` octal, ``0x`` hexadecimal), null for other text."""
+
+    def value(digits: Column, base: int) -> Column:
+        # More than 11 digits are beyond any address in each of the bases.
+        bounded = F.when(F.length(digits) <= 11, digits).otherwise("7" * 11)
+        return F.when(digits == "", F.lit(0)).otherwise(F.conv(bounded, base, 10).cast("bigint"))
+
+    bare = F.regexp_replace(part, "^0x0*|^0+", "")
+    return (
+        F.when(F.rlike(part, F.lit("^0x[0-9a-f]*$")), value(bare, 16))
+        .when(F.rlike(part, F.lit("^0[0-7]*$")), value(bare, 8))
+        .when(F.rlike(part, F.lit("^[1-9][0-9]*$")), value(part, 10))
+    )
+
+
+def _ipv4(host: Column) -> Column:
+    """Dotted form of a host that ends in a number, null where it is no address.
+
+    Up to four parts; the last one fills all the bytes that the others leave.
+    """
+    values = F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), _number)
+
+    def dotted(parts: Column) -> Column:
+        count = F.size(parts)
+        head, last = F.slice(parts, F.lit(1), count - 1), F.element_at(parts, -1)
+        byte_count = 5 - count
+        fits = (
+            (count <= 4)
+            & F.forall(parts, lambda v: v.isNotNull())
+            & F.forall(head, lambda v: v < 256)
+            & (last < F.pow(F.lit(256), byte_count))
+        )
+        tail = F.transform(
+            F.sequence(F.lit(1), F.greatest(byte_count, F.lit(1))),
+            lambda i: F.pmod(F.floor(last / F.pow(F.lit(256), byte_count - i)).cast("bigint"), F.lit(256)),
+        )
+        return F.when(fits, F.array_join(F.concat(head, tail).cast("array<string>"), "."))
+
+    return _let(values, dotted)
+
+
+_GROUPS = r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$"
+_BYTE = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+# The longest run of zeros first; of equal ones the first.
+_ZERO_RUNS = [rf"^(?:|(.*?):)0(?::0){{{run - 1}}}(?::(.*))?$" for run in range(8, 1, -1)]
+_V4_TAIL = rf"^(.*:){_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"
+
+
+def _ipv6(host: Column) -> Column:
+    """Shortest form of a bracketed address (first longest run of zeros left out), null where it is no address."""
+    inner = F.regexp_extract(host, r"^\[(.*)\]$", 1)
+    byte = lambda index: F.regexp_extract(inner, _V4_TAIL, index).try_cast("int")
+    pair = lambda index: F.lower(F.hex(byte(index) * 256 + byte(index + 1)))
+    # A dotted tail stands for the last two groups.
+    hexed = F.when(
+        F.rlike(inner, F.lit(_V4_TAIL)), F.concat(F.regexp_extract(inner, _V4_TAIL, 1), pair(2), F.lit(":"), pair(4))
+    ).otherwise(inner)
+
+    def groups(side: Column) -> Column:
+        return F.filter(F.split(side, ":"), lambda group: group != "")
+
+    def shortest(sides: Column) -> Column:
+        left = F.get(sides, F.lit(0))
+        right = F.coalesce(F.get(sides, F.lit(1)), F.lit(""))
+        given = F.size(groups(left)) + F.size(groups(right))
+        fits = (
+            F.forall(sides, lambda side: F.rlike(side, F.lit(_GROUPS)))
+            & (((F.size(sides) == 1) & (given == 8)) | ((F.size(sides) == 2) & (given <= 7)))
+        )
+        zeros = F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0)))
+        full = F.transform(
+            F.concat(groups(left), zeros, groups(right)), lambda group: F.regexp_replace(group, "^0+(?=.)", "")
+        )
+        return F.when(fits, _let(F.array_join(full, ":"), bracketed))
+
+    def bracketed(plain: Column) -> Column:
+        longest = F.get(F.filter(F.array(*[F.lit(run) for run in _ZERO_RUNS]), lambda run: F.rlike(plain, run)), F.lit(0))
+        short = F.coalesce(F.regexp_replace(plain, longest, F.lit("$1::$2")), plain)
+        return F.concat(F.lit("["), short, F.lit("]"))
+
+    return _let(F.split(hexed, "::"), shortest)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def canonical_url(url: Column) -> Column:
     """Struct ``(uri, issue)``: the serialized URL without fragment, or why there is none.
 
-    ASCII forms of international names and plain dotted IPv4 addresses stay as they are. Hosts that need IDN mapping, and
-    other forms of numeric addresses, are reported and not guessed.
+    Numeric hosts are addresses in any of their spellings and come out in the usual one. ASCII forms of international
+    names stay as they are; hosts that need IDN mapping are reported and not guessed.
     """
     cleaned = F.regexp_replace(
         F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", ""
     )
     scheme = F.lower(F.regexp_extract(cleaned, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    known = scheme.isin(*DEFAULT_PORTS)
     head = F.regexp_extract(cleaned, r"^([^?#]*)", 1)
     slashed = F.concat(
         F.replace(head, F.lit("\\"), F.lit("/")), F.substring(cleaned, F.length(head) + 1, F.length(cleaned))
     )
     part = lambda index: F.regexp_extract(slashed, _PARTS, index)
-    host, port, path, query = F.lower(part(3)), part(4), part(5), part(6)
-    userinfo = part(2)
+    named = F.lower(part(3))
+    decoded = F.lower(F.try_url_decode(F.replace(named, F.lit("+"), F.lit("%2B"))))
+    pieces = F.struct(
+        url.isNull().alias("missing"),
+        scheme.alias("scheme"),
+        part(1).alias("read"),
+        part(2).alias("userinfo"),
+        F.when(F.contains(named, F.lit("%")), F.coalesce(decoded, named)).otherwise(named).alias("named"),
+        part(4).alias("port"),
+        part(5).alias("path"),
+        part(6).alias("query"),
+    )
+    # Inside the lambdas the pieces and the host are values, read once however often they are named.
+    return _let(pieces, lambda p: _let(_host(p["named"]), lambda host: _serialized(p, host)))
+
+
+def _host(named: Column) -> Column:
+    return (
+        F.when(F.startswith(named, F.lit("[")), _ipv6(named))
+        .when(F.rlike(named, F.lit(_ENDS_IN_NUMBER)), _ipv4(named))
+        .otherwise(named)
+    )
+
+
+def _serialized(pieces: Column, host: Column) -> Column:
+    """Struct ``(uri, issue)`` of the pieces of a URL and its address or name (null: no valid one)."""
+    scheme, read, userinfo, named, port, path, query = (
+        pieces[name] for name in ("scheme", "read", "userinfo", "named", "port", "path", "query")
+    )
+    known = scheme.isin(*DEFAULT_PORTS)
     bare_port = F.regexp_replace(port, "^0+(?=[0-9])", "")
     default_port = F.create_map(*[F.lit(x) for pair in DEFAULT_PORTS.items() for x in pair])[scheme]
     authority = F.concat(
@@ -113,15 +231,13 @@ def canonical_url(url: Column) -> Column:
         _encode_unsafe(F.when(query == "?", "").otherwise(query), r"[^\x21-\x7E]|[\"<>']"),
     )
     issue = (
-        F.when(url.isNull() | (scheme == ""), "not an absolute URL")
+        F.when(pieces["missing"] | (scheme == ""), "not an absolute URL")
         .when(~known, "unsupported scheme")
-        .when(part(1) == "", "unreadable authority")
-        .when(host == "", "empty host")
-        .when(F.rlike(host, F.lit(r"[^\x21-\x7E]|%")), "internationalized host")
-        .when(F.rlike(host, F.lit(r"[\x00-\x20#/<>?@\\^|]")), "invalid host")
-        .when(
-            F.rlike(host, F.lit(r"^\[|(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$")) & ~F.rlike(host, F.lit(_DOTTED_QUAD)), "numeric host"
-        )
+        .when(read == "", "unreadable authority")
+        .when(named == "", "empty host")
+        .when(F.rlike(named, F.lit(r"[^\x00-\x7F]")), "internationalized host")
+        .when(host.isNull(), "invalid host")
+        .when(~F.startswith(named, F.lit("[")) & F.rlike(named, F.lit(r"[\x00-\x20\x7F#%/:<>?@\[\]\\^|]")), "invalid host")
         .when((path != "") & ~F.startswith(path, F.lit("/")), "invalid port")
         .when(F.length(bare_port) > 5, "invalid port")
         .when(bare_port.try_cast("int") > 65535, "invalid port")

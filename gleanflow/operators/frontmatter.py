@@ -18,11 +18,10 @@ from gleanflow.functions.text import BLANK_CLASS, normalize_tags, trim_blanks
 # Patterns of the accepted grammar ---------------------------------
 HEAD = r"\A---[ \t]*\r?\n([\s\S]*?)\r?\n---[ \t]*\r?\n?"
 QUOTED = r"""(?s:"(?:\\.|[^"\\])*+(?:"|\\?\z)|'[^']*+(?:'|\z))"""
-FLAT_GROUP = rf"""[\[{{](?:{QUOTED}|[^"'\[\]{{}}])*+[\]}}]"""
-GROUP = rf"""[\[{{](?:{QUOTED}|[^"'\[\]{{}}]|{FLAT_GROUP})*+[\]}}]"""
 BEFORE_COMMENT = rf"""\A((?:{QUOTED}|[^"'#]|(?<![{BLANK_CLASS}]|\A)#)*+)"""
-KEY = rf"""\A(?:{QUOTED}|[^"'\[\]{{}}:]|{GROUP}|:(?![ \t]|\z))*+:(?=[ \t]|\z)"""
-FLOW_ITEM = rf"""(?:{QUOTED}|{GROUP}|[^,"'\[\]{{}}])++"""
+# A key that has no bracket before its colon; other keys are read piece by piece.
+KEY = rf"""\A(?:{QUOTED}|[^"'\[\]{{}}:]|:(?![ \t]|\z))*+:(?=[ \t]|\z)"""
+PIECE = rf"""{QUOTED}|[\[\]{{}},:]|[^"'\[\]{{}},:]++"""
 NUMBER = r"\A-?[0-9]+(\.[0-9]+)?\z"
 BLOCK_HEADER = r"\A[|>][+-]?\z"
 NULLS = ("", "null", "Null", "~")
@@ -147,9 +146,68 @@ def _number_text(text: Column) -> Column:
     )
 
 
+def _nested(depth: Column, piece: Column) -> Column:
+    """Bracket depth after a piece. Both kinds of brackets count alike; an entry decides by its ends what it is."""
+    return depth + F.when(piece.isin("[", "{"), 1).when(piece.isin("]", "}"), -1).otherwise(0)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+
+
+def _key_head(text: Column) -> Column:
+    """The text up to and with the colon that ends its key, empty where there is none."""
+
+    def step(state: Column, piece: Column) -> Column:
+        end = piece == ":"
+        head = F.concat(state["head"], piece)
+        # Whether the colon ends a key shows in what follows it.
+        after = F.substring(text, F.length(head) + 1, F.lit(1))
+        found = state["found"] | (end & (state["depth"] == 0) & after.isin("", " ", "\t"))
+        return F.when(state["found"], state).otherwise(
+            F.struct(
+                head.alias("head"), _nested(state["depth"], piece).cast("int").alias("depth"), found.alias("found")
+            )
+        )
+
+    start = F.struct(_text("").alias("head"), F.lit(0).alias("depth"), F.lit(False).alias("found"))
+    bracketed = F.aggregate(
+        _pieces(text), start, step, lambda state: F.when(state["found"], state["head"]).otherwise("")
+    )
+    flat = F.regexp_extract(text, KEY, 0)
+    return F.when((flat == "") & F.rlike(text, F.lit(r"[\[\]{}]")), bracketed).otherwise(flat)
+
+
 def _flow_items(inner: Column) -> Column:
-    items = F.transform(F.regexp_extract_all(inner, F.lit(FLOW_ITEM), F.lit(0)), trim_blanks)
-    return F.filter(items, lambda item: item != "")
+    """The trimmed entries between commas outside quotes and brackets; empty ones are dropped."""
+
+    def step(state: Column, piece: Column) -> Column:
+        ends = (piece == ",") & (state["depth"] == 0)
+        return F.struct(
+            F.when(ends, F.concat(state["items"], F.array(state["item"]))).otherwise(state["items"]).alias("items"),
+            F.when(ends, "").otherwise(F.concat(state["item"], piece)).alias("item"),
+            _nested(state["depth"], piece).cast("int").alias("depth"),
+        )
+
+    start = F.struct(
+        F.array().cast("array<string>").alias("items"), _text("").alias("item"), F.lit(0).alias("depth")
+    )
+    items = F.aggregate(
+        _pieces(inner), start, step, lambda state: F.concat(state["items"], F.array(state["item"]))
+    )
+    return F.filter(F.transform(items, trim_blanks), lambda item: item != "")
+
+
+def _deepest(text: Column) -> Column:
+    """How deep brackets outside quotes go."""
+    marks = F.filter(_pieces(text), lambda piece: piece.isin("[", "{", "]", "}"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("deepest"))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = _nested(state["depth"], piece).cast("int")
+        return F.struct(depth.alias("depth"), F.greatest(state["deepest"], depth).alias("deepest"))
+
+    return F.aggregate(marks, start, step, lambda state: state["deepest"])
 
 
 def _sequence_entries(inner: Column, path: Column) -> Column:
@@ -169,7 +227,7 @@ def _mapping_entries(inner: Column, path: Column) -> Column:
 
     def entry(item: Column) -> Column:
         return _let(
-            F.regexp_extract(item, KEY, 0),
+            _key_head(item),
             lambda head: F.struct(
                 F.concat(
                     path,
@@ -193,63 +251,87 @@ def _mapping_entries(inner: Column, path: Column) -> Column:
     )
 
 
-def _scalar_leaves(text: Column, path: Column, line: Column, nesting: int = 2) -> Column:
-    """Leaves of one value. Failures are leaves of type ``error``."""
+def _plain_leaf(text: Column, path: Column, line: Column) -> Column:
+    """Leaf of one value; a flow collection stays as it is, with type ``flow``. Failures have type ``error``."""
+    kind = (
+        F.when(text.isin(*NULLS), "null")
+        .when(F.rlike(text, F.lit(r"\A[&*]")), "error")
+        .when(F.rlike(text, F.lit(r"\A[\[{]")), "flow")
+        .when(_is_quoted(text), "quoted")
+        .when(text.isin(*TRUES, *FALSES), "boolean")
+        .when(F.rlike(text, F.lit(NUMBER)), "number")
+        .otherwise("string")
+    )
 
-    def error(reason: Column) -> Column:
-        return _leaf(path, reason, "error", line)
+    def leaf(k: Column) -> Column:
+        value = (
+            F.when(k == "error", "YAML anchors and aliases are not supported")
+            .when(k == "quoted", _unquote(text))
+            .when(k == "boolean", F.lower(text))
+            .when(k == "number", _number_text(text))
+            .when(k != "null", text)
+        )
+        return F.struct(
+            path.alias("path"),
+            value.alias("value"),
+            F.when(k == "quoted", "string").otherwise(k).alias("value_type"),
+            line.alias("line"),
+        )
 
-    def flow() -> Column:
-        too_deep = F.lit("flow nesting is too deep")
-        if nesting == 0:
-            return error(too_deep)
-        is_sequence = F.startswith(text, F.lit("["))
-        inner = F.substring(text, F.lit(2), F.length(text) - 2)
-        closed = (F.length(text) > 1) & F.endswith(text, F.when(is_sequence, "]").otherwise("}"))
-        unread = ~F.rlike(F.regexp_replace(inner, FLOW_ITEM, ""), F.lit(r"\A,*\z"))
+    return _let(kind, leaf)
 
-        def leaves(entries: Column) -> Column:
-            each = F.transform(
-                entries,
-                lambda e: F.when(
-                    e["problem"].isNotNull(), _leaf(e["path"], e["problem"], "error", line)
-                ).otherwise(_scalar_leaves(e["text"], e["path"], line, nesting - 1)),
-            )
-            return (
-                F.when(F.size(entries) > 0, F.flatten(each))
-                .when(is_sequence, _leaf(path, F.lit("[]"), "array", line))
-                .otherwise(_leaf(path, F.lit("{}"), "object", line))
-            )
 
-        unterminated = F.when(is_sequence, "unterminated inline sequence").otherwise(
-            "unterminated inline mapping"
+def _opened(flow: Column) -> Column:
+    """Leaves of the entries of a leaf of type ``flow``, one level down."""
+    text, path, line = flow["value"], flow["path"], flow["line"]
+    is_sequence = F.startswith(text, F.lit("["))
+    closed = (F.length(text) > 1) & F.endswith(text, F.when(is_sequence, "]").otherwise("}"))
+    inner = F.substring(text, F.lit(2), F.length(text) - 2)
+
+    def leaf(value: Column, kind: Column) -> Column:
+        return F.array(
+            F.struct(path.alias("path"), value.alias("value"), kind.alias("value_type"), line.alias("line"))
         )
-        return (
-            F.when(~closed, error(unterminated))
-            .when(unread, error(too_deep))
-            .otherwise(
-                _let(
-                    F.when(is_sequence, _sequence_entries(inner, path)).otherwise(
-                        _mapping_entries(inner, path)
-                    ),
-                    leaves,
-                )
-            )
+
+    def leaves(entries: Column) -> Column:
+        each = F.transform(
+            entries,
+            lambda e: F.when(
+                e["problem"].isNotNull(),
+                F.struct(
+                    e["path"].alias("path"),
+                    e["problem"].alias("value"),
+                    _text("error").alias("value_type"),
+                    line.alias("line"),
+                ),
+            ).otherwise(_plain_leaf(e["text"], e["path"], line)),
+        )
+        empty = leaf(
+            F.when(is_sequence, "[]").otherwise("{}"), F.when(is_sequence, "array").otherwise("object")
         )
+        return F.when(F.size(entries) > 0, each).otherwise(empty)
 
-    return (
-        F.when(text.isin(*NULLS), _leaf(path, _null("string"), "null", line))
-        .when(
-            F.rlike(text, F.lit(r"\A[&*]")),
-            error(F.lit("YAML anchors and aliases are not supported")),
+    unterminated = F.when(is_sequence, "unterminated inline sequence").otherwise("unterminated inline mapping")
+    entries = F.when(is_sequence, _sequence_entries(inner, path)).otherwise(_mapping_entries(inner, path))
+    return F.when(closed, _let(entries, leaves)).otherwise(leaf(unterminated, F.lit("error")))
+
+
+def _scalar_leaves(text: Column, path: Column, line: Column) -> Column:
+    """Leaves of one value. Flow collections are opened level by level, as deep as they go."""
+
+    def open_level(leaves: Column, _: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                leaves, lambda leaf: F.when(leaf["value_type"] == "flow", _opened(leaf)).otherwise(F.array(leaf))
+            )
         )
-        .when(F.rlike(text, F.lit(r"\A[\[{]")), flow())
-        .when(_is_quoted(text), _leaf(path, _unquote(text), "string", line))
-        .when(text.isin(*TRUES), _leaf(path, F.lit("true"), "boolean", line))
-        .when(text.isin(*FALSES), _leaf(path, F.lit("false"), "boolean", line))
-        .when(F.rlike(text, F.lit(NUMBER)), _leaf(path, _number_text(text), "number", line))
-        .otherwise(_leaf(path, text, "string", line))
-    )
+
+    def opened(first: Column) -> Column:
+        start = F.array(first).cast(f"array<{_LEAF}>")
+        levels = F.sequence(F.lit(1), _deepest(text))
+        return F.when(first["value_type"] == "flow", F.aggregate(levels, start, open_level)).otherwise(start)
+
+    return _let(_plain_leaf(text, path, line), opened)
 
 
 # --- the fold over lines -----------------------------------------------------------
@@ -439,7 +521,7 @@ def _read(state: Column, line: Column) -> Column:
 
     def in_mapping(top: Column) -> Column:
         return _let(
-            F.regexp_extract(line["content"], KEY, 0),
+            _key_head(line["content"]),
             lambda head: describe_key(state, line["content"], head, top["path"], top["indent"]),
         )
 
@@ -479,7 +561,7 @@ def _read(state: Column, line: Column) -> Column:
                 opens = (head != "") & ~F.rlike(text, F.lit(r"\A[\[{]")) & _unsupported(line["content"]).isNull()
                 return F.when(opens, describe_key(deeper, text, head, path, indent)).otherwise(plain)
 
-            return _let(F.regexp_extract(text, KEY, 0), keyed)
+            return _let(_key_head(text), keyed)
 
         return _let(rest, item)
 

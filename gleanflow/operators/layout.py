@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,28 +53,24 @@ def hot_key_join(
     on: str,
     salt_by: Sequence[str],
     rows_per_task: int = 200_000,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Inner join of narrow ``many`` with wide ``one`` (unique on ``on``), exact under skew.
 
-    Keys with more than ``rows_per_task`` rows are counted first (partial aggregation, narrow)
-    and only those rows of ``one`` are repeated. The list of such keys is at most
-    ``rows / rows_per_task`` long, so the runtime usually broadcasts it after checking its size.
+    The keys of ``many`` are counted first (partial aggregation, narrow). They pick the rows of ``one`` that are needed at
+    all, and only those meet ``prepare`` and the second shuffle; a row is repeated once per ``rows_per_task`` partners.
+    ``many`` is read three times, so pass a stored table.
     """
-    hot = (
-        many.groupBy(on)
-        .count()
-        .where(F.col("count") > rows_per_task)
-        .select(on, F.ceil(F.col("count") / rows_per_task).cast("int").alias("_fan"))
-    )
-    fan = F.coalesce(F.col("_fan"), F.lit(1))
+    fan = F.ceil(F.count("*") / rows_per_task).cast("int").alias("_fan")
+    needed = many.groupBy(on).agg(fan)
+    hot = needed.where(F.col("_fan") > 1)
     left = (
         many.join(hot, on, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*salt_by), fan).cast("int"))
-        .drop("_fan")
-    )
-    right = (
-        one.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1)))
+        .withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.coalesce(F.col("_fan"), F.lit(1))).cast("int"))
         .drop("_fan")
     )
+    right = one.join(needed, on)
+    if prepare is not None:
+        right = prepare(right)
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_fan") - 1))).drop("_fan")
     return left.join(right, [on, "_salt"]).drop("_salt")

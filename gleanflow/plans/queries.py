@@ -294,7 +294,9 @@ def flat_documents(captures: DataFrame) -> DataFrame:
 
 def repo_captures(spark, sf):
     _, changed, sources = _changed(spark, sf)
-    rows = repo.document_rows(changed, fx.repository_blobs(spark, sf))
+    stored = f"{shared_folder(spark)}/changed"
+    changed.write.parquet(stored)
+    rows = repo.document_rows(spark.read.parquet(stored), fx.repository_blobs(spark, sf))
     return flat_documents(repo.repository_captures(rows, sources, fx.RUN))
 
 

@@ -9,7 +9,7 @@ from gleanflow.contract import CAPTURE_VERSION, DEFAULT_CONTENT_DIR, PRIVACY_LEV
 from gleanflow.functions import text as tx
 from gleanflow.functions import urls
 from gleanflow.operators import frontmatter as fm
-from gleanflow.operators.layout import hot_key_join
+from gleanflow.operators.layout import computed, hot_key_join
 from gleanflow.sources.web import capture_id, with_optional
 
 REPOSITORY_MANIFEST = Manifest(
@@ -104,9 +104,19 @@ def decode_blobs(blobs: DataFrame) -> DataFrame:
     )
 
 
+def readable_blobs(blobs: DataFrame) -> DataFrame:
+    """Blobs with ``text``; the generator keeps the decoding in one place, out of the filter above."""
+    packed = F.regexp_replace(F.col("content"), f"[{tx.BLANK_CLASS}]+", "")
+    # Damaged byte sequences become replacement characters, as in any lenient decoder.
+    text = F.make_valid_utf8(F.try_to_binary(packed, F.lit("base64")).cast("string"))
+    encoded = blobs.where(F.coalesce(F.col("encoding") == "base64", F.lit(False)))
+    return computed(encoded, text.alias("text")).where(F.col("text").isNotNull()).drop("encoding", "content")
+
+
 def missing_blobs(changed: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Changed files whose blob is absent or unreadable."""
-    readable = decode_blobs(blobs).where(F.col("problem").isNull()).select("sha")
+    """Changed files whose blob is absent or unreadable. Only blobs of changed files are decoded."""
+    needed = changed.select("sha").distinct()
+    readable = readable_blobs(blobs.join(needed, "sha", "left_semi")).select("sha")
     return changed.join(readable, "sha", "left_anti").select(
         "instance_id", "path", "sha", F.concat(F.lit("blob is missing or unreadable: "), F.col("sha")).alias("problem")
     )
@@ -118,11 +128,13 @@ def missing_blobs(changed: DataFrame, blobs: DataFrame) -> DataFrame:
 def document_rows(changed: DataFrame, blobs: DataFrame) -> DataFrame:
     """Changed files with text, body, leaves and front-matter error.
 
-    Only the narrow file rows meet the hot-key handling; the text joins last, once per blob.
+    Only blobs of changed files are decoded, each once, and their texts join the narrow file rows last.
     """
-    texts = decode_blobs(blobs).where(F.col("problem").isNull()).select("sha", "text")
     files = changed.select("instance_id", "path", "sha")
-    return fm.parse_documents(hot_key_join(files, texts, "sha", ["instance_id", "path"]))
+    packed = blobs.select("sha", "encoding", "content")
+    return fm.parse_documents(
+        hot_key_join(files, packed, "sha", ["instance_id", "path"], prepare=readable_blobs)
+    )
 
 
 def document_rejects(changed: DataFrame, blobs: DataFrame) -> DataFrame:

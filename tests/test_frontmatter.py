@@ -37,6 +37,10 @@ ACCEPTED = [
     (document("tags:", "- one", "-", "- three", "next: 1"), {"tags": ["one", None, "three"], "next": 1}),
     (document('list: [a, "b, c", [1, 2]]', "map: {x: 1, 'y z': {k: v}}", "e: []", "f: {}"),
      {"list": ["a", "b, c", [1, 2]], "map": {"x": 1, "y z": {"k": "v"}}, "e": [], "f": {}}),
+    (document("d: [a, [b, [c, [d, {e: [f, {g: [[]]}]}]]]]", "[[k: 1]]: v", "c: {[[a: 1]]: {b: {c: {d: x}}}}"),
+     {"d": ["a", ["b", ["c", ["d", {"e": ["f", {"g": [[]]}]}]]]], "[[k: 1]]": "v", "c": {"[[a: 1]]": {"b": {"c": {"d": "x"}}}}}),
+    (document("a: [x] [y, z]", "b: ['[', \"{,\", it's, x]", "c: [a}, b]"),
+     {"a": ["x] [y", "z"], "b": ["[", "{,", "it's, x"], "c": ["a}, b"]}),
     (document("a:", "  b:", "    c: deep", "  d: 2", "e: 3"), {"a": {"b": {"c": "deep"}, "d": 2}, "e": 3}),
     (document("people:", "  - name: A", "    links:", "      - x", "  - name: B"),
      {"people": [{"name": "A", "links": ["x"]}, {"name": "B"}]}),
@@ -74,7 +78,11 @@ REJECTED = {
     document("a: 1", "..."): (2, "multiple YAML documents are not supported"),
     document("'': 1"): (1, "empty mapping key"),
     document("a:", "  - x", "   - y"): (3, "unexpected indentation"),
-    document("a: [[[1]]]"): (1, "flow nesting is too deep"),
+    document("a: [b, {c: [1, {d: *x}]}]"): (1, "YAML anchors and aliases are not supported"),
+    document("a: [[[1]]"): (1, "unterminated inline sequence"),
+    document("a: [x, {b: 1]]"): (1, "unterminated inline mapping"),
+    document("a: [[[{k}]]]"): (1, 'inline mapping entry "k" is missing a value'),
+    document("a]: 1"): (1, 'expected "key: value", found "a]: 1"'),
 }
 
 

@@ -29,16 +29,16 @@ def test_numbers_as_json_prints_them(spark):
 
 def test_hosts(spark):
     want = {"http://10.0.0.1/a": "http://10.0.0.1/a", "http://xn--bcher-kva.example/": "http://xn--bcher-kva.example/",
-            "http://256.1.1.1/": None, "http://1.2.3/": None, "http://0x7f.1/": None, "http://b\u00fccher.example/": None}
+            "http://256.1.1.1/": None, "http://1.2.3/": "http://1.2.0.3/", "http://0x7f.1/": "http://127.0.0.1/", "http://b\u00fccher.example/": None}
     df = spark.createDataFrame([(k,) for k in want], "u string")
     assert {r[0]: r[1] for r in df.select("u", canonical_url(F.col("u"))["uri"]).collect()} == want
 
 
 def test_bad_pages_fail_or_are_rejects(spark):
     responses = fx.responses(spark, "/root/testdata/sf0.001")
-    bad = responses.limit(1).withColumn("url", F.lit("http://1.2.3/"))
+    bad = responses.limit(1).withColumn("url", F.lit("http://1.2.3.256/"))
     both = responses.unionByName(bad)
-    with pytest.raises(ValueError, match="numeric host"):
+    with pytest.raises(ValueError, match="invalid host"):
         collect_web(both, fx.RUN)
     found = collect_web(both, fx.RUN, "quarantine")
-    assert "http://1.2.3/" in {r["url"] for r in found.rejects.collect()}
+    assert "http://1.2.3.256/" in {r["url"] for r in found.rejects.collect()}

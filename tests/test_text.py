@@ -101,7 +101,30 @@ def test_canonical_url(spark):
         "https://example.com/a b?q=é x": "https://example.com/a%20b?q=%C3%A9%20x",
         "  https://example.com/%7e\n": "https://example.com/%7e",
     }
+    hosts = {
+        "xn--mnchen-3ya.example": "xn--mnchen-3ya.example",
+        "ex%41mple.com": "example.com",
+        "127.0.0.1": "127.0.0.1",
+        "0x7f.1": "127.0.0.1",
+        "0300.0250.1": "192.168.0.1",
+        "2130706433": "127.0.0.1",
+        "1.2.3.4.": "1.2.3.4",
+        "0x": "0.0.0.0",
+        "4294967295": "255.255.255.255",
+        "a.1b": "a.1b",
+        "[::1]": "[::1]",
+        "[1:0:0:2:0:0:0:3]": "[1:0:0:2::3]",
+        "[2001:DB8:0:0:1:0:0:1]": "[2001:db8::1:0:0:1]",
+        "[1:0::]": "[1::]",
+        "[0:0:0:0:0:0:0:0]": "[::]",
+        "[::ffff:192.168.0.1]": "[::ffff:c0a8:1]",
+        "[1:2:3:4:5:6:7::]": "[1:2:3:4:5:6:7:0]",
+    }
+    cases |= {f"http://{host}:81/": f"http://{want}:81/" for host, want in hosts.items()}
     assert values(spark, list(cases), lambda c: urls.canonical_url(c)["uri"]) == list(cases.values())
+    wrong = ["256.1.1.1", "1.2.3.4.5", "08.1", "4294967296", "a.1", "1..2", "0x" + "f" * 30, "[1:2]", "[1::2::3]", "[::g]", "[::1.2.3.256]", "a%2Fb", "a|b"]
+    issues = values(spark, [f"http://{host}/" for host in wrong], lambda c: urls.canonical_url(c)["issue"])
+    assert issues == ["invalid host"] * len(wrong)
     bad = ["ftp://x/", "no url", "https://münchen.example/", "https://a.example:99999/", None]
     got = values(spark, bad, lambda c: urls.canonical_url(c)["issue"])
     assert got == [
