@@ -9,8 +9,8 @@ region that is named as such (article, main) or else the smallest one that holds
 The region decides for every page of the host; menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and comments of readers are left out wherever they stand.
 
-Pages are reduced to counted skeletons inside tasks, and skeletons are aligned in two levels (parts of a host, then the
-host), so a host may own any share of the pages.
+Pages are reduced to counted skeletons inside tasks. A host's different skeletons are aligned in rounds, in each of which a
+task takes a bounded number of them, so a host may own any share of the pages and have any number of skeletons.
 
 Defined cases: a null or empty page has the empty text; a url without host is a host of its own; repeated pages give
 repeated rows; markup that is never closed is closed by its parent; an empty table gives no rows; other columns of the input
@@ -22,7 +22,10 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 
 from gleanflow.llm.common import staged, table
 
-# Parts of a host whose skeletons are aligned by themselves.
-PARTS = 32
+# Patterns of a host that one task aligns, about.
+AT_ONCE = 256
+# The share of a host's text that its article region holds at least. Over one half, so that each depth has one such path.
+SHARE = 0.7
 # Elements below so many open ones belong to the last of these.
 DEEP = 150
 
@@ -258,15 +263,13 @@ def slot_sizes(node: Node, path: str = "") -> Iterator[tuple[str, int]]:
             yield from slot_sizes(child, path if child.tag in INLINE else f"{path}/{child.mark}")
 
 
-def region_of(wrapper: list, text: dict[str, int], share: float = 0.7) -> str:
-    """The path whose content is the article: the deepest one that still holds ``share`` of the host's text."""
-    total = sum(text.values())
+def region_of(wrapper: list, heavy: set[str]) -> str:
+    """The path whose content is the article: the deepest one that still holds most of the host's text (is in ``heavy``)."""
     path, items = "", wrapper
     while True:
-        inside = [(sum(v for p, v in text.items() if (p + "/").startswith(f"{path}/{i[0]}/")), i) for i in items if i != "#"]
-        held, item = max(inside, key=lambda x: x[0], default=(0, None))
+        item = next((i for i in items if i != "#" and f"{path}/{i[0]}" in heavy), None)
         # A repeated group is a part of the article and not the article.
-        if item is None or item[1] in "+*" or not total or held < share * total:
+        if item is None or item[1] in "+*":
             return path
         path, items = f"{path}/{item[0]}", item[2]
 
@@ -350,65 +353,73 @@ def host(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-SKELETON = "host string, part int, skeleton string, pages long, text string"
+def page_facts(pages: DataFrame) -> DataFrame:
+    """``host, skeleton, path, n``: pages of each skeleton (path null) and text below each path (skeleton null).
 
-
-def added(a: dict[str, int], b: dict[str, int]) -> dict[str, int]:
-    return {p: a.get(p, 0) + b.get(p, 0) for p in sorted({*a, *b})}
-
-
-def counted_skeletons(pages: DataFrame) -> DataFrame:
-    """Distinct skeletons by host and part, with pages and text sizes by path; equal ones meet inside the batch."""
+    Equal ones meet inside the batch, then in a partial aggregation.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple, list] = {}
-            for name, part, page in zip(*(batch.column(i) for i in range(3)), strict=True):
-                tree = parsed(page.as_py() or "")
-                key = (name.as_py(), part.as_py(), json.dumps(skeleton(tree)))
-                entry = seen.setdefault(key, [0, {}])
-                entry[0] += 1
+            seen: Counter[tuple] = Counter()
+            for name, page in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                tree = parsed(page or "")
+                seen[name, json.dumps(skeleton(tree)), None] += 1
                 for path, size in slot_sizes(tree):
-                    entry[1][path] = entry[1].get(path, 0) + size
-            yield pa.RecordBatch.from_pylist(
-                [
-                    {"host": h, "part": p, "skeleton": s, "pages": n, "text": json.dumps(t, sort_keys=True)}
-                    for (h, p, s), (n, t) in seen.items()
-                ],
-                pa.schema([("host", pa.string()), ("part", pa.int32()), ("skeleton", pa.string()), ("pages", pa.int64()),
-                           ("text", pa.string())]),
-            )
+                    for prefix in accumulate(path.split("/"), "{}/{}".format):
+                        seen[name, None, prefix] += size
+            columns = zip(*((*key, n) for key, n in seen.items()), strict=True) if seen else ([], [], [], [])
+            kinds_ = (pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(columns, kinds_, strict=True)], ["host", "skeleton", "path", "n"]
+            )
 
-    part = F.pmod(F.xxhash64("url", F.length("html")), F.lit(PARTS)).cast("int")
-    return pages.select(host("url").alias("host"), part.alias("part"), "html").mapInArrow(of, SKELETON)
+    found = pages.select(host("url").alias("host"), "html").mapInArrow(of, "host string, skeleton string, path string, n long")
+    return found.groupBy("host", "skeleton", "path").agg(F.sum("n").alias("n"))
 
 
-def merged(rows: pa.Table, part: int) -> pa.Table:
+def merged(rows: pa.Table) -> pa.Table:
     """All patterns of a group aligned, those with most pages first."""
     entries = sorted(rows.to_pylist(), key=lambda r: (-r["pages"], r["skeleton"]))
-    pattern, text, pages = None, {}, 0
-    for skeleton_ in dict.fromkeys(e["skeleton"] for e in entries):
-        items = json.loads(skeleton_)
-        pattern = items if pattern is None else aligned(pattern, items)
-    for e in entries:
-        text, pages = added(text, json.loads(e["text"])), pages + e["pages"]
-    row = {"host": entries[0]["host"], "part": part, "skeleton": json.dumps(pattern), "pages": pages, "text": json.dumps(text)}
-    return pa.Table.from_pylist([row], rows.schema)
+    patterns = [json.loads(skeleton_) for skeleton_ in dict.fromkeys(e["skeleton"] for e in entries)]
+    row = {
+        "host": entries[0]["host"],
+        "skeleton": json.dumps(reduce(aligned, patterns)),
+        "pages": sum(e["pages"] for e in entries),
+    }
+    return pa.Table.from_pylist([row], rows.select(["host", "skeleton", "pages"]).schema)
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` (the expression as JSON), ``pages`` and ``region`` for every host of ``url, html``."""
+def host_patterns(rows: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """One row ``host, skeleton, pages`` for each host: in each round a task aligns about ``at_once`` patterns of a host."""
+    while True:
+        most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        part = F.pmod(F.xxhash64("skeleton"), F.lit(max(1, -(-most // at_once))))
+        parts = rows.groupBy("host", part.alias("_part"))
+        rows = staged(parts.applyInArrow(merged, "host string, skeleton string, pages long"))
+        if most <= at_once:
+            return rows
+
 
-    def part_of(rows: pa.Table) -> pa.Table:
-        return merged(rows, rows.column("part")[0].as_py())
+def wrappers(pages: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """``host, wrapper`` (the expression as JSON), ``pages`` and ``region`` for every host of ``url, html``."""
+    facts = staged(page_facts(pages))
+    patterns = host_patterns(facts.where(F.col("path").isNull()).select("host", "skeleton", F.col("n").alias("pages")), at_once)
+    sizes = facts.where(F.col("path").isNotNull()).select("host", "path", "n")
+    totals = sizes.where("path = ''").select("host", F.col("n").alias("total"))
+    # At most one path of each depth holds more than half of the text, so these lists are short.
+    heavy = (
+        sizes.join(totals, "host").where(F.col("n") >= SHARE * F.col("total")).groupBy("host").agg(F.collect_list("path").alias("paths"))
+    )
 
-    def host_of(rows: pa.Table) -> pa.Table:
-        row = merged(rows, 0).to_pylist()[0]
-        region = region_of(json.loads(row["skeleton"]), json.loads(row["text"]))
-        return pa.table({"host": [row["host"]], "wrapper": [row["skeleton"]], "pages": [row["pages"]], "region": [region]})
+    @F.pandas_udf("string")
+    def region(wrapper: pd.Series, paths: pd.Series) -> pd.Series:
+        found = [region_of(json.loads(w), set() if p is None else set(p)) for w, p in zip(wrapper, paths, strict=True)]
+        return pd.Series(found, dtype=object)
 
-    parts = counted_skeletons(pages).groupBy("host", "part").applyInArrow(part_of, SKELETON)
-    return parts.groupBy("host").applyInArrow(host_of, "host string, wrapper string, pages long, region string")
+    return patterns.join(heavy, "host", "left").select(
+        "host", F.col("skeleton").alias("wrapper"), "pages", region("skeleton", "paths").alias("region")
+    )
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

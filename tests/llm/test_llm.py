@@ -410,6 +410,19 @@ def test_wrappers_find_optional_and_repeated_groups():
     assert wrappers.aligned(found, one) == found
 
 
+def test_many_skeletons_of_a_host_are_aligned_in_rounds(spark):
+    def body(i):
+        return "<main><div class=story><p>one</p><p>" + "words of it " * (i + 5) + "</p>" + "<h3>h</h3><ul></ul>" * (i % 7) + "<b></b><hr><table></table>" * (i % 5) + "</div></main>"
+
+    pages = [(i, f"http://h{i % 2}.example/{i}", PAGE.format(body=body(i))) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = [{r["host"]: r for r in wrappers.wrappers(df, n).collect()} for n in (2, 3, 1000)]
+    for each in found:
+        assert {h: (r["pages"], r["region"]) for h, r in each.items()} == {
+            f"h{k}.example": (30, "/html/body/main/div.story") for k in (0, 1)
+        }
+
+
 # --- revisits ----------------------------------------------------------------------------------------------
 
 
