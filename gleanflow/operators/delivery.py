@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from gleanflow.contract import CAPTURE_SCHEMA, DEFAULT_TIMEOUT_MS, FILE_LEVELS, OUTBOX_STATUSES, PUSH_LEVELS
 from gleanflow.operators.outbox import file_order
+from gleanflow.operators.tables import shared_folder
 
 OUTCOME_SCHEMA = "id string, status string, error string"
-DIRECT_LIMIT = 100_000
 EXCERPT_UNITS = 200
 
 
@@ -73,33 +73,29 @@ def select_ids(entries: DataFrame, ids: DataFrame | None) -> DataFrame:
     return entries.join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def nth_key(keys: DataFrame, n: int, direct: int = DIRECT_LIMIT) -> Column:
+def nth_key(keys: DataFrame, n: int, ranges: int | None = None) -> Column:
     """The n-th smallest value of the single column ``key``, null when there are fewer.
 
-    Small ``n`` is a top-k. For larger ones the key range that holds the n-th value is found
-    by counting range partitions, so no task ever sees more than about ``direct`` keys.
+    The range partition that holds it is found by counts, one row per partition on the driver. Only the keys of that
+    range are then sorted, so no task holds more than one range whatever ``n`` is. The keys are stored first and computed once.
     """
-    while n > direct:
-        ranges = (
-            keys.repartitionByRange("key")
-            .groupBy(F.spark_partition_id().alias("part"))
-            .agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
-            .orderBy("low")
-            .collect()  # one row per shuffle partition
-        )
-        if sum(r["n"] for r in ranges) < n:
-            return F.lit(None).cast("string")
-        before = 0
-        for found in ranges:
-            if before + found["n"] >= n:
-                break
-            before += found["n"]
-        n -= before
-        if len(ranges) == 1:
-            break
-        keys = keys.where(F.col("key").between(found["low"], found["high"]))
-    top = keys.orderBy("key").limit(n)
-    return top.agg(F.when(F.count("*") == n, F.max("key")).alias("cutoff")).scalar()
+    spark = keys.sparkSession
+    stage = shared_folder(spark)
+    keys.write.parquet(stage)
+    keys = spark.read.schema(keys.schema).parquet(stage)
+    found = (
+        keys.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+        .groupBy(F.spark_partition_id().alias("part"))
+        .agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        .orderBy("low")
+        .collect()
+    )
+    for part in found:
+        if n <= part["n"]:
+            inside = keys.where(F.col("key").between(part["low"], part["high"]))
+            return inside.orderBy("key").limit(n).agg(F.max("key").alias("cutoff")).scalar()
+        n -= part["n"]
+    return F.lit(None).cast("string")
 
 
 def sync_plan(
@@ -107,7 +103,7 @@ def sync_plan(
     accepted: Sequence[str],
     limit: int | None = None,
     ids: DataFrame | None = None,
-    direct: int = DIRECT_LIMIT,
+    ranges: int | None = None,
     reason: Column | None = None,
 ) -> DataFrame:
     """Visited entries with ``reason`` (null: deliver). Needs columns ``id`` and ``level``.
@@ -125,7 +121,7 @@ def sync_plan(
     if limit is None:
         return visited
     keys = visited.where(F.col("reason").isNull()).select(file_order(F.col("id")).alias("key"))
-    cutoff = nth_key(keys, limit, direct)
+    cutoff = nth_key(keys, limit, ranges)
     return visited.where(file_order(F.col("id")) <= F.coalesce(cutoff, file_order(F.col("id"))))
 
 

@@ -66,7 +66,7 @@ def valid_captures(captures: DataFrame, version: str = CAPTURE_VERSION) -> DataF
     """
     filled = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     problem = (
-        F.when(F.col("schema_version") != version, "Unsupported capture schema")
+        F.when(~F.col("schema_version").eqNullSafe(version), "Unsupported capture schema")
         .when(
             ~(filled("id") & filled("connector") & filled("observed_at") & filled("captured_at")),
             "Capture requires id, connector, observed_at, and captured_at",
@@ -167,16 +167,19 @@ def sync(
 ) -> DataFrame:
     """Deliver pending captures and append the outcomes; returns one row per visited entry.
 
-    ``deliverer`` replaces the gate and the transport of the target.
+    ``deliverer`` replaces the gate and the transport of the target. Gate, limit and selection work on narrow rows, which
+    are stored; the bodies of accepted entries are read after that.
     """
     spark = outbox.spark
     batch = outbox.unused_batch(batch)
     reason = None if deliverer is None else deliverer.accepts()
-    plan = dl.sync_plan(outbox.pending(), target.accepted, limit, ids, reason=reason)
+    plan = dl.sync_plan(outbox.pending(), target.accepted, limit, ids, reason=reason).select("id", "seq", "reason")
     staged = shared_folder(spark)
     plan.write.parquet(staged)
-    plan = spark.read.parquet(staged)
-    accepted = plan.where(F.col("reason").isNull())
+    plan = spark.read.schema(plan.schema).parquet(staged)
+    wanted = plan.where(F.col("reason").isNull()).select("id", "seq")
+    accepted = outbox.captures().drop("batch").join(wanted, ["id", "seq"], "left_semi")
+    accepted = accepted.withColumn("level", F.col("privacy.level"))
     if deliverer is not None:
         outcomes = deliverer.deliver(accepted)
     elif target.kind == "file":

@@ -33,12 +33,12 @@ def loop(rows, accepted, limit):
 
 
 @pytest.mark.parametrize("limit", [None, 1, 7, 30, 44, 45, 500])
-@pytest.mark.parametrize("direct", [5, 100_000])
-def test_limit_equals_loop(spark, limit, direct):
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_limit_equals_loop(spark, limit, ranges):
     levels = ["public", "private", "sensitive", "private"]
     rows = [(f"c{(i * 7919) % 997:03d}", levels[i % 4]) for i in range(60)]
     pending = spark.createDataFrame(rows, "id string, level string")
-    plan = dl.sync_plan(pending, PUSH.accepted, limit, direct=direct)
+    plan = dl.sync_plan(pending, PUSH.accepted, limit, ranges=ranges)
     got = sorted((r["id"], r["reason"] is not None) for r in plan.collect())
     assert got == sorted(loop(rows, PUSH.accepted, limit))
 
