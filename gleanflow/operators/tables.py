@@ -128,8 +128,11 @@ class Outbox:
     def batch_marks(self, batch: str) -> DataFrame:
         return read_table(self.spark, self._marks, OUTBOX_EVENT_SCHEMA).where(F.col("batch") == batch)
 
-    def mark(self, ids: DataFrame, event: str, batch: str, error: str | None = None) -> None:
-        """One mark per distinct id: ``pending``, ``sent``, ``failed`` or ``remove``."""
+    def mark(self, ids: DataFrame, event: str, batch: str, error: str | None = None) -> DataFrame:
+        """One mark per distinct id: ``pending``, ``sent``, ``failed`` or ``remove``.
+
+        Returns the marks of unknown entries (``seq, id, event, error``); they change nothing. No rows: all are known.
+        """
         seq = self.next_seq()
         self.append(
             ids.select("id").distinct().select(
@@ -142,6 +145,7 @@ class Outbox:
             ),
             batch,
         )
+        return ob.rejected_marks(self.log()).where(F.col("seq") == seq)
 
     def retry(self, batch: str, ids: DataFrame | None = None) -> int:
         """Failed entries back to pending; attempts stay. Returns how many."""

@@ -191,3 +191,22 @@ def test_settings(spark):
     with pytest.raises(ValueError):
         settings.check_trigger("cron")
     assert settings.check_trigger("import") == "import"
+
+
+def test_marks_of_unknown_entries_are_returned(spark, tmp_path):
+    outbox = Outbox(spark, str(tmp_path))
+    outbox.enqueue(captures(spark, ["public"]), "b")
+    known = outbox.captures().select("id")
+    assert outbox.mark(known, "sent", "m1").count() == 0
+    rows = outbox.mark(known.unionByName(spark.createDataFrame([("nope",)], "id string")), "failed", "m2", "x").collect()
+    assert [(r["id"], r["error"]) for r in rows] == [("nope", "Unknown outbox entry: nope")]
+    assert [(r["status"], r["attempts"]) for r in outbox.entries().collect()] == [("failed", 1)]
+
+
+def test_gate_and_limit_read_no_bodies(spark, tmp_path):
+    outbox = Outbox(spark, str(tmp_path))
+    outbox.enqueue(captures(spark, ["public", "sensitive", "private"]), "b")
+    plan = dl.sync_plan(outbox.pending(), PUSH.accepted, 1).select("id", "seq", "reason")
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in shown and "payload" not in shown and "metadata" not in shown
+    assert plan.where("reason is null").count() == 1
