@@ -67,8 +67,8 @@ def gate_matrix(pending: DataFrame, targets: Sequence[Target]) -> DataFrame:
 
 
 def select_ids(entries: DataFrame, ids: DataFrame | None) -> DataFrame:
-    """Entries with a wanted id; no list means all, unknown ids are ignored."""
-    if ids is None:
+    """Entries with a wanted id; no list or an empty one means all, unknown ids are ignored."""
+    if ids is None or ids.isEmpty():
         return entries
     return entries.join(ids.select("id").distinct(), "id", "left_semi")
 

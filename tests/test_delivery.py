@@ -55,6 +55,8 @@ def test_gate_and_ids(spark):
     wanted = spark.createDataFrame([("b",), ("nope",)], "id string")
     row = dl.sync_plan(pending, PUSH.accepted, ids=wanted).first()
     assert (row["id"], row["reason"]) == ("b", 'privacy level "sensitive" is not accepted by this target')
+    assert dl.sync_plan(pending, PUSH.accepted, ids=wanted.where("id = ''")).count() == 2
+    assert dl.sync_plan(pending, PUSH.accepted, ids=wanted.where("id = 'nope'")).count() == 0
     matrix = dl.gate_matrix(pending, [PUSH, dl.Target("f", "file"), dl.Target("only", "file", levels=("public",))])
     assert {(r["target"], r["id"]): r["accepted"] for r in matrix.collect()} == {
         ("hook", "a"): True, ("hook", "b"): False, ("f", "a"): True, ("f", "b"): True,
