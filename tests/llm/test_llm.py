@@ -143,6 +143,31 @@ def test_one_row_of_each_group_stays(docs):
     assert sorted((r[0] for r in kept.select("doc_id").collect()), key=repr) == sorted(components_, key=repr)
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_of_four_fifths_are_found(spark):
+    rng = np.random.default_rng(8)
+    table, want, alike = [], [], 0
+    for i in range(150):
+        words = [f"{w}{rng.integers(0, 40)}" for w in prose(200 + i, int(rng.integers(60, 400))).split()]
+        copy = [f"new{rng.integers(0, 10**6)}" if rng.random() < 0.02 else w for w in words]
+        near = jaccard(" ".join(words), " ".join(copy)) >= 0.8
+        alike += near
+        table += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        want += [2 * i] if near else [2 * i, 2 * i + 1]
+    hot = prose(900, 300).split()
+    table += [(1000 + i, " ".join([*hot[:i], f"own{i}", *hot[i + 1 :]])) for i in range(200)]
+    table += [(2000, None), (2001, ""), (2002, "two words"), (2003, "two words"), (2003, "two words"), (None, "two Words")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    assert alike > 50
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert kept == want + [1000, 2000, 2002]
+    assert corpus_pipeline.near_dedup(spark, docs.where("false"), SF).count() == 0
+
+
 # --- sharding, mixing -----------------------------------------------------------------------------
 
 
