@@ -380,6 +380,23 @@ def test_surrogates(spark):
     assert sorted(r[3] for r in out if r[0] in (1, 4, 6)) == [0, 0, 0, 3]
 
 
+@pytest.mark.parametrize("text", [
+    "call 06 12 34 56 78 now", "+44 20 794 609 58", "555 123 456", "+4420794609", "“Mr Brown” said", "«Frau Keller»", "so—Anna Smith", "¿Juan Perez?",
+    "token: abcdefghijklm", "Key = abcdefghijklm", "id a1bcdefabcdefabcdefabcdefabcdefa1", "id abcdefabcdefabcdefabcdefabcdef1a", "١٢٣-٤٥-٦٧٨٩",
+    "4 5-3 9 5 7 8 7 6 3 6 2 1 4 8 6", "8.8.4.4", "GB82WEST12345698765432", "a@b.example", "Dr. Oswald", "_Mr Brown", "… Mary O’Neill",
+])
+def test_gate_passes_whatever_a_finder_matches(text):
+    hit = any(finder.search(text) for finder in surrogates.FINDERS.values())
+    assert hit == (text != "_Mr Brown") and (surrogates.may_hold(text) or not hit)
+
+
+def test_grouped_numbers_and_quoted_names_are_replaced(spark):
+    real = ["06 12 34 56 78", "+44 20 794 609 58", "555 123 456", "Brown"]
+    docs = spark.createDataFrame([(i, f"“Mr {r}” said" if r == "Brown" else f"call {r} now") for i, r in enumerate(real)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in surrogates.pseudonymized(docs).collect()}
+    assert all(out[i]["n_entities"] == 1 and r not in out[i]["text"] for i, r in enumerate(real))
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """Two-digit numbers as phones: draws collide with each other and with real ones, and end up one to one."""
     real = [f"555{n:04d}" for n in range(2000)]
