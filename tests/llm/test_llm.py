@@ -219,6 +219,25 @@ def test_pfair_period_meets_all_windows():
             assert (j - 1) * units // q[s] <= t < -(-j * units // q[s])
 
 
+def test_long_mixtures_stay_within_a_block_of_the_given_weights(spark):
+    small = {f"s{i}": 2.0 / 57 for i in range(19)}
+    weights = {"hot": 1 / 3, **small, "rare": 1 / 7000}
+    done, total = Counter(), sum(weights.values())
+    for t, (s, block) in enumerate(mixing.schedule(weights, {"hot": 30_000, "rare": 1, **dict.fromkeys(small, 1)}), 1):
+        assert block == done[s]
+        done[s] += 1
+        if t % 97 == 0 or t > 89_000:
+            assert all(abs(done[x] - t * w / total) < 1 + 1e-6 for x, w in weights.items()), t
+    assert done["hot"] == 30_000
+    table = spark.range(40_000).select("id", F.when(F.col("id") < 10, "rare").otherwise("hot").alias("source"))
+    docs = table.select(F.col("id").alias("doc_id"), "source", F.lit("t").alias("text"))
+    found = mixing.mix(docs, {"hot": 1.0, "rare": 0.0003}).groupBy("source").agg(F.countDistinct("slot").alias("n")).collect()
+    blocks = {r["source"]: r["n"] for r in found}
+    assert abs(blocks["rare"] - sum(blocks.values()) * 0.0003 / 1.0003) < 1
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"hot": 1.0, "rare": 0.0})
+
+
 def test_mixed_documents_keep_columns_and_rows(docs):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
