@@ -4,12 +4,13 @@ Words are hashed at the selected places of fixed masks, so a seed still matches
 changed. Seeds of the benchmark fill a bitmap of fixed size. Each document tests its seeds against it and keeps the words
 around possible hits only. These join the benchmark's seeds, and each hit is verified: along its diagonal, the best
 run of words may hold substitutions but must agree in ``MIN_SHARE`` of its places and in ``MIN_WORDS`` words
-(in the whole item if that is shorter). Items shorter than the masks are looked for as a whole and unchanged.
+(in 80 % of the item if that is shorter). The masks hit every such run of up to 20 words, whichever words were changed. Items of
+``SHORT_ITEM`` to 12 words have masks of their own; shorter ones are looked for as a whole and unchanged.
 
 A fuller bitmap only lets more candidates into the join, so larger benchmarks need no other path.
 
-Defined cases: null and empty texts have no words and never match; items under ``LEAST_ITEM`` words say nothing
-about a document and are not looked for; repeated items are found under each id; equal documents give equal
+Defined cases: null and empty texts have no words and never match; items under 5 words
+are not looked for; repeated items are found under each id; equal documents give equal
 results; an empty table on either side gives no rows; other columns of the input are not looked at.
 """
 
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 
 from gleanflow.llm.common import row_key, staged, table
 
-# Fixed masks: 1 is a place that counts.
-MASKS = ("1110110010101", "1101001011011", "1011011000111")
+# Fixed masks: 1 is a place that counts. Found by search, so that one of them misses all changed words of any run that is accepted.
+MASKS = ("1101111", "1100010111", "111000100101")
+SHORT_MASKS = ("11101", "1100101")
 MIN_WORDS = 12
 MIN_SHARE = 0.8
-LEAST_ITEM = 5
+# Items of fewer words allow no changes.
+SHORT_ITEM = 8
 # Bits of the bitmap that every task holds: 8 MB whatever the benchmark's size.
 BITMAP_BITS = 1 << 26
 # Words kept on each side of a hit.
@@ -77,8 +80,9 @@ def seeds(ids: np.ndarray, mask: str) -> np.ndarray:
 
 
 def item_masks(size: int) -> tuple[str, ...]:
-    span = len(MASKS[0])
-    return MASKS if size >= span else ("1" * size,) if size >= LEAST_ITEM else ()
+    if size > MIN_WORDS:
+        return MASKS
+    return SHORT_MASKS if size >= SHORT_ITEM else ("1" * size,) if size >= 5 else ()
 
 
 def benchmark_seeds(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -92,12 +96,12 @@ def benchmark_seeds(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
                 ids = word_ids(body, known)
                 for mask in item_masks(len(ids)):
                     h = seeds(ids, mask)
-                    out.append((item, ids.view(np.int64), len(mask), h.view(np.int64), np.arange(len(h))))
-            yield pd.DataFrame(out, columns=["item_id", "words", "span", "hashes", "places"])
+                    out.append((item, ids.view(np.int64), mask, h.view(np.int64), np.arange(len(h))))
+            yield pd.DataFrame(out, columns=["item_id", "words", "mask", "hashes", "places"])
 
     kind = dict(benchmark.dtypes)[item_id]
     return benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).mapInPandas(
-        of, f"item_id {kind}, words array<long>, span int, hashes array<long>, places array<long>"
+        of, f"item_id {kind}, words array<long>, mask string, hashes array<long>, places array<long>"
     )
 
 
@@ -118,9 +122,9 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
 REGION = "key long, words array<long>, start long, hashes array<long>, places array<long>"
 
 
-def candidates(docs: DataFrame, text: str, bits, spans: list[int]) -> DataFrame:
+def candidates(docs: DataFrame, text: str, bits, masks: list[str]) -> DataFrame:
     """Words around places whose seeds are in the bitmap, one row for each stretch of a document."""
-    masks = [m for m in MASKS] * (len(MASKS[0]) in spans) + ["1" * n for n in spans if n < len(MASKS[0])]
+    longest = max(map(len, masks), default=0)
 
     def hits(ids: np.ndarray, held: np.ndarray):
         where, what = [], []
@@ -128,6 +132,9 @@ def candidates(docs: DataFrame, text: str, bits, spans: list[int]) -> DataFrame:
             h = seeds(ids, mask)
             low = h & np.uint64(BITMAP_BITS - 1)
             at = np.flatnonzero(held[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1))
+            if "0" not in mask:
+                # A whole item: its first place in the document says all.
+                at = np.sort(at[np.unique(h[at], return_index=True)[1]])
             where.append(at)
             what.append(h[at])
         where, what = np.concatenate(where), np.concatenate(what)
@@ -147,7 +154,7 @@ def candidates(docs: DataFrame, text: str, bits, spans: list[int]) -> DataFrame:
                 cuts = np.flatnonzero(np.diff(where) > 2 * AROUND) + 1
                 for places, found in zip(np.split(where, cuts), np.split(what, cuts), strict=True):
                     first = max(0, int(places[0]) - AROUND)
-                    last = int(places[-1]) + len(MASKS[0]) + AROUND
+                    last = int(places[-1]) + longest + AROUND
                     for column, value in zip(
                         rows, (key, ids[first:last].view(np.int64), first, found.view(np.int64), places - first), strict=True
                     ):
@@ -187,12 +194,12 @@ def overlap_of(words: pd.Series, item: pd.Series, shift: pd.Series) -> pd.DataFr
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """Verified overlaps of documents (by their ``key``) and items: ``key, item_id, first_word, n_words, n_agreeing, item_words``."""
     items = staged(benchmark_seeds(benchmark, item_id, text))
-    exploded = items.select("item_id", "span", F.explode(F.arrays_zip("hashes", "places")).alias("s"))
-    exploded = exploded.select("item_id", "span", F.col("s.hashes").alias("hash"), F.col("s.places").alias("item_place"))
+    exploded = items.select("item_id", F.explode(F.arrays_zip("hashes", "places")).alias("s"))
+    exploded = exploded.select("item_id", F.col("s.hashes").alias("hash"), F.col("s.places").alias("item_place"))
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(bitmap(exploded))
-    spans = sorted(r[0] for r in items.select("span").distinct().collect())  # at most one per mask length
-    regions = candidates(docs, text, bits, spans).withColumn("region", F.monotonically_increasing_id())
+    masks = sorted(r[0] for r in items.select("mask").distinct().collect())  # 5 and one for each length below SHORT_ITEM at most
+    regions = candidates(docs, text, bits, masks).withColumn("region", F.monotonically_increasing_id())
     regions = staged(regions)
     hits = regions.select("region", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select(
         "region", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place")

@@ -1,6 +1,7 @@
 """The training-data operators against plain Python on small tables with odd rows."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -328,6 +329,22 @@ def test_changed_words_are_tolerated(spark):
     assert sorted((r[0] for r in left.select("doc_id").collect()), key=repr) == [1, 4, 5, 6, 7]
 
 
+def seeds_meet(words, copy):
+    a, b = (np.array(x, np.uint64) for x in (words, copy))
+    return any((dc.seeds(a, m)[: len(b)] == dc.seeds(b, m)).any() for m in dc.item_masks(len(a)))
+
+
+def test_masks_hit_every_accepted_run_of_up_to_twenty_words():
+    for size in range(dc.SHORT_ITEM, 21):
+        words = list(range(size))
+        for n in range(size // 5 + 1):
+            for changed in itertools.combinations(range(size), n):
+                copy = [w if w not in changed else 1000 + w for w in words]
+                _, length, agree = dc.overlap(np.array(copy), np.array(words), 0)
+                if agree >= min(dc.MIN_WORDS, -(-4 * size // 5)) and agree >= dc.MIN_SHARE * length:
+                    assert seeds_meet(words, copy), (size, changed)
+
+
 def test_planted_benchmark_passages(spark):
     d, b = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").collect() for t in ("documents", "benchmark"))
     planted = {(x["doc_id"], i["item_id"]) for x in d for i in b if i["text"] in x["text"]}
