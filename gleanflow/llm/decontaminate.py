@@ -9,14 +9,17 @@ run of words may hold substitutions but must agree in ``MIN_SHARE`` of its place
 
 A fuller bitmap only lets more candidates into the join, so larger benchmarks need no other path.
 
-Defined cases: null and empty texts have no words and never match; items under 5 words
-are not looked for; repeated items are found under each id; equal documents give equal
+Defined cases: null and empty texts have no words and never match; items without words
+are not looked for; an item of a single word is found wherever that word stands; repeated items are found under each id; equal documents give equal
 results; an empty table on either side gives no rows; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,6 +44,12 @@ MISMATCH = 2.0
 
 ASCII_WORDS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 REMEMBERED = 500_000
+# Letters of scripts that are written without spaces: each one is a word.
+UNSPACED = re.compile(
+    "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aad\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3040-\u30ff\u3100-\u312f"
+    "\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f"
+    "\U00020000-\U0003ffff]"
+)
 
 
 class WordIds(dict):
@@ -55,9 +64,34 @@ class WordIds(dict):
         return value
 
 
+class Places(dict):
+    """What a character of a word becomes: itself, nothing (format characters) or a gap."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        value = c if kind[0] in "LMN" or kind in ("Cs", "Co") else "" if kind == "Cf" else " "
+        if value == c and UNSPACED.match(c):
+            value = f" {c} "
+        self[code] = value
+        return value
+
+
+PLACES = Places()
+
+
+@lru_cache(maxsize=100_000)
+def parts(word: bytes) -> tuple[bytes, ...]:
+    """The words in a run that has characters beyond ASCII."""
+    text = word.decode("utf-8", "surrogatepass").translate(PLACES)
+    return tuple(w.encode("utf-8", "surrogatepass") for w in text.split())
+
+
 def word_ids(text: str | None, known: WordIds) -> np.ndarray:
-    """Lower-case words: runs of ASCII letters and digits and of all other characters beyond ASCII."""
+    """Lower-case words: runs of letters, marks and numbers; letters of unspaced scripts one by one."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").translate(ASCII_WORDS).split()
+    if text and not text.isascii():
+        words = [w for run in words for w in ((run,) if run.isascii() else parts(run))]
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -82,7 +116,7 @@ def seeds(ids: np.ndarray, mask: str) -> np.ndarray:
 def item_masks(size: int) -> tuple[str, ...]:
     if size > MIN_WORDS:
         return MASKS
-    return SHORT_MASKS if size >= SHORT_ITEM else ("1" * size,) if size >= 5 else ()
+    return SHORT_MASKS if size >= SHORT_ITEM else ("1" * size,) if size else ()
 
 
 def benchmark_seeds(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:

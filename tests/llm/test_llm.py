@@ -345,6 +345,19 @@ def test_masks_hit_every_accepted_run_of_up_to_twenty_words():
                     assert seeds_meet(words, copy), (size, changed)
 
 
+def test_runs_inside_longer_items_unspaced_scripts_and_short_items(spark):
+    item, ten = prose(51, 40).split(), prose(52, 10).split()
+    clean = prose(61, 90)
+    chinese, thai = "水在一个大气压下的沸点是多少度？", "น้ำเดือดที่กี่องศา"
+    ten_changed = [w if i not in (3, 6) else "changed" for i, w in enumerate(ten)]
+    table = [(1, f"{clean} {' '.join(item[9:21])} {clean}"), (2, f"文章：“{chinese}”。完"), (3, f"บทความ {thai} จบ"), (4, f"{clean} Forty-two, «Zürich»! {clean}"),
+             (5, clean), (6, "水在气压下"), (7, f"{clean} {' '.join(ten_changed)} {clean}"), (8, "forty zürich two")]
+    docs = dc.keyed(spark.createDataFrame(table, "doc_id long, text string"))
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, chinese), (3, thai), (4, "forty two zürich"), (7, " ".join(ten)), (9, "?!")], "item_id int, text string")
+    found = docs.join(dc.contaminated(docs, bench), "key").select("doc_id", "item_id").collect()
+    assert {tuple(r) for r in found} == {(1, 1), (2, 2), (3, 3), (4, 4), (7, 7)}
+
+
 def test_planted_benchmark_passages(spark):
     d, b = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").collect() for t in ("documents", "benchmark"))
     planted = {(x["doc_id"], i["item_id"]) for x in d for i in b if i["text"] in x["text"]}
