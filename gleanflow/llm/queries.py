@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gleanflow.llm.chat import OP12_SQL, op12_chat_round_trip
 from gleanflow.llm.decontaminate import op7_spaced_seed_decontamination
 from gleanflow.llm.mixing import op10_pfair_mixture
 from gleanflow.llm.quality import op6_weak_supervision
@@ -11,6 +12,8 @@ from gleanflow.llm.simhash import op1_simhash_vptree
 from gleanflow.llm.substrings import op8_radix_suffixes
 from gleanflow.llm.surrogates import op4_pii_surrogates
 from gleanflow.llm.tokens import op2_digest_cache_tokens
+from gleanflow.llm.variants import OP11_SQL, op11_trie_pair_variants
+from gleanflow.llm.whitening import op13_chebyshev_whitening
 from gleanflow.llm.wrappers import op9_wrapper_text
 
 QUERIES = {
@@ -24,5 +27,11 @@ QUERIES = {
     "op8_radix_suffixes": op8_radix_suffixes,
     "op9_wrapper_text": op9_wrapper_text,
     "op10_pfair_mixture": op10_pfair_mixture,
+    "op11_trie_pair_variants": op11_trie_pair_variants,
+    "op12_chat_round_trip": op12_chat_round_trip,
+    "op13_chebyshev_whitening": op13_chebyshev_whitening,
+}
+ORACLES: dict[str, str] = {
+    "op11_trie_pair_variants": OP11_SQL,
+    "op12_chat_round_trip": OP12_SQL,
 }
-ORACLES: dict[str, str] = {}
