@@ -4,8 +4,8 @@ Each stage is written as Parquet and read again as the next one's input. All but
 ``documents``; the last one adds ``shard`` and ``slot`` to each row's id and source.
 
 * ``quality``: rows that the base rules or the estimated quality reject go.
-* ``near_dedup``: of each component of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more
-  the row with the smallest id stays.
+* ``near_dedup``: of each component of texts whose fingerprints differ in few bits (op1's shingles and distance) the row with
+  the smallest id stays.
 * ``decontaminate``: rows that overlap a benchmark item go.
 * ``mix``: rows in the order of the mixture; rows of sources that the target weights want more of come again.
 * ``shard``: every row of the mixture with its shard and slot.
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gleanflow.llm.common import staged, table
 from gleanflow.llm.decontaminate import clean_documents
 from gleanflow.llm.mixing import mixed
-from gleanflow.llm.nearcopies import one_of_near_copies
 from gleanflow.llm.quality import good_documents
 from gleanflow.llm.sharding import shard_rows
+from gleanflow.llm.simhash import one_per_group
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_near_copies(docs)
+    return one_per_group(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ STAGES = [
     ("shard", shard),
 ]
 
-# SQL can't express expectation-maximisation or min-hash signatures; tests compare with plain Python.
+# SQL can't express expectation-maximisation or fingerprints; tests compare with plain Python.
 ORACLE_SQL = None
 
 
