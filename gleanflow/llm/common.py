@@ -30,10 +30,35 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def named(columns: list[str]) -> list[Column]:
+    """The columns under their names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it (Spark takes upper and lower case for one)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(*columns: str) -> Column:
     """64 bits that stand for the values of the columns; nulls count as values of their own."""
-    marks = [F.col(c).isNull() for c in columns]
-    return F.xxhash64(*columns, *marks)
+    values = named(list(columns))
+    return F.xxhash64(*values, *[c.isNull() for c in values])
+
+
+# Keys that are sent to all tasks at most: 8 MB.
+FEW_KEYS = 1 << 20
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not among the distinct ``keys`` (staged, bigint).
+
+    The list goes to all tasks if it is counted to be short, so the rows stay where they are; a longer one is joined by shuffle.
+    """
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, key, "left_anti")
 
 
 def ordered(df: DataFrame, *order: Column) -> DataFrame:

@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanflow.llm.common import row_key, staged, table
+from gleanflow.llm.common import named, row_key, staged, table, unused, without
 
 # Fixed masks: 1 is a place that counts. Found by search, so that one of them misses all changed words of any run that is accepted.
 MASKS = ("1101111", "1100010111", "111000100101")
@@ -80,18 +79,25 @@ class Places(dict):
 PLACES = Places()
 
 
-@lru_cache(maxsize=100_000)
-def parts(word: bytes) -> tuple[bytes, ...]:
-    """The words in a run that has characters beyond ASCII."""
-    text = word.decode("utf-8", "surrogatepass").translate(PLACES)
-    return tuple(w.encode("utf-8", "surrogatepass") for w in text.split())
+class Parts(dict):
+    """The words in a run that has characters beyond ASCII, remembered within bounds."""
+
+    def __missing__(self, run: bytes) -> tuple[bytes, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        text = run.decode("utf-8", "surrogatepass").translate(PLACES)
+        value = self[run] = tuple(w.encode("utf-8", "surrogatepass") for w in text.split())
+        return value
+
+
+PARTS = Parts()
 
 
 def word_ids(text: str | None, known: WordIds) -> np.ndarray:
     """Lower-case words: runs of letters, marks and numbers; letters of unspaced scripts one by one."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").translate(ASCII_WORDS).split()
     if text and not text.isascii():
-        words = [w for run in words for w in ((run,) if run.isascii() else parts(run))]
+        words = [w for run in words for w in ((run,) if run.isascii() else PARTS[run])]
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -287,7 +293,7 @@ def op7_spaced_seed_decontamination(spark, sf_dir):
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that overlap a benchmark item."""
-    marked = keyed(docs.withColumnRenamed("key", "_key_of_docs")) if "key" in docs.columns else keyed(docs)
-    found = overlaps(marked.select("key", "text"), benchmark).select("key").distinct()
-    left = marked.join(found, "key", "left_anti").drop("key")
-    return left.withColumnRenamed("_key_of_docs", "key") if "key" in docs.columns else left
+    mark = unused(docs.columns, "_key")
+    found = overlaps(docs.select(row_key("doc_id", "text").alias("key"), "text"), benchmark)
+    found = staged(found.select(F.col("key").alias(mark)).distinct())
+    return without(docs.withColumn(mark, row_key("doc_id", "text")), found, mark).select(*named(docs.columns))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanflow.llm.common import ranked_within, row_key, shuffle_partitions, staged, table
+from gleanflow.llm.common import named, ranked_within, row_key, shuffle_partitions, staged, table, unused
 
 SEED = 10
 BLOCK_ROWS = 16
@@ -179,11 +179,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Texts move twice: to their places and into the order. Columns of map type can't be part of the mark.
     """
     columns = [f.name for f in docs.schema.fields if f.dataType.typeName() != "map"]
-    places = mix(docs, mark=columns, **options).select(F.col("key").alias("_key"), F.col("position").alias("_position"))
-    texts = docs.withColumn("_key", row_mark(columns)).dropDuplicates(["_key"])
-    placed = texts.join(places, "_key")
+    key, position = unused(docs.columns, "_key"), unused(docs.columns, "_position")
+    places = mix(docs, mark=columns, **options).select(F.col("key").alias(key), F.col("position").alias(position))
+    texts = docs.withColumn(key, row_mark(columns)).dropDuplicates([key])
+    placed = texts.join(places, key)
     n = shuffle_partitions(docs.sparkSession)
-    return placed.repartitionByRange(n, "_position").sortWithinPartitions("_position").select(*docs.columns)
+    return placed.repartitionByRange(n, position).sortWithinPartitions(position).select(*named(docs.columns))
 
 
 def op10_pfair_mixture(spark, sf_dir):

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanflow.llm.common import staged, table
+from gleanflow.llm.common import named, staged, table, unused
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -75,8 +75,8 @@ def text_counts(text: str) -> tuple[int, ...]:
     )
 
 
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the struct ``_counts``."""
+def counted(docs: DataFrame, text: str = "text", name: str = "_counts") -> DataFrame:
+    """``docs`` with the struct ``name``."""
 
     @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -84,7 +84,7 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame([text_counts(t or "") for t in texts], columns=COUNTS, dtype="int64")
 
     # Without this, a filter would have the counts made once more.
-    return docs.withColumn("_counts", counts.asNondeterministic()(F.col(text)))
+    return docs.withColumn(name, counts.asNondeterministic()(F.col(text)))
 
 
 # --- rules --------------------------------------------------------------------------------
@@ -207,11 +207,17 @@ def judged(docs: DataFrame, keep: float = KEEP) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The kept rows with the columns of ``docs``. Texts are counted twice and never shuffled."""
-    rows = counted(docs).withColumns({"_pattern": pattern(), "_failed": base_failed()})
-    quality, _ = scored(rows.select("_pattern", "_failed"))
-    passed = rows.where(~F.col("_failed")).join(F.broadcast(quality.where(F.col("_quality") >= keep)), "_pattern", "left_semi")
-    return passed.select(*docs.columns)
+    """The kept rows with the columns of ``docs``.
+
+    Texts are counted once and never shuffled; rows that pass the base rules are staged with their votes.
+    """
+    counts, votes = unused(docs.columns, "_counts"), unused(docs.columns, "_pattern")
+    rows = counted(docs, name=counts).where(~base_failed(counts)).withColumn(votes, pattern(counts=counts)).drop(counts)
+    rows = staged(rows)
+    quality, _ = scored(rows.select(F.col(votes).alias("_pattern"), F.lit(False).alias("_failed")))
+    # At most 3 ** len(RULES) numbers.
+    good = quality.where(F.col("_quality") >= keep).select(F.col("_pattern").alias(votes))
+    return rows.join(F.broadcast(good), votes, "left_semi").select(*named(docs.columns))
 
 
 def op6_weak_supervision(spark, sf_dir):

@@ -5,7 +5,7 @@ The rows of every source are shuffled by a seeded hash and ranked. A row's fract
 proportion, so cutting the order into equal runs gives shards that all match the mixture.
 
 Defined cases: null and missing texts have size 1 and checksum 0; a null source is a source of its own;
-equal rows are separate rows; an empty table gives no rows; other columns of the input are not looked at.
+equal rows are separate rows, which the shuffle parts; an empty table gives no rows; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -13,10 +13,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanflow.llm.common import positions, ranked_within, table, text_of
+from gleanflow.llm.common import positions, ranked_within, shuffle_partitions, table, text_of
 
 SEED = 20
 SHARDS = 16
+RUN = 4096
+
+
+def numbered_copies(narrow: DataFrame) -> DataFrame:
+    """Equal rows get numbers from 0 (``_copy``), so that the shuffle parts them; one row may have any number of copies.
+
+    Equal rows can't be told apart, so they are counted and written out again, in runs of ``RUN`` that spread over the tasks.
+    """
+    counts = narrow.groupBy(*narrow.columns).agg(F.count("*").alias("_n"))
+    runs = counts.select("*", F.explode(F.expr(f"sequence(0L, (_n - 1) div {RUN})")).alias("_run"))
+    runs = runs.repartition(shuffle_partitions(narrow.sparkSession), *narrow.columns, "_run")
+    copies = F.explode(F.expr(f"sequence(_run * {RUN}, least(_n, (_run + 1) * {RUN}) - 1)"))
+    return runs.select(*narrow.columns, copies.alias("_copy"))
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -32,10 +45,11 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
         (F.octet_length(text_of()) + 1).cast("bigint").alias("size"),
         F.crc32(text_of()).alias("text_crc32"),
     )
-    shuffled = F.xxhash64(F.lit(seed), "doc_id", "text_crc32")
+    shuffled = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "_copy")
     ranks = ranked_within(
-        narrow.withColumn("_mix", shuffled), "_source", F.col("_mix"), F.col("doc_id"), F.col("text_crc32"), F.col("size")
-    )
+        numbered_copies(narrow).withColumn("_mix", shuffled),
+        "_source", F.col("_mix"), F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("_copy"),
+    )
     fraction = ((F.col("_rank") + 0.5) / F.col("_total")).alias("_fraction")
     rows, total = positions(
         ranks.select("doc_id", "source", "_source", "size", "text_crc32", "_rank", fraction),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanflow.llm.common import components, row_key, staged, table
+from gleanflow.llm.common import components, named, row_key, staged, table, unused
 
 WORDS = 3
 RADIUS = 3
@@ -252,14 +252,17 @@ def op1_simhash_vptree(spark, sf_dir):
 
 def one_per_group(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null ids last)."""
-    columns = ["doc_id", "text"]
-    marked = docs.withColumn("_key", row_key(*columns))
-    found = near_duplicates(marked, words, radius, ("_key",))
-    # A component without ids is told apart by its smallest fingerprint.
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
+    # 128 bits for id and text, so that rows of a very large table stay apart.
+    marks = {unused(docs.columns, "_key"): row_key("doc_id", "text"), unused(docs.columns, "_mark"): row_key("text", "doc_id")}
+    found = near_duplicates(docs.select("doc_id", "text", row_key("doc_id", "text").alias("_key"), row_key("text", "doc_id").alias("_mark")),
+                            words, radius, ("_key", "_mark"))
+    # A component without ids is told apart by one of its fingerprints.
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "_mark")
     group = F.when(F.col("component_id").isNull(), F.col("_fp"))
-    first = found.groupBy("component_id", group.alias("_g")).agg(F.min(order).alias("_o")).select(F.col("_o._key").alias("_key"))
-    kept = marked.join(first.distinct(), "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.select(*docs.columns)
+    first = found.groupBy("component_id", group.alias("_g")).agg(F.min(order).alias("_o"))
+    key, mark = marks
+    first = first.select(F.col("_o._key").alias(key), F.col("_o._mark").alias(mark)).distinct()
+    kept = docs.withColumns(marks).join(first, [key, mark], "left_semi").dropDuplicates([key, mark])
+    return kept.select(*named(docs.columns))
 
 

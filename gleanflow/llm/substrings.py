@@ -13,8 +13,8 @@ and everything beyond stays unsorted. The digits of a suffix's first n bytes are
 
 Texts are reduced to distinct ones, which are kept in chunks as a bucketed table, so the passes move digits and answers
 and no texts. A chunk sends an anchor or a context once however many of its documents share it, so passages that many
-documents share don't gather in one task. Hashes of anchors only admit candidates; windows are told apart by
-64-bit hashes of their bytes next to the anchor's hash.
+documents share don't gather in one task. Hashes of anchors only admit candidates: a context holds the
+anchor's bytes too, and windows of one hash are compared byte by byte.
 
 Defined cases: null and empty texts have no windows; a text that a smaller id has too is removed whole if it
 has at least ``WINDOW`` bytes; a null id comes after all others and null ids count as one document, as do repeated ids; an empty
@@ -154,20 +154,18 @@ def anchor_table(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 # --- contexts -----------------------------------------------------------------------------
 
-# What an anchor's surroundings hold: SIDE bytes before and after it, and how many of them are in the text.
-WIDTH = 2 * SIDE
+# What a context holds: the anchor with SIDE bytes before and after it, and how many of these are in the text.
+WIDTH = SIDE + GRAM + SIDE
 
 
 def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, at: np.ndarray):
     left = np.minimum(at - starts[text], SIDE)
     right = np.minimum(ends[text] - at - GRAM, SIDE)
     padded = np.concatenate((np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)))
-    before = np.lib.stride_tricks.sliding_window_view(padded, SIDE)[at]
-    after = np.lib.stride_tricks.sliding_window_view(padded, SIDE)[at + SIDE + GRAM]
-    steps = np.arange(SIDE)
-    before = np.where(steps >= SIDE - left[:, None], before, 0).astype(np.uint8)
-    after = np.where(steps < right[:, None], after, 0).astype(np.uint8)
-    return np.concatenate((before, after), axis=1), left.astype(np.uint8), right.astype(np.uint8)
+    around = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[at]
+    steps = np.arange(WIDTH)
+    inside = (steps >= SIDE - left[:, None]) & (steps < SIDE + GRAM + right[:, None])
+    return np.where(inside, around, 0).astype(np.uint8), left.astype(np.uint8), right.astype(np.uint8)
 
 
 def context_table(chunk: Chunk, wanted: np.ndarray):
@@ -207,13 +205,19 @@ def late_windows(h, body, left, right, docs) -> np.ndarray:
     before, after = np.zeros((SIDE + 1, n), np.uint64), np.zeros((SIDE + 1, n), np.uint64)
     for j in range(SIDE):
         before[j + 1] = before[j] * np.uint64(ODD) + body[:, SIDE - 1 - j] + np.uint64(1)
-        after[j + 1] = after[j] * np.uint64(ODD) + body[:, SIDE + j] + np.uint64(1)
+        after[j + 1] = after[j] * np.uint64(ODD) + body[:, SIDE + GRAM + j] + np.uint64(1)
     for distance in range(SIDE + 1):
         fits = np.flatnonzero((left >= distance) & (right >= SIDE - distance))
         if len(fits) < 2:
             continue
         key = scrambled(before[distance, fits]) + np.uint64(ODD) * scrambled(after[SIDE - distance, fits] + h[fits])
         order, starts = per_value(key)
+        windows = body[fits[order], SIDE - distance : SIDE - distance + WINDOW]
+        differ = np.flatnonzero((windows[1:] != windows[:-1]).any(axis=1)) + 1
+        if not np.isin(differ, starts).all() or not np.isin(starts[1:], differ).all():
+            # Different windows of one hash: sorted by their bytes.
+            bytes_ = np.ascontiguousarray(body[fits, SIDE - distance : SIDE - distance + WINDOW])
+            order, starts = per_value(np.unique(bytes_.view((np.void, WINDOW)).ravel(), return_inverse=True)[1])
         lowest = np.minimum.reduceat(docs[fits][order], starts)
         first = np.repeat(lowest, np.diff(np.append(starts, len(fits))))
         late = fits[order][docs[fits][order] > first]

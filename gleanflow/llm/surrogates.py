@@ -4,7 +4,8 @@ A surrogate depends on a secret key, the entity's kind and its normal form, so t
 in every document and spelling. It is written in the form of each mention: separators, letter case and script stay,
 digits become digits and letters letters of the same script. Card numbers keep whether their check digit
 holds, bank accounts get right check digits, phone numbers keep their country, addresses stay public or private, given names keep their
-gender, and a full name and its surname alone stay consistent.
+gender, and a full name and its surname alone stay consistent. A name that a text introduces by a title or a known given name is
+replaced wherever that text has it. Dates, ranges of years, numbers in thousands and ISBNs are no phones or cards.
 
 Two entities of a kind must not share a surrogate, and a surrogate must not be an entity of the corpus. Both are
 checked over the distinct entities of the whole corpus: those in conflict draw again until none is left, the smallest
@@ -25,8 +26,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleanflow.llm.common import staged, table
+from gleanflow.llm.common import named, staged, table, unused
 
 # A run in production passes its own secret.
 KEY = b"gleanflow surrogate key"
@@ -54,7 +56,7 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<!\w)\+\d{8,15}(?!\w)",
+    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<!\w)\+\d{8,15}(?!\w)|\(\d{2,5}\)[ .-]?\d{3,10}(?![\w-])",
     "name": rf"\b(?P<title>{'|'.join(MALE + FEMALE + NEUTRAL)})\b\.? (?P<v2>{NAME}(?: {NAME}){{0,2}})",
     "given": rf"\b(?P<v3>(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {NAME})\b",
 }
@@ -86,6 +88,23 @@ def mod97(account: str) -> int:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
 
 
+def is_phone(body: str, norm: str) -> bool:
+    """A country sign, a bracket, a leading zero or a usual grouping; not dates, ranges of years or numbers in thousands."""
+    if not 7 <= len(norm) <= 15:
+        return False
+    if "+" in body or "(" in body:
+        return True
+    groups = re.split(r"\D", body)
+    if norm[0] == "0":
+        return len(norm) >= 9 and not re.fullmatch(r"\d\d\D\d\d\D\d{4}", body)
+    sizes = [len(g) for g in groups]
+    return sizes in ([3, 3, 4], [3, 4, 4]) or sizes == [3, 4] and "-" in body or sizes == [3, 3, 3] and groups[1:] != ["000", "000"]
+
+
+def is_isbn(digits: str) -> bool:
+    return len(digits) == 13 and digits[:3] in ("978", "979") and sum(int(d) * (1, 3)[i % 2] for i, d in enumerate(digits)) % 10 == 0
+
+
 def entities(text: str) -> list[tuple[int, int, str, str, str]]:
     """``(start, end, kind, normal form, detail)`` without overlaps, kinds in the order of ``PATTERNS``."""
     found: list[tuple[int, int, str, str, str]] = []
@@ -110,10 +129,12 @@ def entities(text: str) -> list[tuple[int, int, str, str, str]]:
                     take(start, end, kind, norm)
             elif kind in ("card", "ssn", "ip"):
                 norm = body if kind == "ip" else re.sub(r"\D", "", body)
+                if kind == "card" and is_isbn(norm):
+                    continue
                 take(start, end, kind, norm, str(luhn(norm)) if kind == "card" else "")
             elif kind == "phone":
                 norm = re.sub(r"\D", "", body)
-                if 7 <= len(norm) <= 15 and ("+" in body or "(" in body or len(norm) >= 9 or "-" in body):
+                if is_phone(body, norm):
                     country = re.match(r"\+(\d{1,3})(?=[ .(-])", body)
                     take(start, end, kind, norm, country[1] if country else "")
             else:
@@ -121,7 +142,7 @@ def entities(text: str) -> list[tuple[int, int, str, str, str]]:
                 title = m["title"] if kind == "name" else ""
                 words = []
                 for w in re.finditer(NAME, text[start:end]):
-                    if not w[0][0].isupper():
+                    if w[0][0].islower():
                         break
                     words.append(w)
                 gender = "m" if title in MALE else "f" if title in FEMALE else ""
@@ -129,6 +150,13 @@ def entities(text: str) -> list[tuple[int, int, str, str, str]]:
                     given = at < len(words) - 1 or w[0].lower() in GENDER
                     sex = GENDER.get(w[0].lower(), gender) if given else ""
                     take(start + w.start(), start + w.end(), "given" if given else "surname", w[0].lower(), sex)
+    # A name that was found once is a name wherever the text has it again, with or without a title.
+    names = {norm: (kind, detail) for _, _, kind, norm, detail in found if kind in ("given", "surname")}
+    for m in re.finditer(NAME, text) if names else ():
+        whole = [m] if m[0].lower() in names else LETTER_RUN.finditer(text, m.start(), m.end())
+        for w in whole:
+            if w[0].lower() in names and not w[0][0].islower():
+                take(w.start(), w.end(), names[w[0].lower()][0], w[0].lower(), names[w[0].lower()][1])
     return sorted(found)
 
 
@@ -153,8 +181,9 @@ class Draw:
 
 
 def script(c: str) -> str:
-    name = unicodedata.name(c, "LATIN")
-    return "cyrillic" if name.startswith("CYRILLIC") else "greek" if name.startswith("GREEK") else "latin"
+    """``latin``, ``cyrillic``, ``greek`` or ``other``."""
+    name = unicodedata.name(c, "LATIN").split(" ")[0].lower()
+    return name if name in LETTERS else "other"
 
 
 # Letters of a script, vowels first.
@@ -167,6 +196,10 @@ LETTERS = {
 
 def like_letter(c: str, draw: Draw) -> str:
     """A letter of the same script, sort and case."""
+    if script(c) == "other":
+        # A letter of the same sort among its 128 neighbours; the letter itself is always one of them.
+        near = [n for n in map(chr, range(ord(c) & ~127, (ord(c) & ~127) + 128)) if unicodedata.category(n) == unicodedata.category(c)]
+        return draw.pick(near)
     vowels, others = LETTERS[script(c)]
     plain = unicodedata.normalize("NFD", c.lower())[0]
     new = draw.pick(vowels if plain in vowels else others)
@@ -209,9 +242,12 @@ def surrogate(kind: str, norm: str, detail: str, attempt: int, key: bytes = KEY)
         ends = [new[:-1] + d for d in "0123456789"]
         return draw.pick([n for n in ends if str(luhn(n)) == detail])
     if kind in ("ssn", "phone"):
-        return digits(len(norm), draw, detail or ("" if norm[0] == "0" else str(1 + draw.below(9))))
+        return digits(len(norm), draw, detail or ("0" if norm[0] == "0" else str(1 + draw.below(9))))
     if kind == "given":
-        names = GIVEN[script(norm[0]), detail] if detail else [n for k, v in GIVEN.items() if k[0] == script(norm[0]) for n in v]
+        kind_of = script(norm[0])
+        if kind_of == "other":
+            return like_text(norm + norm[: max(0, attempt - 4) // 4], draw)
+        names = GIVEN[kind_of, detail] if detail else [n for k, v in GIVEN.items() if k[0] == kind_of for n in v]
         name = draw.pick(names).lower()
         # Past the known names, letters are added so that people stay distinct.
         return name if attempt < 3 else name + like_text(norm[: min(2 + attempt // 4, len(norm) + 8)] or norm, draw)
@@ -243,12 +279,14 @@ def rewritten(text: str, mentions, new: dict[tuple[str, str], str]) -> str:
 
 # --- jobs ----------------------------------------------------------------------------------
 
-MENTIONS = "array<struct<start:int,end:int,kind:string,norm:string,detail:string>>"
+MENTIONS = T.ArrayType(
+    T.StructType([T.StructField(n, T.IntegerType() if n in ("start", "end") else T.StringType()) for n in ("start", "end", "kind", "norm", "detail")])
+)
 
 
-def detected(docs: DataFrame, text: str, with_entities: bool) -> DataFrame:
-    """``docs`` rows with (or without) entities; with them also ``_mentions``."""
-    at = docs.columns.index(text)
+def detected(docs: DataFrame, text: str, with_entities: bool, name: str = "_mentions") -> DataFrame:
+    """``docs`` rows with (or without) entities; with them also the column ``name``."""
+    names, at = docs.columns, docs.columns.index(text)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("norm", pa.string()),
@@ -261,11 +299,13 @@ def detected(docs: DataFrame, text: str, with_entities: bool) -> DataFrame:
             if with_entities:
                 keys = ("start", "end", "kind", "norm", "detail")
                 lists = pa.array([[dict(zip(keys, e, strict=True)) for e in f] for f in found if f], kind)
-                rows = pa.RecordBatch.from_arrays([*rows.columns, lists], [*rows.schema.names, "_mentions"])
-            yield rows
+                rows = pa.RecordBatch.from_arrays([*rows.columns, lists], [*names, name])
+            yield rows if with_entities else rows.rename_columns(names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(find, schema + f", _mentions {MENTIONS}" * with_entities)
+    schema = T.StructType([*docs.schema.fields])
+    # Numbers for names on the way in: a name may hold a dot.
+    numbered = docs.toDF(*map(str, range(len(docs.columns))))
+    return numbered.mapInArrow(find, schema.add(name, MENTIONS) if with_entities else schema)
 
 
 def assigned(entities_: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -291,13 +331,15 @@ def assigned(entities_: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def pseudonymized(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text`` and the column ``n_entities``."""
-    hit = staged(detected(docs, text, True).withColumn("_row", F.monotonically_increasing_id()))
-    mentions = hit.select("_row", F.posexplode("_mentions").alias("_at", "m")).select("_row", "_at", "m.*")
+    """``docs`` with surrogates in ``text`` and the column ``n_entities``, or ``n_entities_`` if there is one of that name."""
+    given, counted = docs.columns, unused(docs.columns, "n_entities")
+    found_, row_, new_ = (unused([*given, counted], name) for name in ("_mentions", "_row", "_new"))
+    hit = staged(detected(docs, text, True, found_).withColumn(row_, F.monotonically_increasing_id()))
+    mentions = hit.select(F.col(row_).alias("_row"), F.posexplode(found_).alias("_at", "m")).select("_row", "_at", "m.*")
     new = assigned(mentions.select("kind", "norm", "detail"), key)
     # Copies of a document share their entities: a mention finds its surrogate in a join that the runtime can split.
     pairs = mentions.select("_row", "kind", "norm").distinct().join(new, ["kind", "norm"])
-    lists = pairs.groupBy("_row").agg(F.collect_list(F.struct("kind", "norm", "new")).alias("_new"))
+    lists = pairs.groupBy("_row").agg(F.collect_list(F.struct("kind", "norm", "new")).alias(new_))
 
     @F.pandas_udf("string")
     def replaced(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -309,12 +351,12 @@ def pseudonymized(docs: DataFrame, text: str = "text", key: bytes = KEY) -> Data
             yield pd.Series(out, dtype=object)
 
     changed = (
-        hit.join(lists, "_row")
-        .withColumn("n_entities", F.size("_mentions").cast("long"))
-        .withColumn(text, replaced(text, "_mentions", "_new"))
-        .select(*docs.columns, "n_entities")
+        hit.join(lists.withColumnRenamed("_row", row_), row_)
+        .withColumn(counted, F.size(found_).cast("long"))
+        .withColumn(text, replaced(text, found_, new_))
+        .select(*named([*given, counted]))
     )
-    return detected(docs, text, False).withColumn("n_entities", F.lit(0).cast("long")).unionByName(changed)
+    return detected(docs, text, False).withColumn(counted, F.lit(0).cast("long")).unionByName(changed)
 
 
 def op4_pii_surrogates(spark, sf_dir):

@@ -144,34 +144,48 @@ def test_one_row_of_each_group_stays(docs):
     assert sorted((r[0] for r in kept.select("doc_id").collect()), key=repr) == sorted(components_, key=repr)
 
 
-def jaccard(a, b):
-    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
-    return len(x & y) / len(x | y)
-
-
-def test_near_copies_of_four_fifths_are_found(spark):
+def test_pipeline_keeps_one_row_of_each_group(spark):
     rng = np.random.default_rng(8)
-    table, want, alike = [], [], 0
-    for i in range(150):
-        words = [f"{w}{rng.integers(0, 40)}" for w in prose(200 + i, int(rng.integers(60, 400))).split()]
-        copy = [f"new{rng.integers(0, 10**6)}" if rng.random() < 0.02 else w for w in words]
-        near = jaccard(" ".join(words), " ".join(copy)) >= 0.8
-        alike += near
-        table += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
-        want += [2 * i] if near else [2 * i, 2 * i + 1]
-    hot = prose(900, 300).split()
-    table += [(1000 + i, " ".join([*hot[:i], f"own{i}", *hot[i + 1 :]])) for i in range(200)]
-    table += [(2000, None), (2001, ""), (2002, "two words"), (2003, "two words"), (2003, "two words"), (None, "two Words")]
-    docs = spark.createDataFrame(table, "doc_id long, text string")
-    assert alike > 50
-    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
-    assert kept == want + [1000, 2000, 2002]
+    table, hot = [], prose(900, 4000).split()
+    table += [(1000 + i, " ".join([*hot[: 5 * i], f"own{i}", *hot[5 * i + 1 :]])) for i in range(120)]
+    table += [(i, prose(200 + i, int(rng.integers(1, 400)))) for i in range(100)]
+    table += [(2000, None), (2001, ""), (2002, "two words"), (2003, "two words"), (2003, "two words"), (None, "two Words"), (None, prose(77, 90))]
+    docs = spark.createDataFrame([(*r, 1, 2, "m") for r in table], "doc_id long, text string, _key int, _fp int, _mark string")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    found = plain_components([plain_fingerprint(r[1]) for r in table], [r[0] for r in table])
+    assert kept.columns == docs.columns and {(r._key, r._fp, r._mark) for r in kept.collect()} == {(1, 2, "m")}
+    assert sorted((r[0] for r in kept.collect()), key=repr) == sorted(set(found), key=repr)
     assert corpus_pipeline.near_dedup(spark, docs.where("false"), SF).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = "_counts _failed _pattern _quality _key _mark _position _mentions _row _new n_entities key a.b _source block".split()
+    table = [(i, prose(i, 150), "ab"[i % 2]) for i in range(12)] + [(5, prose(5, 150), "b"), (None, None, None), (None, prose(99, 80), "a")]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in table], ["doc_id", "text", "source", *names])
+    bench = spark.createDataFrame([(1, prose(3, 30))], "item_id long, text string")
+    wanted = tuple(range(len(names)))
+    for out in (quality.good_documents(docs), simhash.one_per_group(docs), dc.clean_documents(docs, bench), mixing.mixed(docs),
+                surrogates.pseudonymized(docs).drop("n_entities_")):
+        assert out.columns == docs.columns
+        rows_ = out.collect()
+        assert rows_ and {tuple(r)[3:] for r in rows_} == {wanted}
+    assert 3 not in {r.doc_id for r in dc.clean_documents(docs, bench).collect()}
+    assert sharding.shard_rows(docs).count() == len(table)
+
+
 # --- sharding, mixing -----------------------------------------------------------------------------
 
 
+def test_shuffle_parts_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    table = [(1, "same", "a")] * 60 + [(i, f"text {i}", "a") for i in range(2, 62)] + [(1, "same", None)] * 3
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    out = sharding.shard_rows(docs, 1).orderBy("slot").collect()
+    assert Counter((r.doc_id, r.source) for r in out) == Counter((r[0], r[2]) for r in table)
+    order = [r.doc_id for r in out if r.source == "a"]
+    assert sum(x == y == 1 for x, y in zip(order, order[1:], strict=False)) < 45
+
+
 def test_shards(spark, docs):
     many = docs.unionByName(spark.range(1000, 1300).select(
         F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"),
@@ -400,9 +414,40 @@ def test_repeated_substrings(spark, docs, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("gleanflow_texts")]
 
 
+def test_windows_of_one_anchor_hash_stay_apart(spark, monkeypatch):
+    """Two texts whose 24-byte anchors differ but share 40 bits of hash, and no string of 50 bytes."""
+    a = "gbevumnwquy31ocmda4qsau00qfbzhi9ezlrnrgd6seykczugzzx5odo5iz39ec1rnc77r7s36n2"
+    b = "gbevumnwquy31ocmda4qsau00q4lllmpfgm0428zes0zc43chmzx5odo5iz39ec1rnc77r7s36n2"
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert rows(substrings.deduplicated(docs), "doc_id", "n_removed") == [(1, 0), (2, 0)]
+    # Even where all windows share their hash.
+    monkeypatch.setattr(substrings, "scrambled", lambda h: h * np.uint64(0) + np.uint64(1))
+    body = np.frombuffer((a + b + a).encode(), np.uint8).reshape(3, 76).copy()
+    full = np.full(3, 26, np.uint8)
+    mask = substrings.late_windows(np.ones(3, np.uint64), body, full, full, np.array([1, 2, 3]))
+    assert mask.tolist() == [0, 0, (1 << 27) - 1]
+
+
 # --- surrogates --------------------------------------------------------------------------------------
 
 
+def test_names_are_replaced_throughout(spark):
+    table = [
+        (1, "Mrs. Maria Keller came. Later Keller said that KELLER's car, not Maria's, was Keller-green; a keller is a cellar."),
+        (2, "Mr 王小明 wrote; 王小明 signed."), (3, "On 2024-01-15, in 1999-2003, 10 000 000 000 or 12.34.56.78.90 or 12.05.2021, ISBN 9780306406157."),
+        (4, "Call 030 901 820, 212-555-0147, (030) 12345 or 555-0147."),
+    ]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    out = {r.doc_id: r for r in surrogates.pseudonymized(docs).collect()}
+    assert "Keller" not in out[1].text and "KELLER" not in out[1].text and "Maria" not in out[1].text and "keller is a cellar" in out[1].text
+    surname = re.search(r"Later (\w+) said", out[1].text)[1]
+    assert f" {surname} came" in out[1].text and f"{surname.upper()}'s car" in out[1].text
+    assert "王小明" not in out[2].text and re.search(r"Mr (\w+) wrote; \1 signed", out[2].text)
+    assert out[3].text == table[2][1] and out[3].n_entities == 0
+    assert out[4].n_entities == 4 and not re.search("901 820|555-0147|12345", out[4].text)
+
+
+
 def test_surrogates(spark):
     card = "4539 5787 6362 1486"
     table = [
