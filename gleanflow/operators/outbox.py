@@ -141,10 +141,15 @@ def _orphan_marks(log: DataFrame, lives: DataFrame) -> DataFrame:
     )
 
 
-def outbox_state(log: DataFrame) -> DataFrame:
-    """Current entries: ``id, status, attempts, last_error, updated_at, target, born``."""
+def outbox_state(log: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Current entries: ``id, status, attempts, last_error, updated_at, target, born``.
+
+    ``base`` has entries as they were before the first event of ``log``; the result has the ids of the log only.
+    """
     log = _with_epoch(log)
     lives = _lives(log)
+    if base is not None:
+        return _state_onto(log, lives, base)
     early = (
         _orphan_marks(log, lives)
         .where(F.col("event") == "failed")
@@ -171,6 +176,36 @@ def outbox_state(log: DataFrame) -> DataFrame:
     )
 
 
+def _state_onto(log: DataFrame, lives: DataFrame, base: DataFrame) -> DataFrame:
+    """An entry of ``base`` goes on in the life before the first removal: it was born there, earlier than all events."""
+    held = base.select("id", F.struct("status", "attempts", "last_error", "updated_at", "target", "born").alias("_base"))
+    lives = lives.join(held, "id", "left").withColumn("_base", F.when(F.col("epoch") == 0, F.col("_base")))
+    lives = lives.withColumn("born", F.coalesce("_base.born", "born"))
+    early = (
+        _orphan_marks(log, lives)
+        .where(F.col("event") == "failed")
+        .groupBy("id", "epoch")
+        .agg(F.count("*").alias("_early"))
+    )
+    marked = F.shiftright(F.col("_last"), 2) > F.col("born")
+    names = F.array(*[F.lit(name) for name in OUTBOX_STATUSES])
+    last = F.element_at(names, (F.pmod(F.col("_last"), F.lit(4)) + 1).cast("int"))
+    earlier = F.coalesce(F.col("_base.attempts"), F.lit(0))
+    return (
+        lives.where(F.col("born").isNotNull() & (F.col("_removed") == 0))
+        .join(early, ["id", "epoch"], "left")
+        .select(
+            "id",
+            F.when(marked, last).otherwise(F.coalesce("_base.status", F.lit(OUTBOX_STATUSES[0]))).alias("status"),
+            (earlier + F.col("_failed") - F.coalesce(F.col("_early"), F.lit(0))).alias("attempts"),
+            F.when(marked, F.col("_mark.error")).otherwise(F.col("_base.last_error")).alias("last_error"),
+            F.when(marked, F.col("_mark.at")).otherwise(F.coalesce("_base.updated_at", "_born_at")).alias("updated_at"),
+            F.when(marked, F.col("_mark.target")).otherwise(F.col("_base.target")).alias("target"),
+            "born",
+        )
+    )
+
+
 def stored_ids(log: DataFrame) -> DataFrame:
     """Ids that are in the outbox in any status; only numbers are aggregated."""
     lives = _lives(_with_epoch(log))
@@ -181,10 +216,14 @@ def rejected_marks(log: DataFrame) -> DataFrame:
     """Marks of unknown entries, with the message of the failed call."""
     log = _with_epoch(log)
     return _orphan_marks(log, _lives(log)).select(
-        "seq", "id", "event", F.concat(F.lit("Unknown outbox entry: "), F.col("id")).alias("error")
+        "seq", "id", "event", unknown_entry(F.col("id")).alias("error")
     )
 
 
+def unknown_entry(identifier: Column) -> Column:
+    return F.concat(F.lit("Unknown outbox entry: "), identifier)
+
+
 # --- reads --------------------------------------------------------------------
 
 

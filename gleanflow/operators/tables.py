@@ -25,6 +25,8 @@ from gleanflow.contract import (
     utc_now,
 )
 from gleanflow.operators import outbox as ob
+from gleanflow.operators.folders import committed, names_in
+from gleanflow.operators.snapshots import Manifest, Snapshots
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,11 +44,16 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="gleanflow-")
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The Parquet folder, or no rows while nothing was written yet."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType, folders: list[str] | None = None) -> DataFrame:
+    """The Parquet folder, or only some of its ``batch=`` folders; no rows while nothing was written yet."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.StringType(), True)])
+    if folders is not None and not folders:
+        return spark.createDataFrame([], full)
+    reader = spark.read.schema(full).option("mergeSchema", "false")
     try:
-        return spark.read.schema(full).option("mergeSchema", "false").parquet(path)
+        if folders is None:
+            return reader.parquet(path)
+        return reader.option("basePath", path).parquet(*[f"{path}/{folder}" for folder in folders])
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -57,12 +64,32 @@ def write_batch(df: DataFrame, path: str, batch: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+STORED_CAPTURE = T.StructType([*CAPTURE_SCHEMA.fields, T.StructField("seq", T.LongType(), True)])
+
+
+@dataclass(frozen=True)
+class Batch:
+    """A batch folder: its place in the log and its name."""
+
+    seq: int
+    name: str
+
+    @property
+    def folder(self) -> str:
+        return f"{self.seq:012d}-{self.name}"
+
+
 @dataclass(frozen=True)
 class Outbox:
-    """Captures and marks below one folder. A stored capture is its own enqueue event."""
+    """Captures and marks below one folder. A stored capture is its own enqueue event.
+
+    A batch folder carries its place in the log in its name, so what lies before a snapshot is neither listed in a plan nor read.
+    ``compact`` moves the snapshot on; until then all batches are folded.
+    """
 
     spark: SparkSession
     root: str
+    buckets: int | None = None
 
     @property
     def _captures(self) -> str:
@@ -72,98 +99,146 @@ class Outbox:
     def _marks(self) -> str:
         return f"{self.root}/marks"
 
-    def captures(self) -> DataFrame:
-        schema = T.StructType([*CAPTURE_SCHEMA.fields, T.StructField("seq", T.LongType(), True)])
-        return read_table(self.spark, self._captures, schema)
-
-    def log(self, without: str | None = None) -> DataFrame:
-        """All events; ``without`` leaves one batch folder unread, as when it is being replaced."""
-        captures, marks = self.captures(), read_table(self.spark, self._marks, OUTBOX_EVENT_SCHEMA)
-        if without is not None:
-            captures, marks = (df.where(F.col("batch") != without) for df in (captures, marks))
+    @property
+    def snapshots(self) -> Snapshots:
+        return Snapshots(self.spark, f"{self.root}/snapshots", self.buckets)
+
+    def _batches(self, path: str) -> list[Batch]:
+        found = [name.partition("=")[2] for name in names_in(self.spark, path) if name.startswith("batch=")]
+        return [Batch(int(name[:12]), name[13:]) for name in found]
+
+    def _read(self, path: str, schema: T.StructType, batches: list[Batch]) -> DataFrame:
+        return read_table(self.spark, path, schema, [f"batch={b.folder}" for b in batches])
+
+    def captures(self, seqs: set[int] | None = None) -> DataFrame:
+        """Stored captures, of all batches or of those at the places ``seqs``."""
+        batches = [b for b in self._batches(self._captures) if seqs is None or b.seq in seqs]
+        return self._read(self._captures, STORED_CAPTURE, batches)
+
+    def log(self, without: str | None = None, after: int = -1) -> DataFrame:
+        """Events after a place in the log; ``without`` leaves one batch unread, as when it is being replaced."""
+        later = lambda path: [b for b in self._batches(path) if b.seq > after and b.name != without]
+        captures = self._read(self._captures, STORED_CAPTURE, later(self._captures))
+        marks = self._read(self._marks, OUTBOX_EVENT_SCHEMA, later(self._marks))
         born = ob.enqueue_events(captures, F.col("seq"), F.col("captured_at"))
         return born.unionByName(marks.drop("batch"))
 
-    def entries(self) -> DataFrame:
-        return ob.outbox_state(self.log())
+    def entries(self, status: str | None = None) -> DataFrame:
+        """Present entries, of one status if it is given: a snapshot and the batches after it."""
+        manifest = self.snapshots.manifest()
+        return self.snapshots.state(self.log(after=manifest.high), status, manifest)
+
+    def stored(self, ids: DataFrame, without: str | None = None) -> DataFrame:
+        """Those of the ``ids`` that are in the outbox in any status."""
+        manifest = self.snapshots.manifest()
+        wanted = ids.select("id").distinct()
+        later = self.log(without, manifest.high).join(wanted, "id", "left_semi")
+        base = self.snapshots.lookup(wanted, manifest)
+        calm = base.join(later.select("id").distinct(), "id", "left_anti").select("id")
+        return calm.unionByName(ob.outbox_state(later, base).select("id"))
+
+    def summary(self) -> dict[str, int]:
+        """Entries in all and per status; entries that nothing touched since the snapshot are not read."""
+        manifest = self.snapshots.manifest()
+        counts = self.snapshots.counts(self.log(after=manifest.high), manifest)
+        return {"total": sum(counts.values()), **counts}
 
     def next_seq(self) -> int:
-        top = self.log().agg(F.max("seq")).first()[0]
-        return 0 if top is None else top + 1
+        """The first free place in the log, from the names of the folders."""
+        places = [b.seq for path in (self._captures, self._marks) for b in self._batches(path)]
+        return max([self.snapshots.manifest().high, *places]) + 1
+
+    def _place(self, path: str, name: str) -> tuple[Batch, bool]:
+        """Where a batch goes, and whether it is written already: then a replay has nothing to do.
 
-    def enqueue(self, captures: DataFrame, batch: str, order_by=None, seq: int | None = None) -> int:
+        A batch whose job broke off keeps its place, unless a snapshot has moved past it.
+        """
+        same = [b for b in self._batches(path) if b.name == name]
+        for batch in same:
+            if committed(self.spark, f"{path}/batch={batch.folder}"):
+                return batch, True
+        high = self.snapshots.manifest().high
+        return next((b for b in same if b.seq > high), Batch(self.next_seq(), name)), False
+
+    def enqueue(self, captures: DataFrame, batch: str, order_by=None) -> int:
         """Append the captures that are new; returns how many there were.
 
-        A batch that was written before keeps its place in the log, so later marks stay later and a replay adds
-        nothing. Of equal ids the first by ``order_by`` counts, by default the smallest row.
+        A batch that was written before is left as it is. Of equal ids the first by ``order_by`` counts, by default the smallest row.
         """
-        earlier = self.captures().where(F.col("batch") == batch).agg(F.count("*"), F.min("seq")).first()
-        if earlier[0]:
-            seq = earlier[1]
-        elif seq is None:
-            seq = self.next_seq()
+        place, written = self._place(self._captures, batch)
+        if written:
+            return 0
         if order_by is None:
             order_by = F.struct(*CAPTURE_SCHEMA.names)
         # A removed id may come back; anything else that is stored stays as it is.
-        stored = ob.stored_ids(self.log(without=batch))
-        new = ob.new_entries(captures, stored, order_by)
+        new = ob.new_entries(captures, self.stored(captures, without=batch), order_by)
         write_batch(
-            new.select(*CAPTURE_SCHEMA.names, F.lit(seq).cast("bigint").alias("seq")), self._captures, batch
+            new.select(*CAPTURE_SCHEMA.names, F.lit(place.seq).cast("bigint").alias("seq")), self._captures, place.folder
         )
-        return self.captures().where(F.col("batch") == batch).count() - earlier[0]
+        return self.captures({place.seq}).count()
 
     def unused_batch(self, name: str) -> str:
         """``name``, or with a number added where marks of that name exist: outcomes are never replaced."""
-        marks = read_table(self.spark, self._marks, OUTBOX_EVENT_SCHEMA)
-        taken = {r[0] for r in marks.where(F.col("batch").startswith(name)).select("batch").distinct().collect()}
+        taken = {b.name for b in self._batches(self._marks)}
         attempt, free = 0, name
         while free in taken:
             attempt += 1
             free = f"{name}-{attempt}"
         return free
 
-    def append(self, events: DataFrame, batch: str) -> None:
-        write_batch(events.select(*OUTBOX_EVENT_SCHEMA.names), self._marks, batch)
+    def append(self, events: DataFrame, batch: str) -> int:
+        """Write marks ``id, event, error, at, target`` as one batch; returns its place. A batch that was written before stays."""
+        place, written = self._place(self._marks, batch)
+        if not written:
+            seq = F.lit(place.seq).cast("bigint").alias("seq")
+            names = [name for name in OUTBOX_EVENT_SCHEMA.names if name != "seq"]
+            write_batch(events.select(seq, *names), self._marks, place.folder)
+        return place.seq
 
     def batch_marks(self, batch: str) -> DataFrame:
-        return read_table(self.spark, self._marks, OUTBOX_EVENT_SCHEMA).where(F.col("batch") == batch)
+        found = [b for b in self._batches(self._marks) if b.name == batch]
+        return self._read(self._marks, OUTBOX_EVENT_SCHEMA, found)
 
     def mark(self, ids: DataFrame, event: str, batch: str, error: str | None = None) -> DataFrame:
         """One mark per distinct id: ``pending``, ``sent``, ``failed`` or ``remove``.
 
         Returns the marks of unknown entries (``seq, id, event, error``); they change nothing. No rows: all are known.
         """
-        seq = self.next_seq()
-        self.append(
-            ids.select("id").distinct().select(
-                F.lit(seq).cast("bigint").alias("seq"),
-                "id",
-                F.lit(event).alias("event"),
-                F.lit(error).cast("string").alias("error"),
-                F.lit(utc_now()).alias("at"),
-                F.lit(None).cast("string").alias("target"),
-            ),
-            batch,
+        marks = ids.select("id").distinct().select(
+            "id",
+            F.lit(event).alias("event"),
+            F.lit(error).cast("string").alias("error"),
+            F.lit(utc_now()).alias("at"),
+            F.lit(None).cast("string").alias("target"),
+        )
+        known = self.stored(ids, without=batch)
+        seq = self.append(marks, batch)
+        unknown = self.batch_marks(batch).where(F.col("event") != "remove").join(known, "id", "left_anti")
+        return unknown.select(
+            F.lit(seq).cast("bigint").alias("seq"), "id", "event", ob.unknown_entry(F.col("id")).alias("error")
         )
-        return ob.rejected_marks(self.log()).where(F.col("seq") == seq)
 
     def retry(self, batch: str, ids: DataFrame | None = None) -> int:
         """Failed entries back to pending; attempts stay. Returns how many."""
-        seq = F.lit(self.next_seq())
-        entries = ob.outbox_state(self.log(without=batch))
-        self.append(ob.retry_events(entries, seq, F.lit(utc_now()), ids), batch)
+        manifest = self.snapshots.manifest()
+        entries = self.snapshots.state(self.log(batch, manifest.high), "failed", manifest)
+        self.append(ob.retry_events(entries, F.lit(0), F.lit(utc_now()), ids), batch)
         return self.batch_marks(batch).count()
 
+    def bodies(self, entries: DataFrame) -> DataFrame:
+        """Stored captures of ``id, seq`` (place of birth); only batches that hold one of them are read."""
+        seqs = {r[0] for r in entries.select("seq").distinct().collect()}  # one per batch at most
+        return self.captures(seqs).drop("batch").join(entries.select("id", "seq"), ["id", "seq"], "left_semi")
+
     def pending(self) -> DataFrame:
         """Pending captures with their privacy ``level``."""
-        state = ob.outbox_list(self.entries(), "pending").select("id", F.col("born").alias("seq"))
-        return self.captures().drop("batch").join(state, ["id", "seq"], "left_semi").withColumn(
-            "level", F.col("privacy.level")
-        )
+        state = self.entries("pending").select("id", F.col("born").alias("seq"))
+        return self.bodies(state).withColumn("level", F.col("privacy.level"))
 
-    def compact(self, path: str) -> None:
-        """Write the folded state as a snapshot table for fast reads."""
-        self.entries().write.mode("overwrite").parquet(path)
+    def compact(self) -> Manifest:
+        """Folds all batches so far into the snapshot. Entries stay the same; reads become shorter."""
+        manifest = self.snapshots.manifest()
+        return self.snapshots.advance(self.log(after=manifest.high), self.next_seq() - 1)
 
 
 @dataclass(frozen=True)

@@ -423,8 +423,12 @@ ORACLES: dict[str, str] = {
           SELECT status, CASE WHEN status = 'failed' THEN 2 ELSE 0 END AS attempts FROM outcomes
           UNION ALL SELECT 'pending', 0 FROM firsts WHERE level = 'sensitive') GROUP BY ALL""",
     "outbox_state": LOG + "SELECT * FROM entries",
+    "outbox_compacted": LOG + "SELECT * FROM entries",
     "outbox_list": LOG + "SELECT id, status, attempts FROM entries WHERE status = 'pending'",
     "outbox_summary": LOG
+    + """SELECT count(*) AS total, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'sent') AS sent,
+        count(*) FILTER (WHERE status = 'failed') AS failed FROM entries""",
+    "outbox_counts": LOG
     + """SELECT count(*) AS total, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'sent') AS sent,
         count(*) FILTER (WHERE status = 'failed') AS failed FROM entries""",
     "outbox_rejects": LOG

@@ -13,6 +13,7 @@ from gleanflow.operators import changes, rules, settings
 from gleanflow.operators import delivery as dl
 from gleanflow.operators import frontmatter as fm
 from gleanflow.operators import outbox as ob
+from gleanflow.operators.snapshots import Snapshots
 from gleanflow.operators.tables import Checkpoints, Outbox, shared_folder
 from gleanflow.plans import fixtures as fx
 from gleanflow.plans.run import Collected, collect_repository, run_source, sync
@@ -394,6 +395,29 @@ def outbox_summary(spark, sf):
     return ob.outbox_summary(ob.outbox_state(fx.outbox_log(spark, sf)))
 
 
+def _folded_log(spark, sf) -> tuple[Snapshots, DataFrame]:
+    """The log folded into a snapshot in three steps, and the events that are left."""
+    log, snapshots = fx.outbox_log(spark, sf), Snapshots(spark, shared_folder(spark))
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    cuts = [low - 1, *[low + (high - low) * share // 100 for share in (55, 80, 90)]]
+    for before, upto in zip(cuts, cuts[1:], strict=False):
+        snapshots.advance(log.where((F.col("seq") > before) & (F.col("seq") <= upto)), upto)
+    return snapshots, log.where(F.col("seq") > cuts[-1])
+
+
+def outbox_compacted(spark, sf):
+    """Present entries from snapshot levels and the last tenth of the log."""
+    snapshots, later = _folded_log(spark, sf)
+    return snapshots.state(later).select("id", "status", "attempts", "last_error", "updated_at")
+
+
+def outbox_counts(spark, sf):
+    """Entries per status from the manifest and the last tenth of the log."""
+    snapshots, later = _folded_log(spark, sf)
+    counts = snapshots.counts(later)
+    return spark.createDataFrame([(sum(counts.values()), *counts.values())], "total long, pending long, sent long, failed long")
+
+
 def outbox_rejects(spark, sf):
     return ob.rejected_marks(fx.outbox_log(spark, sf))
 
@@ -735,6 +759,8 @@ QUERIES: dict[str, Query] = {
     "unchanged_sources": unchanged_sources,
     "outbox_summary": outbox_summary,
     "outbox_rejects": outbox_rejects,
+    "outbox_compacted": outbox_compacted,
+    "outbox_counts": outbox_counts,
     "privacy_conflicts": privacy_conflicts,
     "run_report": run_report,
     "sync_summary": sync_summary,

@@ -178,7 +178,7 @@ def sync(
     plan.write.parquet(staged)
     plan = spark.read.schema(plan.schema).parquet(staged)
     wanted = plan.where(F.col("reason").isNull()).select("id", "seq")
-    accepted = outbox.captures().drop("batch").join(wanted, ["id", "seq"], "left_semi")
+    accepted = outbox.bodies(wanted)
     accepted = accepted.withColumn("level", F.col("privacy.level"))
     if deliverer is not None:
         outcomes = deliverer.deliver(accepted)
@@ -193,8 +193,6 @@ def sync(
                 options.get("timeout_ms", 20_000),
             )
         outcomes = dl.push_captures(accepted.select("id", dl.capture_json().alias("value")), send, lanes)
-    outbox.append(
-        dl.outcome_events(outcomes, target.id, F.lit(outbox.next_seq()), F.lit(utc_now())), batch
-    )
+    outbox.append(dl.outcome_events(outcomes, target.id, F.lit(0), F.lit(utc_now())), batch)
     written = outbox.batch_marks(batch).select("id", F.col("event").alias("status"), "error")
     return dl.sync_outcomes(plan, written)
