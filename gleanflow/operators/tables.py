@@ -25,7 +25,7 @@ from gleanflow.contract import (
     utc_now,
 )
 from gleanflow.operators import outbox as ob
-from gleanflow.operators.folders import committed, names_in
+from gleanflow.operators.folders import committed, names_in, remove_folder
 from gleanflow.operators.snapshots import Manifest, Snapshots
 
 
@@ -44,6 +44,13 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="gleanflow-")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, written once."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType, folders: list[str] | None = None) -> DataFrame:
     """The Parquet folder, or only some of its ``batch=`` folders; no rows while nothing was written yet."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.StringType(), True)])
@@ -241,47 +248,90 @@ class Outbox:
         return self.snapshots.advance(self.log(after=manifest.high), self.next_seq() - 1)
 
 
+STORED_HEADER = T.StructType(
+    [*CHECKPOINT_HEADER_SCHEMA.fields, T.StructField("version", T.LongType(), True), T.StructField("files_version", T.LongType(), True)]
+)
+STORED_FILE = T.StructType([*CHECKPOINT_FILES_SCHEMA.fields, T.StructField("version", T.LongType(), True)])
+
+
 @dataclass(frozen=True)
 class Checkpoints:
-    """Scan state per instance, replaced as a whole by a newer version.
+    """Scan state per instance, replaced by newer versions.
 
-    The file rows of a version are written first and its header last. Readers start from the
-    newest header, so a half-written version is invisible.
+    A version's folder of headers lists all instances and says in which version's folder the files of each one are, so it is the
+    manifest of the whole state: it is written last, and files and headers become visible together. An instance whose tree is the
+    one of the last scan keeps its files where they are; only the others are written. Readers open the folders that the
+    newest headers name.
     """
 
     spark: SparkSession
     root: str
 
-    def _headers(self) -> DataFrame:
-        schema = T.StructType([*CHECKPOINT_HEADER_SCHEMA.fields, T.StructField("version", T.LongType(), True)])
-        return read_table(self.spark, f"{self.root}/headers", schema).drop("batch")
+    def _versions(self, kind: str) -> list[int]:
+        names = [name.partition("=")[2] for name in names_in(self.spark, f"{self.root}/{kind}") if name.startswith("batch=")]
+        return sorted(int(name) for name in names if committed(self.spark, f"{self.root}/{kind}/batch={name}"))
+
+    def _folders(self, kind: str, schema: T.StructType, versions: list[int]) -> DataFrame:
+        folders = [f"batch={v:012d}" for v in versions]
+        return read_table(self.spark, f"{self.root}/{kind}", schema, folders).drop("batch")
 
     def headers(self, before: int | None = None) -> DataFrame:
         """Newest header of every instance, of all versions or of those before one."""
-        rest = [name for name in CHECKPOINT_HEADER_SCHEMA.names if name != "instance_id"] + ["version"]
-        rows = self._headers()
-        if before is not None:
-            rows = rows.where(F.col("version") < before)
-        return (
-            rows.groupBy("instance_id")
-            .agg(F.max_by(F.struct(*rest), "version").alias("_h"))
-            .select("instance_id", "_h.*")
-        )
+        versions = [v for v in self._versions("headers") if before is None or v < before]
+        return self._folders("headers", STORED_HEADER, versions[-1:])
 
     def files(self, before: int | None = None) -> DataFrame:
         """File rows that belong to ``headers(before)``."""
-        schema = T.StructType([*CHECKPOINT_FILES_SCHEMA.fields, T.StructField("version", T.LongType(), True)])
-        current = self.headers(before).select("instance_id", "version")
-        rows = read_table(self.spark, f"{self.root}/files", schema)
-        if before is not None:
-            rows = rows.where(F.col("batch") < f"{before:012d}")
-        return rows.drop("batch").join(current, ["instance_id", "version"], "left_semi")
+        current = self.headers(before).select("instance_id", F.col("files_version").alias("version"))
+        named = sorted(r[0] for r in current.select("version").distinct().collect())
+        return self._folders("files", STORED_FILE, named).join(current, ["instance_id", "version"], "left_semi")
 
     def replace(self, headers: DataFrame, files: DataFrame, version: int) -> None:
-        stamp = F.lit(version).cast("bigint").alias("version")
-        name = f"{version:012d}"
-        write_batch(files.select(*CHECKPOINT_FILES_SCHEMA.names, stamp), f"{self.root}/files", name)
-        write_batch(headers.select(*CHECKPOINT_HEADER_SCHEMA.names, stamp), f"{self.root}/headers", name)
+        """New state of the instances in ``headers``; the others keep theirs."""
+        before = staged(self.headers(version))
+        known = before.where(F.col("files_tracked") & (F.col("tree_sha") != ""))
+        same = known.select("instance_id", "ref", "content_dir", "tree_sha", F.col("files_version").alias("_kept"))
+        given = headers.select(*CHECKPOINT_HEADER_SCHEMA.names)
+        new = given.join(same, ["instance_id", "ref", "content_dir", "tree_sha"], "left").select(
+            *CHECKPOINT_HEADER_SCHEMA.names,
+            F.lit(version).cast("bigint").alias("version"),
+            F.when(F.col("files_tracked"), F.col("_kept")).alias("files_version"),
+        )
+        new = staged(new.fillna(version, ["files_version"]))
+        moved = new.where(F.col("files_version") == version).select("instance_id")
+        rows = files.select(*CHECKPOINT_FILES_SCHEMA.names).join(moved, "instance_id", "left_semi")
+        write_batch(
+            rows.withColumn("version", F.lit(version).cast("bigint")).sortWithinPartitions("instance_id"),
+            f"{self.root}/files", f"{version:012d}",
+        )
+        rest = before.join(new.select("instance_id"), "instance_id", "left_anti")
+        write_batch(new.unionByName(rest), f"{self.root}/headers", f"{version:012d}")
+
+    def compact(self) -> int:
+        """All current files in one new version, so that no folder holds files of the past; returns the version."""
+        version, headers = self.next_version(), staged(self.headers())
+        rows = self.files().select(*CHECKPOINT_FILES_SCHEMA.names, F.lit(version).cast("bigint").alias("version"))
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # By path too, as one instance may own most of the files.
+        rows = rows.repartitionByRange(parts, "instance_id", "path").sortWithinPartitions("instance_id")
+        write_batch(rows, f"{self.root}/files", f"{version:012d}")
+        moved = headers.withColumn("files_version", F.lit(version).cast("bigint"))
+        write_batch(moved, f"{self.root}/headers", f"{version:012d}")
+        return version
+
+    def forget(self, keep: int = 2) -> list[int]:
+        """Deletes versions before the last ``keep`` ones and files that none of these names; returns the deleted file versions."""
+        versions = self._versions("headers")
+        needed = set()
+        for version in versions[-keep:]:
+            rows = self._folders("headers", STORED_HEADER, [version]).select("files_version").distinct()
+            needed |= {r[0] for r in rows.collect()}
+        gone = [v for v in self._versions("files") if v not in needed and v <= versions[-1]] if versions else []
+        for version in gone:
+            remove_folder(self.spark, f"{self.root}/files/batch={version:012d}")
+        for version in versions[:-keep]:
+            remove_folder(self.spark, f"{self.root}/headers/batch={version:012d}")
+        return gone
 
     def version_for(self, stream: str, epoch: int) -> int:
         """Version of one micro-batch of a stream: a new one, or that of its first attempt."""
@@ -298,5 +348,4 @@ class Checkpoints:
         return version
 
     def next_version(self) -> int:
-        top = self._headers().agg(F.max("version")).first()[0]
-        return 0 if top is None else top + 1
+        return max([-1, *self._versions("headers"), *self._versions("files")]) + 1

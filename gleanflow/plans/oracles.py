@@ -258,6 +258,9 @@ WITH rows AS (SELECT 'i' || user_id AS id, event_type AS connector, props, event
 old AS (SELECT * FROM rows WHERE connector = 'signup'), new AS (SELECT * FROM rows WHERE connector = 'view')
 """
 
+# Fixed value: the reason that the library gives.
+BAD_HOST = "invalid host"
+
 ORACLES: dict[str, str] = {
     "web_captures": WEB,
     "stream_captures": WEB,
@@ -343,6 +346,13 @@ ORACLES: dict[str, str] = {
     "checkpoint_valid": REPO + "SELECT instance_id, path, sha FROM before",
     "unchanged_sources": REPO + "SELECT instance_id FROM same",
     "changed_files": REPO + "SELECT instance_id, path, sha FROM changed",
+    "stream_changes_split": REPO + "SELECT instance_id, path, sha FROM changed",
+    "stream_rejects": f"""
+        SELECT url, CASE WHEN url = 'mailto:a@b' THEN 'requires an http(s) config.url'
+            WHEN contains(url, '://1.2.3.256') THEN '{BAD_HOST}' END AS problem, count(*) AS pages
+        FROM (SELECT CASE WHEN length(html) % 5 = 0 THEN 'mailto:a@b'
+            WHEN length(html) % 3 = 0 THEN replace(url, regexp_extract(url, '^https?://([^/]+)', 1), '1.2.3.256') ELSE url END AS url FROM pages)
+        GROUP BY ALL""",
     "stream_changes": REPO + "SELECT instance_id, path, sha FROM changed",
     "checkpoint_next": REPO
     + _CHECKPOINT.format(

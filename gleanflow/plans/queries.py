@@ -704,6 +704,35 @@ def stream_changes(spark, sf):
     return spark.read.parquet(f"{folder}/changed").select("instance_id", "path", "sha")
 
 
+def stream_changes_split(spark, sf):
+    """The listing in three files, each a micro-batch of its own: every snapshot is complete with the last one only."""
+    folder = shared_folder(spark)
+    checkpoints = Checkpoints(spark, f"{folder}/state")
+    checkpoints.replace(fx.checkpoint_headers(spark, sf), fx.checkpoint_files(spark, sf), -1)
+    listing = fx.repository_listing(spark, sf)
+    sizes = listing.groupBy("instance_id").agg(F.countDistinct("path").alias("entries"))
+    rows = listing.join(sizes, "instance_id").select(F.lit(1).cast("long").alias("scan_id"), *listing.columns, "entries")
+    rows.repartition(3, "path").write.parquet(f"{folder}/listing")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/listing")
+    pipelines.stream_changes(
+        stream, fx.repository_sources(spark, sf), checkpoints, fx.RUN, f"{folder}/changed", f"{folder}/progress"
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/changed").select("instance_id", "path", "sha")
+
+
+def stream_rejects(spark, sf):
+    """Pages without a usable address, of a stream whose other pages become captures."""
+    folder = shared_folder(spark)
+    pages = _stream_responses(spark, sf)
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    broken = F.when(F.length("body") % 3 == 0, F.replace("url", host, F.lit("1.2.3.256")))
+    rows = pages.withColumn("url", F.when(F.length("body") % 5 == 0, F.lit("mailto:a@b")).otherwise(F.coalesce(broken, "url")))
+    pipelines.stream_captures(rows, fx.RUN, f"{folder}/captures", f"{folder}/progress", f"{folder}/rejects").awaitTermination()
+    taken = spark.read.parquet(f"{folder}/captures").select(F.col("subject.url").alias("url"), F.lit(None).cast("string").alias("problem"))
+    refused = spark.read.parquet(f"{folder}/rejects").select("url", "problem")
+    return taken.unionByName(refused).groupBy("url", "problem").agg(F.count("*").alias("pages"))
+
+
 def stream_sync(spark, sf):
     folder = shared_folder(spark)
     outbox = Outbox(spark, f"{folder}/outbox")
@@ -778,4 +807,6 @@ QUERIES: dict[str, Query] = {
     "stream_enqueue": stream_enqueue,
     "stream_changes": stream_changes,
     "stream_sync": stream_sync,
+    "stream_changes_split": stream_changes_split,
+    "stream_rejects": stream_rejects,
 }
