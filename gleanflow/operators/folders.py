@@ -10,6 +10,12 @@ def _at(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def full_path(spark: SparkSession, path: str) -> str:
+    """The path with its store, as file scans spell it."""
+    where, store = _at(spark, path)
+    return store.makeQualified(where).toString()
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a folder, sorted; none if it is not there."""
     where, store = _at(spark, path)
