@@ -21,6 +21,18 @@ SUBJECT_KINDS = ("url", "web", "repo", "feed", "file", "folder", "media", "text"
 DEFAULT_CONTENT_DIR = "src/content/blogs"
 DEFAULT_TIMEOUT_MS = 20_000
 CAPTURE_ID_PREFIX = "cap"
+# What a capture has to fulfil, in the order in which it is checked, and the message of each rule.
+CAPTURE_RULES = {
+    "object": "Capture must be an object",
+    "schema": "Unsupported capture schema",
+    "keys": "Capture requires id, connector, observed_at, and captured_at",
+    "subject": "Capture requires subject.kind and subject.uri",
+    "payload": "Capture requires payload.kind",
+    "privacy": "Capture requires privacy.level",
+    "level": "Capture privacy.level is invalid",
+    "tags": "Capture tags must be an array of strings",
+    "metadata": "Capture metadata must be an object",
+}
 # ------------------------------------------------------------------------------
 
 # Our own version tag; it is part of no id seed, so callers may pass another one.

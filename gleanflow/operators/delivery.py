@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterator, Sequence
+import tempfile
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,85 +148,136 @@ def export_captures(captures: DataFrame, directory: str, mode: str = "append") -
     captures.select(capture_json().alias("value")).write.mode(mode).text(directory)
 
 
-def export_files(captures: DataFrame, directory: str) -> None:
-    """One ``<id>.json`` per capture on a directory that every executor mounts.
+def exported(captures: DataFrame, directory: str) -> DataFrame:
+    """Outcomes ``(id, status, error)`` of an export into a folder of its own: all are sent, or the job's error is everyone's."""
+    error = None
+    try:
+        export_captures(captures, directory, "overwrite")
+    except Exception as failure:  # noqa: BLE001 - the entries carry the reason
+        error = (str(failure).strip().splitlines() or [type(failure).__name__])[0]
+    status = "sent" if error is None else "failed"
+    return captures.select("id", F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"))
 
-    Kept for receivers that want single files; a file is replaced in one step, so a
-    repeated task is harmless.
+
+@dataclass(frozen=True)
+class Folder:
+    """Single files ``<id>.json`` in a directory that every executor mounts, for receivers that want these.
+
+    A file appears under its name when it is complete, so a task that is repeated replaces it by the same.
     """
 
-    def write(rows: Iterator) -> None:
-        os.makedirs(directory, exist_ok=True)
-        for row in rows:
-            target = os.path.join(directory, f"{row['id']}.json")
-            temporary = f"{target}.{os.getpid()}.tmp"
-            with open(temporary, "w", encoding="utf-8") as handle:
-                json.dump(json.loads(row["value"]), handle, indent=2, ensure_ascii=False)
-                handle.write("\n")
-            os.replace(temporary, target)
+    directory: str
+
+    def connect(self) -> Callable[[str, str], str | None]:
+        folder = Path(self.directory)
+        folder.mkdir(parents=True, exist_ok=True)
 
-    captures.select("id", capture_json().alias("value")).foreachPartition(write)
+        def place(identifier: str, value: str) -> str | None:
+            pretty = json.dumps(json.loads(value), indent=2, ensure_ascii=False)
+            with tempfile.NamedTemporaryFile("w", encoding="utf-8", dir=folder, suffix=".part", delete=False) as draft:
+                draft.write(pretty + "\n")
+            Path(draft.name).rename(folder / f"{identifier}.json")
+            return None
+
+        return place
+
+
+def export_files(captures: DataFrame, directory: str) -> DataFrame:
+    """Outcomes of writing one file per capture. Evaluating them writes, so store them once."""
+    values = captures.select("id", capture_json().alias("value"))
+    return push_captures(values, connect=Folder(directory).connect, lanes=None)
 
 
 # --- push target ------------------------------------------------------------------------
 
 
 def push_captures(
-    payloads: DataFrame, send: Callable[[str, str], str | None], lanes: int | None = None
+    payloads: DataFrame,
+    send: Callable[[str, str], str | None] | None = None,
+    lanes: int | None = 1,
+    connect: Callable[[], Callable[[str, str], str | None]] | None = None,
 ) -> DataFrame:
     """Outcomes ``(id, status, error)`` of sending rows ``(id, value)``.
 
-    ``send(id, json)`` returns an error text or None and may raise. ``lanes`` bounds how many
-    sends run at once; inside a lane entries go out in file order. Evaluating the result sends,
-    so write it once and read it back.
+    ``send(id, json)`` returns an error text or None and may raise. ``connect`` makes such a function once per task, which may hold a
+    connection. ``lanes`` bounds how many sends run at once (None: as many as there are tasks); inside a lane entries go out in file
+    order. Evaluating the result sends, so write it once and read it back.
     """
     if lanes is not None:
         key = file_order(F.col("id"))
         payloads = payloads.repartitionByRange(lanes, key).sortWithinPartitions(key)
 
-    def deliver(batches):
-        for batch in batches:
-            errors = []
-            for identifier, value in zip(batch["id"], batch["value"]):
-                try:
-                    errors.append(send(identifier, value))
-                except Exception as failure:  # noqa: BLE001 - every failure is an outcome
-                    errors.append(str(failure))
-            batch = batch[["id"]].copy()
-            batch["status"] = ["sent" if error is None else "failed" for error in errors]
-            batch["error"] = errors
-            yield batch
-
-    return payloads.select("id", "value").mapInPandas(deliver, OUTCOME_SCHEMA)
-
-
-def http_send(
-    url: str,
-    headers: dict[str, str] | None = None,
-    token_env: str | None = None,
-    timeout_ms: int = DEFAULT_TIMEOUT_MS,
-) -> Callable[[str, str], str | None]:
-    """POST one capture per call. The token is read where the task runs and never stored."""
-
-    def send(identifier: str, value: str) -> str | None:
-        from urllib.error import HTTPError
-        from urllib.request import Request, urlopen
-
-        sent = {"content-type": "application/json", "user-agent": "gleanflow", **(headers or {})}
-        if token_env:
-            token = os.environ.get(token_env, "").strip()
-            if not token:
-                return f"Environment variable {token_env} is not set"
-            sent["authorization"] = f"Bearer {token}"
-        request = Request(url, data=value.encode("utf-8"), headers=sent, method="POST")
+    def outcome(deliver, identifier: str, value: str) -> str | None:
         try:
-            with urlopen(request, timeout=timeout_ms / 1000):
-                return None
-        except HTTPError as failure:
-            body = failure.read().decode("utf-8", "replace").strip()[:EXCERPT_UNITS]
-            return f"Webhook responded HTTP {failure.code}" + (f": {body}" if body else "")
+            return deliver(identifier, value)
+        except Exception as failure:  # noqa: BLE001 - every failure is an outcome
+            return str(failure) or type(failure).__name__
+
+    def run_lane(batches):
+        deliver = send
+        for batch in batches:
+            deliver = deliver or connect()
+            errors = [outcome(deliver, *row) for row in zip(batch["id"], batch["value"], strict=True)]
+            status = ["failed" if error is not None else "sent" for error in errors]
+            yield pd.DataFrame({"id": batch["id"], "status": status, "error": pd.Series(errors, index=batch.index, dtype=object)})
+
+    return payloads.select("id", "value").mapInPandas(run_lane, OUTCOME_SCHEMA)
+
+
+@dataclass(frozen=True)
+class Webhook:
+    """An endpoint that takes one capture per POST.
+
+    A task resolves the settings once and keeps one connection open for all of its captures. The token is read where the task
+    runs and never stored.
+    """
 
-    return send
+    url: str
+    headers: dict[str, str] = field(default_factory=dict)
+    token_env: str | None = None
+    timeout_ms: int = DEFAULT_TIMEOUT_MS
+
+    @staticmethod
+    def of(target: Target) -> "Webhook":
+        given = {name: target.config[name] for name in ("url", "headers", "token_env", "timeout_ms") if target.config.get(name) is not None}
+        return Webhook(**given)
+
+    def resolved(self) -> tuple[dict[str, str], str | None]:
+        """Headers of every request, and what keeps them from being complete."""
+        fixed = {"content-type": "application/json", "user-agent": "gleanflow"}
+        token = os.environ.get(self.token_env, "").strip() if self.token_env else ""
+        missing = f"Environment variable {self.token_env} is not set" if self.token_env and not token else None
+        return fixed | self.headers | ({"authorization": f"Bearer {token}"} if token else {}), missing
+
+    def connect(self) -> Callable[[str, str], str | None]:
+        import http.client
+        from urllib.parse import urlsplit
+
+        headers, missing = self.resolved()
+        if missing is not None:
+            return lambda identifier, value: missing
+        place = urlsplit(self.url)
+        kind = http.client.HTTPSConnection if place.scheme == "https" else http.client.HTTPConnection
+        line = kind(place.hostname, place.port, timeout=self.timeout_ms / 1000)
+        where = (place.path or "/") + (f"?{place.query}" if place.query else "")
+
+        def post(identifier: str, value: str) -> str | None:
+            try:
+                line.request("POST", where, value.encode("utf-8"), headers)
+                answer = line.getresponse()
+                body = answer.read()
+            except (OSError, http.client.HTTPException):
+                line.close()  # the next request opens a new one
+                raise
+            return None if 200 <= answer.status < 300 else refusal(answer.status, body)
+
+        return post
+
+
+def refusal(status: int, body: bytes) -> str:
+    """Fixed wording: what a failed delivery leaves in the outbox."""
+    excerpt = body.decode("utf-8", "replace").strip()[:EXCERPT_UNITS]
+    return ": ".join([f"Webhook responded HTTP {status}", *([excerpt] if excerpt else [])])
 
 
 # --- accounting ----------------------------------------------------------------------------

@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanflow.contract import CAPTURE_VERSION, DEFAULT_TIMEOUT_MS, FILE_LEVELS, PRIVACY_LEVELS, PUSH_LEVELS, TARGET_KINDS
+from gleanflow.contract import CAPTURE_RULES, CAPTURE_VERSION, DEFAULT_TIMEOUT_MS, FILE_LEVELS, PRIVACY_LEVELS, PUSH_LEVELS, TARGET_KINDS
 from gleanflow.functions.text import blank_to_null, trim_blanks, utf16_length
 from gleanflow.functions.urls import is_absolute_uri, is_web_url
 from gleanflow.operators.layout import computed
@@ -268,31 +268,41 @@ def capture_problem(value: Column, version: str = CAPTURE_VERSION) -> Column:
     nested = lambda column: json_class(column).isin("object", "array")
     tags, metadata = member(value, "tags"), member(value, "metadata")
 
-    def unless(condition: Column, message: str) -> Column:
-        return F.when(~F.coalesce(condition, F.lit(False)), message)
+    return first_broken(
+        object=json_class(value).isin("object", "array"),
+        schema=as_text(member(value, "schema_version")) == version,
+        keys=filled("id") & filled("connector") & filled("observed_at") & filled("captured_at"),
+        subject=nested(subject)
+        & is_truthy(member(subject, "kind"))
+        & F.coalesce(as_text(member(subject, "uri")) != "", F.lit(False)),
+        payload=nested(payload) & is_truthy(member(payload, "kind")),
+        privacy=nested(privacy) & is_truthy(member(privacy, "level")),
+        level=as_text(member(privacy, "level")).isin(*PRIVACY_LEVELS),
+        tags=(json_class(tags) == "array")
+        & F.forall(F.coalesce(elements(tags), F.array().cast("array<variant>")), lambda t: json_class(t) == "string"),
+        metadata=json_class(metadata) == "object",
+    )
+
 
+def first_broken(**holds: Column) -> Column:
+    """Message of the first rule of the contract that does not hold (null counts as not), null if all hold."""
     return F.coalesce(
-        unless(json_class(value).isin("object", "array"), "Capture must be an object"),
-        unless(as_text(member(value, "schema_version")) == version, "Unsupported capture schema"),
-        unless(
-            filled("id") & filled("connector") & filled("observed_at") & filled("captured_at"),
-            "Capture requires id, connector, observed_at, and captured_at",
-        ),
-        unless(
-            nested(subject)
-            & is_truthy(member(subject, "kind"))
-            & F.coalesce(as_text(member(subject, "uri")) != "", F.lit(False)),
-            "Capture requires subject.kind and subject.uri",
-        ),
-        unless(nested(payload) & is_truthy(member(payload, "kind")), "Capture requires payload.kind"),
-        unless(nested(privacy) & is_truthy(member(privacy, "level")), "Capture requires privacy.level"),
-        unless(as_text(member(privacy, "level")).isin(*PRIVACY_LEVELS), "Capture privacy.level is invalid"),
-        unless(
-            (json_class(tags) == "array")
-            & F.forall(F.coalesce(elements(tags), F.array().cast("array<variant>")), lambda t: json_class(t) == "string"),
-            "Capture tags must be an array of strings",
-        ),
-        unless(json_class(metadata) == "object", "Capture metadata must be an object"),
+        *[F.when(~F.coalesce(holds[rule], F.lit(False)), message) for rule, message in CAPTURE_RULES.items() if rule in holds]
+    )
+
+
+def row_problem(version: str = CAPTURE_VERSION) -> Column:
+    """:func:`capture_problem` of a typed capture row; its types already say that it is an object."""
+    filled = lambda name: F.col(name) != ""
+    return first_broken(
+        schema=F.col("schema_version") == version,
+        keys=filled("id") & filled("connector") & filled("observed_at") & filled("captured_at"),
+        subject=filled("subject.kind") & filled("subject.uri"),
+        payload=filled("payload.kind"),
+        privacy=filled("privacy.level"),
+        level=F.col("privacy.level").isin(*PRIVACY_LEVELS),
+        tags=~F.exists("tags", lambda t: t.isNull()),
+        metadata=json_class(F.try_parse_json("metadata")) == "object",
     )
 
 

@@ -13,7 +13,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,14 +179,14 @@ class Outbox:
             order_by = F.struct(*CAPTURE_SCHEMA.names)
         # A removed id may come back; anything else that is stored stays as it is.
         new = ob.new_entries(captures, self.stored(captures, without=batch), order_by)
-        write_batch(
-            new.select(*CAPTURE_SCHEMA.names, F.lit(place.seq).cast("bigint").alias("seq")), self._captures, place.folder
-        )
-        return self.captures({place.seq}).count()
+        counted = Observation()
+        new = new.select(*CAPTURE_SCHEMA.names, F.lit(place.seq).cast("bigint").alias("seq")).observe(counted, F.count("*").alias("n"))
+        write_batch(new, self._captures, place.folder)
+        return counted.get["n"]
 
     def unused_batch(self, name: str) -> str:
         """``name``, or with a number added where marks of that name exist: outcomes are never replaced."""
-        taken = {b.name for b in self._batches(self._marks)}
+        taken = {b.name.partition(".")[0] for b in self._batches(self._marks)}
         attempt, free = 0, name
         while free in taken:
             attempt += 1
@@ -202,8 +202,8 @@ class Outbox:
             write_batch(events.select(seq, *names), self._marks, place.folder)
         return place.seq
 
-    def batch_marks(self, batch: str) -> DataFrame:
-        found = [b for b in self._batches(self._marks) if b.name == batch]
+    def batch_marks(self, *batches: str) -> DataFrame:
+        found = [b for b in self._batches(self._marks) if b.name in batches]
         return self._read(self._marks, OUTBOX_EVENT_SCHEMA, found)
 
     def mark(self, ids: DataFrame, event: str, batch: str, error: str | None = None) -> DataFrame:

@@ -432,6 +432,21 @@ ORACLES: dict[str, str] = {
     + """SELECT status, attempts, count(*) AS entries FROM (
           SELECT status, CASE WHEN status = 'failed' THEN 2 ELSE 0 END AS attempts FROM outcomes
           UNION ALL SELECT 'pending', 0 FROM firsts WHERE level = 'sensitive') GROUP BY ALL""",
+    "sync_custom": DOC_CAPTURES
+    + """SELECT level, CASE WHEN level = 'sensitive' THEN 'skipped' WHEN right(id, 1) = '0' THEN 'failed' ELSE 'delivered' END AS outcome,
+          CASE WHEN level = 'sensitive' THEN 'not on a shelf' WHEN right(id, 1) = '0' THEN 'full' END AS detail, count(*) AS entries
+        FROM firsts GROUP BY ALL""",
+    "run_registry": f"""
+        WITH asked AS (SELECT *, 'page' || page_id AS id, CASE WHEN page_id % 13 = 0 THEN 'nothing' ELSE 'web-page' END AS connector,
+          CASE WHEN page_id % 13 = 0 THEN 'Unknown connector: nothing'
+            WHEN page_id % 7 = 0 THEN 'Connector instance is disabled: page' || page_id
+            WHEN page_id % 11 = 0 THEN 'Invalid config for connector web-page (instance page' || page_id || '):' || chr(10)
+              || '  - config.tagz is not a recognized option (did you mean "tags"?)' || chr(10) || '  - url must be string, received number'
+            WHEN page_id % 5 = 0 THEN 'Invalid config for connector web-page (instance page' || page_id || '):' || chr(10) || '  - config.url is required'
+            END AS error FROM pages),
+        found AS (SELECT a.id, {PAGE_URI.replace("url", "p.url")} AS uri, p.html FROM asked a JOIN pages p ON p.url = a.url WHERE a.error IS NULL)
+        SELECT id, connector, error, CAST(NULL AS BIGINT) AS collected, CAST(NULL AS BIGINT) AS enqueued FROM asked WHERE error IS NOT NULL
+        UNION ALL SELECT NULL, 'web-page', NULL, count(*), count(DISTINCT (id, uri, html)) FROM found HAVING count(*) > 0""",
     "outbox_state": LOG + "SELECT * FROM entries",
     "outbox_compacted": LOG + "SELECT * FROM entries",
     "outbox_list": LOG + "SELECT id, status, attempts FROM entries WHERE status = 'pending'",

@@ -16,7 +16,7 @@ from gleanflow.operators import outbox as ob
 from gleanflow.operators.snapshots import Snapshots
 from gleanflow.operators.tables import Checkpoints, Outbox, shared_folder
 from gleanflow.plans import fixtures as fx
-from gleanflow.plans.run import Collected, collect_repository, run_source, sync
+from gleanflow.plans.run import Collected, Registry, WebSource, collect_repository, run, run_source, sync
 from gleanflow.sources import repository as repo
 from gleanflow.sources import submissions as sub
 from gleanflow.sources.responses import triage
@@ -635,6 +635,51 @@ def sync_loop(spark, sf):
     return outbox.entries().groupBy("status", "attempts").agg(F.count("*").alias("entries"))
 
 
+def _page_instances(spark, sf):
+    """An instance per page: most may run, some are off, have an unknown source or break the option rules."""
+    by = lambda n: F.col("page_id") % n == 0
+    url = F.to_json(F.struct("url"))
+    return fx.table(spark, sf, "pages").select(
+        F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("id"),
+        F.when(by(13), "nothing").otherwise(WEB_MANIFEST.id).alias("connector"),
+        (~by(7)).alias("enabled"),
+        F.when(by(11), F.lit('{"url":5,"tagz":[]}')).when(by(5), F.lit('{"note":"x"}')).otherwise(url).alias("config"),
+    )
+
+
+def run_registry(spark, sf):
+    """A scheduled run of all page instances: counts, and what keeps instances from running."""
+    folder = shared_folder(spark)
+    registry = Registry.of([WebSource(fx.responses(spark, sf).drop("page_id"))])
+    report = run(
+        registry, _page_instances(spark, sf), Outbox(spark, f"{folder}/outbox"), Checkpoints(spark, f"{folder}/state"), fx.RUN, mode="quarantine"
+    )
+    counts = [(None, name, None, c["collected"], c["enqueued"]) for name, c in report.counts.items()]
+    schema = "id string, connector string, error string, collected long, enqueued long"
+    problems = report.problems.select("*", F.lit(None).cast("long").alias("collected"), F.lit(None).cast("long").alias("enqueued"))
+    return problems.unionByName(spark.createDataFrame(counts, schema))
+
+
+class _Shelf:
+    """A target of its own kind: takes private captures too, and has no room for ids that end in a zero."""
+
+    def accepts(self):
+        return F.when(F.col("level") == "sensitive", "not on a shelf")
+
+    def deliver(self, captures):
+        full = F.when(F.col("id").endswith("0"), "full")
+        return captures.select("id", F.when(full.isNull(), "sent").otherwise("failed").alias("status"), full.alias("error"))
+
+
+def sync_custom(spark, sf):
+    """Delivery in three waves to a target of a custom kind: outcomes by level and detail."""
+    outbox = Outbox(spark, shared_folder(spark))
+    outbox.enqueue(_document_captures(spark, sf).drop("stored"), "docs", F.col("doc_id"))
+    levels = outbox.captures().select("id", F.col("privacy.level").alias("level"))
+    done = sync(outbox, dl.Target("shelf", "shelf"), "sync", deliverer=_Shelf(), waves=3)
+    return done.join(levels, "id").groupBy("level", "outcome", "detail").agg(F.count("*").alias("entries"))
+
+
 # --- streams ----------------------------------------------------------------------------------------------------
 
 
@@ -803,6 +848,8 @@ QUERIES: dict[str, Query] = {
     "run_and_summary": run_and_summary,
     "incremental_runs": incremental_runs,
     "sync_loop": sync_loop,
+    "sync_custom": sync_custom,
+    "run_registry": run_registry,
     "stream_captures": stream_captures,
     "stream_enqueue": stream_enqueue,
     "stream_changes": stream_changes,

@@ -53,13 +53,19 @@ def without_repeats(captures: DataFrame, remember: str) -> DataFrame:
     return seen.dropDuplicatesWithinWatermark(["id"]).drop("_seen")
 
 
+def enqueue_in_order(outbox: Outbox, batch: DataFrame, name: str) -> int:
+    """Of equal ids in a micro-batch the first row counts. The rows are stored once, with their places."""
+    rows = staged(batch.withColumn("_place", F.monotonically_increasing_id()))
+    return outbox.enqueue(rows, name, F.col("_place"))
+
+
 def stream_enqueue(
     captures: DataFrame, outbox: Outbox, checkpoint: str, name: str = "stream", remember: str | None = "1 day"
 ) -> StreamingQuery:
     """Idempotent enqueue of a stream of captures; ``remember=None`` leaves all repeats to the stored ids."""
 
     def enqueue(batch: DataFrame, epoch: int) -> None:
-        outbox.enqueue(batch, f"{name}-{epoch:012d}")
+        enqueue_in_order(outbox, batch, f"{name}-{epoch:012d}")
 
     rows = captures if remember is None else without_repeats(captures, remember)
     return (
@@ -168,7 +174,7 @@ def stream_sync(
     def deliver(batch: DataFrame, epoch: int) -> None:
         from gleanflow.plans.run import sync
 
-        outbox.enqueue(batch, f"{name}-{epoch:012d}")
+        enqueue_in_order(outbox, batch, f"{name}-{epoch:012d}")
         sync(outbox, target, f"{name}-sent-{epoch:012d}", send=send)
         if epoch % compact_every == compact_every - 1:
             outbox.compact()

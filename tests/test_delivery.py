@@ -149,7 +149,7 @@ def test_file_targets(spark):
     lines = [json.loads(r["value"]) for r in spark.read.text(f"{folder}/out").select("value").collect()]
     assert {line["privacy"]["level"] for line in lines} == {"public", "sensitive"}
     assert all(line["metadata"] == {} and line["instance_id"] is None for line in lines)
-    dl.export_files(rows, f"{folder}/single")
+    assert {r["status"] for r in dl.export_files(rows, f"{folder}/single").collect()} == {"sent"}
     names = sorted(os.listdir(f"{folder}/single"))
     assert names == sorted(f"{r['id']}.json" for r in rows.collect())
     with open(f"{folder}/single/{names[0]}", encoding="utf-8") as handle:
@@ -175,8 +175,8 @@ def test_custom_deliverer(spark):
 
 
 def test_missing_token_is_a_failure():
-    send = dl.http_send("https://h.example", token_env="GLEANFLOW_TEST_UNSET_TOKEN")
-    assert send("id", "{}") == "Environment variable GLEANFLOW_TEST_UNSET_TOKEN is not set"
+    hook = dl.Webhook.of(dl.Target("t", "webhook", {"url": "https://h.example", "token_env": "GLEANFLOW_TEST_UNSET_TOKEN"}))
+    assert hook.connect()("id", "{}") == "Environment variable GLEANFLOW_TEST_UNSET_TOKEN is not set"
 
 
 def test_settings(spark):
