@@ -93,7 +93,7 @@ CAPTURE_JSON = (
     "\"metadata\":{},\"privacy\":{\"level\":\"sensitive\",\"allow_cloud_llm\":true},\"provenance\":{\"trigger\":\"manual\",\"connector_version\":\"x@1\"}},\"outbox\":' || props || '}'"
     " WHEN 'view' THEN '{\"schema_version\":\"capture.v1\",\"id\":\"c' || " + _V + " || '\",\"connector\":\"x\",\"observed_at\":\"t\",\"captured_at\":\"t\","
     "\"subject\":{\"kind\":\"web\",\"uri\":\"u\"},\"payload\":{\"kind\":\"text\"},\"tags\":[\"a\",' || " + _V + " || '],\"metadata\":{},\"privacy\":{\"level\":\"public\"}}'"
-    " ELSE substr(props, 1, 5) END)"
+    " ELSE replace(props, '}', '') END)"
 )
 INSTANCE_JSON = (
     "(CASE event_type"
@@ -112,6 +112,33 @@ TARGET_JSON = (
     f" ELSE '{{\"id\":\"t' || {_V} || '\",\"kind\":\"webhook\",\"config\":{{\"url\":\"http://h.example\"}}}}' END)"
 )
 
+# Configs that keep and break the other rule sets, from every turn of every conversation.
+_C, _T = "CAST(conv_id AS VARCHAR(20))", "CAST(turn AS VARCHAR(20))"
+PAGE_CONFIG = (
+    f"('{{\"url\":\"' || CASE WHEN turn % 2 = 0 THEN 'https://x.example/' ELSE 'no uri ' END || {_C} || '\",\"tags\":[\"' || role || '\",' || {_T} || ',null],"
+    f"\"privacy_level\":\"' || CASE role WHEN 'user' THEN 'public' ELSE role END || '\",\"titel\":' || {_T} || '}}')"
+)
+FILE_CONFIG = (
+    "('{\"directory\":\"' || CASE WHEN turn = 0 THEN '' ELSE role END || '\",\"include_privacy_levels\":[\"public\",\"' || role || '\"]}')"
+)
+HOOK_CONFIG = (
+    f"('{{' || CASE WHEN turn % 3 = 0 THEN '' ELSE '\"url\":\"https://h.example/' || {_C} || '\",' END || '\"timeout_ms\":' || {_T} || CASE WHEN turn % 2 = 0 THEN '.0' ELSE '.5' END"
+    f" || ',\"headers\":' || CASE role WHEN 'user' THEN '{{\"x\":1}}' ELSE '[' || {_T} || ']' END || '}}')"
+)
+LIST_CONFIG = (
+    f"('{{\"parts\":[' || CASE WHEN turn = 0 THEN '' WHEN turn = 1 THEN '{{\"name\":\"' || role || '\"}}' ELSE '{{\"name\":\"a\"}},{{\"size\":' || {_T} || '}}' END || ']}}')"
+)
+LIST_RULES = {
+    "type": "object",
+    "properties": {
+        "parts": {
+            "type": "array",
+            "minItems": 2,
+            "items": {"type": "object", "required": ["name"], "additionalProperties": False, "properties": {"name": {"type": "string", "minLength": 5}}},
+        }
+    },
+}
+
 # --- repository settings derived from documents --------------------------------------------
 
 REPOSITORY = (

@@ -255,7 +255,7 @@ CAPTURE_PROBLEM = (
 _LOOKUP = "VALUES ('web-page', CAST(NULL AS VARCHAR)), ('repository-documents', '0 3 * * *')"
 _OLD_NEW = """
 WITH rows AS (SELECT 'i' || user_id AS id, event_type AS connector, props, event_id AS position FROM events),
-old AS (SELECT * FROM rows WHERE connector = 'signup'), new AS (SELECT * FROM rows WHERE connector = 'view')
+old AS (SELECT * FROM rows WHERE connector IN ('signup', 'error')), new AS (SELECT * FROM rows WHERE connector NOT IN ('signup', 'error'))
 """
 
 # Fixed value: the reason that the library gives.
@@ -480,10 +480,32 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, CASE WHEN event_type = 'click' THEN 'other' ELSE 'web-page' END AS connector,
           CASE WHEN event_type = 'error' THEN 'cron' WHEN value < 10 THEN 'manual' ELSE 'schedule' END AS trigger FROM events)""",
     "config_errors": f"WITH c AS (SELECT event_id, {fx.OPTIONS_JSON}::JSON AS config FROM events) " + _option_checks(),
+    "rule_sets": """
+        WITH c AS (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN 'public' ELSE role END AS level FROM conversations),
+        known AS (SELECT unnest(['public', 'private', 'sensitive']) AS level),
+        e AS (
+          SELECT 'page' AS rule_set, conv_id, turn, unnest([
+            CASE WHEN turn % 2 = 1 THEN 'url must be a valid absolute URI' END,
+            'tags[1] must be string, received number', 'tags[2] must be string, received null',
+            CASE WHEN level NOT IN (SELECT level FROM known) THEN 'privacy_level must be one of "public", "private", "sensitive"' END,
+            'config.titel is not a recognized option (did you mean "title"?)']) AS error FROM c
+          UNION ALL SELECT 'file', conv_id, turn, unnest([
+            CASE WHEN turn = 0 THEN 'directory must be at least 1 character(s)' END,
+            CASE WHEN role NOT IN (SELECT level FROM known) THEN 'include_privacy_levels[1] must be one of "public", "private", "sensitive"' END]) FROM c
+          UNION ALL SELECT 'webhook', conv_id, turn, unnest([
+            CASE WHEN turn % 3 = 0 THEN 'config.url is required' END,
+            CASE WHEN turn % 2 = 1 THEN 'timeout_ms must be integer, received number' END,
+            CASE WHEN role <> 'user' THEN 'headers must be object, received array' END]) FROM c
+          UNION ALL SELECT 'list', conv_id, turn, unnest([
+            CASE WHEN turn < 2 THEN 'parts must contain at least 2 item(s)' END,
+            CASE WHEN (turn = 1 AND length(role) < 5) OR turn > 1 THEN 'parts[0].name must be at least 5 character(s)' END,
+            CASE WHEN turn > 1 THEN 'config.parts[1].name is required' END,
+            CASE WHEN turn > 1 THEN 'config.parts[1].size is not a recognized option' END]) FROM c)
+        SELECT * FROM e WHERE error IS NOT NULL""",
     "option_suggestions": f"""
         SELECT event_id, option, {_hint('option')} AS hint FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'site_ur'
-          WHEN 'view' THEN 'token_' || substr(props, 7, 2) WHEN 'error' THEN 'allow_llm'
-          ELSE event_type || '_' || substr(props, 3, 1) || 'ranch' END AS option FROM events)""",
+          WHEN 'view' THEN 'token_' || translate(props, '{{}}": ', '') WHEN 'error' THEN 'allow_llm'
+          ELSE event_type || '_' || translate(props, '{{}}": ', '') || 'ranch' END AS option FROM events)""",
     "instances_normalized": """
         SELECT event_id, CASE event_type WHEN 'error' THEN 'connector instance requires a non-empty id'
             WHEN 'click' THEN 'connector instance "i' || user_id || '" has a non-boolean enabled'

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,7 +200,7 @@ def legacy_outbox(spark, sf):
         F.when(F.col("event_type") == "purchase", F.lit('{"status":"sent"}'))
         .when(F.col("event_type") == "error", F.lit('{"status":"failed"}'))
         .when(F.col("event_type") == "click", F.lit('{"status":"lost"}'))
-        .when(F.col("event_type") == "view", F.substring("props", 1, 4))
+        .when(F.col("event_type") == "view", F.replace("props", F.lit("}"), F.lit("")))
         .otherwise(F.col("props"))
     )
     name = F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".json"))
@@ -496,7 +497,8 @@ def _instance_versions(spark, sf):
         "props",
         F.col("event_id").alias("position"),
     )
-    return rows.where(F.col("connector") == "signup"), rows.where(F.col("connector") == "view")
+    stored = F.col("connector").isin("signup", "error")
+    return rows.where(stored), rows.where(~stored)
 
 
 def config_upsert(spark, sf):
@@ -559,14 +561,32 @@ def config_errors(spark, sf):
     return rules.config_errors(rows, repo.REPOSITORY_MANIFEST.config_schema, "event_id")
 
 
+def rule_sets(spark, sf):
+    """The option rules of pages, file and push targets and a set with lists of objects, over all conversations."""
+    turns = fx.table(spark, sf, "conversations")
+    sets = {
+        "page": (fx.PAGE_CONFIG, WEB_MANIFEST.config_schema),
+        "file": (fx.FILE_CONFIG, rules.TARGET_SCHEMAS["file"]),
+        "webhook": (fx.HOOK_CONFIG, rules.TARGET_SCHEMAS["webhook"]),
+        "list": (fx.LIST_CONFIG, fx.LIST_RULES),
+    }
+    found = []
+    for name, (config, schema) in sets.items():
+        rows = turns.select(F.struct("conv_id", "turn").alias("row"), F.expr(config).alias("config"))
+        errors = rules.config_errors(rows, schema, "row")
+        found.append(errors.select(F.lit(name).alias("rule_set"), "row.conv_id", "row.turn", "error"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def option_suggestions(spark, sf):
     known = list(repo.REPOSITORY_MANIFEST.config_schema["properties"])
-    # Misspelt names: a declared name with the first letters of a document word appended.
-    key = F.concat(F.col("event_type"), F.lit("_"), F.substring("props", 3, 1), F.lit("ranch"))
+    # Misspelt names: declared ones with the event's whole properties in them.
+    bare = F.regexp_replace("props", '[{}": ]', "")
+    key = F.concat(F.col("event_type"), F.lit("_"), bare, F.lit("ranch"))
     rows = fx.events(spark, sf).select(
         "event_id",
         F.when(F.col("event_type") == "click", F.lit("site_ur"))
-        .when(F.col("event_type") == "view", F.concat(F.lit("token_"), F.substring("props", 7, 2)))
+        .when(F.col("event_type") == "view", F.concat(F.lit("token_"), bare))
         .when(F.col("event_type") == "error", F.lit("allow_llm"))
         .otherwise(key)
         .alias("option"),
@@ -842,6 +862,7 @@ QUERIES: dict[str, Query] = {
     "sync_limit": sync_limit,
     "capture_rejects": capture_rejects,
     "config_errors": config_errors,
+    "rule_sets": rule_sets,
     "instances_normalized": instances_normalized,
     "targets_normalized": targets_normalized,
     "full_rescan": full_rescan,
