@@ -206,6 +206,10 @@ class Outbox:
         found = [b for b in self._batches(self._marks) if b.name in batches]
         return self._read(self._marks, OUTBOX_EVENT_SCHEMA, found)
 
+    def batch_captures(self, batch: str) -> DataFrame:
+        found = [b for b in self._batches(self._captures) if b.name == batch]
+        return self._read(self._captures, STORED_CAPTURE, found)
+
     def mark(self, ids: DataFrame, event: str, batch: str, error: str | None = None) -> DataFrame:
         """One mark per distinct id: ``pending``, ``sent``, ``failed`` or ``remove``.
 

@@ -324,6 +324,13 @@ ORACLES: dict[str, str] = {
             WHEN role <> 'user' AND text <> '' THEN 'text://manual/' || sha256(text) END AS uri,
           CASE WHEN role = 'user' AND turn = 0 AND text <> '' OR role <> 'user' AND text = ''
             THEN 'capture requires exactly one of url or text' END AS problem FROM conversations""",
+    "import_files": f"""SELECT DISTINCT NULL AS problem, id || '.json' AS file_name, id, uri, text,
+          regexp_replace(metadata, '^.*:200,"content_length":([0-9]+)[}}]$', '{{"content_length":\\1,"status":200}}') AS metadata FROM ({WEB})""",
+    "legacy_import": f"""
+        WITH ids AS (SELECT DISTINCT id, ('0x' || right(id, 1))::INT AS kind FROM ({WEB}))
+        SELECT id, CASE WHEN kind = 15 THEN 'Unsupported capture schema' WHEN kind % 4 = 1 THEN 'sent' WHEN kind % 4 = 2 THEN 'failed' ELSE 'pending' END AS status,
+          CASE WHEN kind <> 15 THEN kind % 5 + (kind % 4 = 2)::INT END AS attempts,
+          CASE WHEN kind <> 15 AND kind % 2 = 0 THEN 'why ' || id END AS last_error, CASE WHEN kind <> 15 THEN 't' || kind END AS updated_at FROM ids""",
     "import_captures": f"""
         SELECT event_id, {CAPTURE_PROBLEM.format(click='NULL')} AS problem,
           CASE event_type WHEN 'signup' THEN 'c' || user_id WHEN 'click' THEN 'e' || user_id END AS id,

@@ -208,6 +208,47 @@ def legacy_outbox(spark, sf):
     return sub.legacy_entries(rows)
 
 
+def _files_of(rows: DataFrame) -> str:
+    """A folder with one file per ``id, value``."""
+    folder = shared_folder(rows.sparkSession)
+    dl.push_captures(rows, connect=dl.Folder(folder).connect, lanes=None).where("error is not null").count()
+    return folder
+
+
+def import_files(spark, sf):
+    """Page captures as single files, read back as captures."""
+    captures = web_captures(fx.responses(spark, sf), fx.RUN)
+    folder = _files_of(captures.dropDuplicates(["id"]).select("id", dl.capture_json().alias("value")))
+    found = sub.read_capture_files(spark, folder)
+    return found.select(
+        "problem", "file_name", F.col("capture.id").alias("id"), F.col("capture.subject.uri").alias("uri"),
+        F.col("capture.payload.text").alias("text"), F.col("capture.metadata").alias("metadata"),
+    )
+
+
+def legacy_import(spark, sf):
+    """Files of an older outbox, with statuses, attempts and broken ones, become entries of a new one."""
+    captures = web_captures(fx.responses(spark, sf), fx.RUN).dropDuplicates(["id"])
+    kind = F.conv(F.right("id", F.lit(1)), 16, 10).cast("int")
+    state = F.struct(
+        F.parse_json(dl.capture_json()).alias("capture"),
+        F.when(kind % 4 == 1, "sent").when(kind % 4 == 2, "failed").when(kind % 4 == 3, "lost").otherwise("pending").alias("status"),
+        (kind % 5 + F.when(kind % 4 == 2, 1).otherwise(0)).alias("attempts"),
+        F.when(kind % 2 == 0, F.concat(F.lit("why "), "id")).alias("last_error"),
+        F.concat(F.lit("t"), kind.cast("string")).alias("updated_at"),
+    )
+    whole = F.to_json(state, {"ignoreNullFields": "false"})
+    value = F.when(kind == 15, F.to_json(F.struct(F.lit("no capture").alias("note")))).otherwise(whole)
+    folder = _files_of(captures.select("id", value.alias("value")))
+    outbox = Outbox(spark, shared_folder(spark))
+    report = sub.import_legacy(outbox, sub.legacy_files(spark, folder), "old")
+    broken = report["rejects"].select(
+        F.regexp_extract("file_path", "([^/]+)[.]json$", 1).alias("id"), F.col("problem").alias("status"),
+        F.lit(None).cast("long").alias("attempts"), F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("string").alias("updated_at"),
+    )
+    return outbox.entries().select(*broken.columns).unionByName(broken)
+
+
 # --- repository source ------------------------------------------------------------------------
 
 
@@ -816,6 +857,8 @@ QUERIES: dict[str, Query] = {
     "manual_captures": manual_captures,
     "manual_uri": manual_uri,
     "import_captures": import_captures,
+    "import_files": import_files,
+    "legacy_import": legacy_import,
     "outbox_list": outbox_list,
     "legacy_outbox": legacy_outbox,
     "checkpoint_valid": checkpoint_valid,

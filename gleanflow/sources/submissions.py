@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanflow.contract import CAPTURE_ID_PREFIX, CAPTURE_SCHEMA, CAPTURE_VERSION, OUTBOX_STATUSES
@@ -10,6 +10,7 @@ from gleanflow.functions import text as tx
 from gleanflow.functions import urls
 from gleanflow.operators.layout import computed
 from gleanflow.operators.rules import capture_problem
+from gleanflow.operators.tables import Outbox, staged
 from gleanflow.sources.web import with_optional
 
 MANUAL_CONNECTOR = "manual"
@@ -161,3 +162,64 @@ def legacy_entries(files: DataFrame, name: str = "file_name", json: str = "value
         F.when(status.isin(*OUTBOX_STATUSES), status).otherwise("pending").alias("status"),
         value.isNotNull().alias("readable"),
     )
+
+
+# --- files ------------------------------------------------------------------------------------
+
+
+def json_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file_name, file_path, value``: every ``.json`` file below a folder as one text."""
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    return rows.select("_metadata.file_name", "_metadata.file_path", "value")
+
+
+def read_capture_files(spark: SparkSession, path: str, version: str = CAPTURE_VERSION) -> DataFrame:
+    """``file_name, file_path, capture, problem`` of files with one capture (or an envelope around it) each."""
+    return read_captures(json_files(spark, path), "value", version).drop("value")
+
+
+def legacy_files(spark: SparkSession, path: str, version: str = CAPTURE_VERSION) -> DataFrame:
+    """Entries of an outbox that kept one file per capture: ``file_name, file_path, capture, status, attempts, last_error,
+    updated_at, problem``.
+
+    A file without a readable capture has a problem and stays visible by its path; an unknown status counts as pending.
+    """
+    value = F.try_parse_json("value")
+    get = lambda name, kind: F.try_variant_get("_entry", f"$.{name}", kind)
+    status = get("status", "string")
+    rows = read_captures(json_files(spark, path).withColumn("_entry", value), "value", version)
+    return rows.select(
+        "file_name", "file_path", "capture",
+        F.when(status.isin(*OUTBOX_STATUSES), status).otherwise("pending").alias("status"),
+        F.greatest(F.coalesce(get("attempts", "bigint"), F.lit(0)), F.lit(0)).cast("bigint").alias("attempts"),
+        get("last_error", "string").alias("last_error"),
+        get("updated_at", "string").alias("updated_at"),
+        "problem",
+    )
+
+
+def import_legacy(outbox: Outbox, entries: DataFrame, batch: str) -> dict:
+    """Entries of :func:`legacy_files` into an outbox, each as it was: capture, status, attempts, last error and time.
+
+    An id that the outbox has already stays as it is there. Three batches are written (captures, earlier failures, last
+    states); a repeat after a crash writes those that are missing. A failed entry counts at least one attempt.
+    """
+    entries = staged(entries)
+    good = entries.where(F.col("problem").isNull())
+    enqueued = outbox.enqueue(good.select("capture.*"), batch)
+    fresh = good.withColumn("id", F.col("capture.id")).join(outbox.batch_captures(batch).select("id"), "id", "left_semi")
+    rest = F.struct("status", "attempts", "last_error", "updated_at")
+    fresh = fresh.groupBy("id").agg(F.min_by(rest, "file_path").alias("_e")).select("id", "_e.*")
+    nothing = F.lit(None).cast("string")
+    before = F.col("attempts") - F.when(F.col("status") == "failed", 1).otherwise(0)
+    earlier = fresh.where(before > 0).select("id", F.explode(F.sequence(F.lit(1).cast("bigint"), before)))
+    outbox.append(
+        earlier.select("id", F.lit("failed").alias("event"), nothing.alias("error"), nothing.alias("at"), nothing.alias("target")),
+        f"{batch}-attempts",
+    )
+    outbox.append(
+        fresh.select("id", F.col("status").alias("event"), F.col("last_error").alias("error"), F.col("updated_at").alias("at"), nothing.alias("target")),
+        f"{batch}-states",
+    )
+    rejected = entries.where(F.col("problem").isNotNull()).select("file_path", "problem")
+    return {"enqueued": enqueued, "rejected": rejected.count(), "rejects": rejected}
