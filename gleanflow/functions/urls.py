@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanflow.functions.hosts import ascii_host
 from gleanflow.functions.text import blank_to_null, trim_blanks
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*):/*(?:([^/?#@]*)@)?(\[[^\]]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
@@ -171,8 +172,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def canonical_url(url: Column) -> Column:
     """Struct ``(uri, issue)``: the serialized URL without fragment, or why there is none.
 
-    Numeric hosts are addresses in any of their spellings and come out in the usual one. ASCII forms of international
-    names stay as they are; hosts that need IDN mapping are reported and not guessed.
+    Numeric hosts are addresses in any of their spellings and come out in the usual one. International names get their ASCII
+    form; those that would need mapping tables for it are reported and not guessed.
     """
     cleaned = F.regexp_replace(
         F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", ""
@@ -190,7 +191,7 @@ def canonical_url(url: Column) -> Column:
         scheme.alias("scheme"),
         part(1).alias("read"),
         part(2).alias("userinfo"),
-        F.when(F.contains(named, F.lit("%")), F.coalesce(decoded, named)).otherwise(named).alias("named"),
+        _let(F.when(F.contains(named, F.lit("%")), F.coalesce(decoded, named)).otherwise(named), _known_form).alias("named"),
         part(4).alias("port"),
         part(5).alias("path"),
         part(6).alias("query"),
@@ -199,6 +200,11 @@ def canonical_url(url: Column) -> Column:
     return _let(pieces, lambda p: _let(_host(p["named"]), lambda host: _serialized(p, host)))
 
 
+def _known_form(named: Column) -> Column:
+    """ASCII form of a name where it has one; other names stay and are refused later."""
+    return F.coalesce(ascii_host(named), named)
+
+
 def _host(named: Column) -> Column:
     return (
         F.when(F.startswith(named, F.lit("[")), _ipv6(named))

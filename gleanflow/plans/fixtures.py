@@ -112,6 +112,23 @@ TARGET_JSON = (
     f" ELSE '{{\"id\":\"t' || {_V} || '\",\"kind\":\"webhook\",\"config\":{{\"url\":\"http://h.example\"}}}}' END)"
 )
 
+# Hosts as they may be written, their usual form (none: refused) and the reason of a refusal.
+HOSTS = (
+    ("BÜCHER.example", "xn--bcher-kva.example", None), ("日本語。jp", "xn--wgv71a119e.jp", None), ("straße.de:8080", "xn--strae-oqa.de:8080", None),
+    ("пример.испытание", "xn--e1afmkfd.xn--80akhbyknj4f", None), ("παράδειγμα.gr", "xn--hxajbheg2az3al.gr", None), ("한국.kr", "xn--3e0b707e.kr", None),
+    ("☃.net", None, "internationalized host"), ("ﬁn.example", None, "internationalized host"), ("0x7f.1", "127.0.0.1", None), ("017700000001", "127.0.0.1", None),
+    ("256.1.1.1", None, "invalid host"), ("[2001:DB8:0:0:0:0:0:1]", "[2001:db8::1]", None), ("[::ffff:1.2.3.4]", "[::ffff:102:304]", None), ("[1:2]", None, "invalid host"),
+    ("a%41.example", "aa.example", None), ("user@Example.COM", "user@example.com", None), ("a b.example", None, "invalid host"), ("x.example:65536", None, "invalid port"),
+)
+
+
+def host_cases(page: str = "page_id", column: int = 0) -> str:
+    """A ``CASE`` that picks a host for each page."""
+    cells = [h[column] for h in HOSTS]
+    whens = " ".join(f"WHEN {i} THEN " + ("NULL" if c is None else "'" + c + "'") for i, c in enumerate(cells))
+    return f"(CASE {page} % {len(HOSTS)} {whens} END)"
+
+
 # Configs that keep and break the other rule sets, from every turn of every conversation.
 _C, _T = "CAST(conv_id AS VARCHAR(20))", "CAST(turn AS VARCHAR(20))"
 PAGE_CONFIG = (

@@ -267,6 +267,7 @@ ORACLES: dict[str, str] = {
     "page_text": f"SELECT page_id, {PAGE_TEXT} AS text FROM pages",
     "page_title": f"SELECT page_id, {PAGE_TITLE} AS title FROM pages",
     "canonical_urls": f"SELECT page_id, {PAGE_URI} AS uri, CAST(NULL AS VARCHAR) AS issue FROM pages",
+    "page_hosts": f"SELECT page_id, 'http://' || {fx.host_cases(column=1)} || '/' || page_id || '?q' AS uri, {fx.host_cases(column=2)} AS issue FROM pages",
     "page_lengths": f"SELECT page_id, {UTF16_LENGTH} AS content_length FROM pages",
     "file_export": f"SELECT id, uri, text, {UTF16_LENGTH} AS content_length FROM (SELECT html, "
     f"{_id(_source_seed('web-page', chr(39) + 'pages' + chr(39), 'uri', 'html'))} AS id, uri, nullif(text, '') AS text "

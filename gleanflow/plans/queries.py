@@ -72,6 +72,14 @@ def canonical_urls(spark, sf):
     ).select("page_id", F.col("_c.uri").alias("uri"), F.col("_c.issue").alias("issue"))
 
 
+def page_hosts(spark, sf):
+    """Page addresses with hosts in all spellings: their usual form, or why there is none."""
+    address = F.concat(F.lit("HTTP://"), F.expr(fx.host_cases()), F.lit("/"), F.col("page_id").cast("string"), F.lit("?q#f"))
+    return fx.table(spark, sf, "pages").select("page_id", urls.canonical_url(address).alias("_c")).select(
+        "page_id", F.col("_c.uri").alias("uri"), F.col("_c.issue").alias("issue")
+    )
+
+
 def page_lengths(spark, sf):
     return fx.pages(spark, sf).select("page_id", tx.utf16_length(F.col("html")).alias("content_length"))
 
@@ -875,6 +883,7 @@ QUERIES: dict[str, Query] = {
     "page_title": page_title,
     "canonical_urls": canonical_urls,
     "page_lengths": page_lengths,
+    "page_hosts": page_hosts,
     "normalize_tags": normalize_tags,
     "frontmatter_tags": frontmatter_tags,
     "slugs": slugs,
