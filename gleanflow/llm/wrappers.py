@@ -3,11 +3,12 @@
 A page is a stream of tags and texts. Texts become slots, and equal neighbouring groups of tags fold into one
 repeated group, so pages of one template have few different skeletons. The skeletons of a host are aligned one after
 the other: where two differ, what only one of them has becomes an optional group, and a group that one of them repeats
-becomes a repeated group. The result is one expression without unions: the host's wrapper, with the number of
-pages and of different texts behind each slot. It tells which region of the host's pages holds the article: a
-region that is named as such (article, main) or else the smallest one that holds most of the text that varies.
-The region decides for every page of the host; menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments of readers are left out wherever they stand.
+becomes a repeated group. The result is one expression without unions: the host's wrapper. Behind each of its paths
+the host's different texts are counted, a text once however many pages have it, so what the template says on every page weighs
+next to nothing and what varies counts in full. The region is the deepest path of the wrapper that holds most of the host's
+varying text, and the article of a page is what lies there, or the element around it that is named as an article or main part.
+A page that lacks the path goes by its own named element or as a whole. Menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and comments of readers are left out wherever they stand.
 
 Pages are reduced to counted skeletons inside tasks. A host's different skeletons are aligned in rounds, in each of which a
 task takes a bounded number of them, so a host may own any share of the pages and have any number of skeletons.
@@ -22,13 +23,15 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +41,10 @@ from gleanflow.llm.common import staged, table
 AT_ONCE = 256
 # The share of a host's text that its article region holds at least. Over one half, so that each depth has one such path.
 SHARE = 0.7
-# Elements below so many open ones belong to the last of these.
+# Elements below so many open ones belong to the last of these; their breaks between blocks stay.
 DEEP = 150
+# Cells of an alignment table; longer lists are cut at their common unique marks first.
+CELLS = 1_000_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -83,10 +88,10 @@ REGION_ROLES = frozenset(("main", "article"))
 class Node:
     """An element with its children in page order; texts are strings."""
 
-    __slots__ = ("tag", "mark", "children", "out", "named")
+    __slots__ = ("tag", "mark", "children", "out", "named", "lent")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.children = tag, []
+        self.tag, self.children, self.lent = tag, [], False
         self.mark, self.out, self.named = tag, tag in LEFT_OUT, tag in ("article", "main")
         if attributes and "=" in attributes or " hidden" in attributes:
             found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
@@ -102,7 +107,7 @@ class Node:
             )
             words = [w for w in names if not any(c.isdigit() for c in w)]
             if words:
-                self.mark = tag + "." + ".".join(words[:3])
+                self.mark = tag + "." + ".".join(words)
 
 
 def parsed(page: str) -> Node:
@@ -118,6 +123,8 @@ def parsed(page: str) -> Node:
     def close(names, stop=SCOPES) -> None:
         for depth in range(len(open_) - 1, 0, -1):
             if open_[depth].tag in names:
+                if open_[depth].lent and open_[depth].tag not in INLINE:
+                    open_[depth].children.append(Node("div", ""))
                 del open_[depth:]
                 return
             if open_[depth].tag in stop:
@@ -143,7 +150,10 @@ def parsed(page: str) -> Node:
         node, parent = Node(tag, m[3] or ""), open_[-1]
         node.out = node.out or parent.out
         if len(open_) >= DEEP and (parent.out or not node.out):
-            node.children = parent.children  # keeps its place among the open elements but gives no further level
+            # It keeps its place among the open elements but gives no further level; an empty block marks where it begins and ends.
+            node.children, node.lent = parent.children, True
+            if tag not in INLINE:
+                parent.children.append(Node("div", ""))
         else:
             parent.children.append(node)
         if tag in VOID or (m[3] or "").endswith("/"):
@@ -161,10 +171,29 @@ def parsed(page: str) -> Node:
 # "1" (once), "?" (optional), "+" (repeated) or "*" (both).
 
 
+def repeats(keys: list[int], size: int) -> bool:
+    """True if some group of ``size`` is followed by its like."""
+    if len(keys) > 64:
+        row = np.array(keys)
+        same = np.flatnonzero(np.concatenate(([True], row[size:] != row[:-size], [True])))
+        return bool((np.diff(same) > size).any())
+    run = 0
+    for a, b in zip(keys, keys[size:], strict=False):
+        run = run + 1 if a == b else 0
+        if run == size:
+            return True
+    return False
+
+
 def folded(items: list) -> list:
     """Equal neighbouring groups as one repeated group, shortest groups first."""
-    size = 1
-    while 2 * size <= len(items) and size <= 4:
+    known: dict[str, int] = {}
+    number = lambda some: [known.setdefault(json.dumps(x), len(known)) for x in some]
+    size, keys = 1, number(items)
+    while 2 * size <= len(items):
+        if not repeats(keys, size):
+            size += 1
+            continue
         out, at = [], 0
         while at < len(items):
             group = items[at : at + size]
@@ -180,7 +209,7 @@ def folded(items: list) -> list:
             else:
                 out.append(items[at])
                 at += 1
-        items = out
+        items, keys = out, number(out)
         size += 1
     return items
 
@@ -218,6 +247,8 @@ def aligned(a: list, b: list) -> list:
     if a == b:
         return a
     n, m = len(a), len(b)
+    if n * m > CELLS:
+        return joined(sum((aligned(x, y) for x, y in cut_at_unique(a, b)), []))
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -238,6 +269,35 @@ def aligned(a: list, b: list) -> list:
     return joined(out)
 
 
+def cut_at_unique(a: list, b: list) -> list[tuple[list, list]]:
+    """Parts that belong together, cut at marks that either list has once, in an order that both share.
+
+    A pair that has no such mark and is too large for a table is taken to share nothing.
+    """
+    ones = []
+    for heads in ([head(x) for x in some] for some in (a, b)):
+        times = Counter(heads)
+        ones.append({h: i for i, h in enumerate(heads) if times[h] == 1})
+    pairs = sorted((i, ones[1][h]) for h, i in ones[0].items() if h in ones[1])
+    # The longest run of pairs that rises on both sides.
+    tops, ends, before = [], [], []
+    for at, (_, j) in enumerate(pairs):
+        place = bisect_left(tops, j)
+        before.append(ends[place - 1] if place else -1)
+        tops[place : place + 1], ends[place : place + 1] = [j], [at]
+    chain, at = [], ends[-1] if ends else -1
+    while at >= 0:
+        chain.append(pairs[at])
+        at = before[at]
+    parts, i, j = [], 0, 0
+    for x, y in [*reversed(chain), (len(a), len(b))]:
+        left, right = a[i:x], b[j:y]
+        parts += [(left, [])] + [([], right)] if len(left) * len(right) > CELLS else [(left, right)]
+        parts.append((a[x : x + 1], b[y : y + 1]))
+        i, j = x + 1, y + 1
+    return parts
+
+
 def joined(items: list) -> list:
     """Neighbours of the same mark become one repeated group."""
     out: list = []
@@ -253,14 +313,14 @@ def joined(items: list) -> list:
 # --- regions --------------------------------------------------------------------------------
 
 
-def slot_sizes(node: Node, path: str = "") -> Iterator[tuple[str, int]]:
-    """Length of the text directly in each element that may hold the article, by path of marks."""
+def slots(node: Node, path: str = "") -> Iterator[tuple[str, str]]:
+    """Texts of the elements that may hold the article, by path of marks."""
     for child in node.children:
         if isinstance(child, str):
-            if size := len(child.strip()):
-                yield path, size
+            if text := child.strip():
+                yield path, text
         elif not child.out:
-            yield from slot_sizes(child, path if child.tag in INLINE else f"{path}/{child.mark}")
+            yield from slots(child, path if child.tag in INLINE else f"{path}/{child.mark}")
 
 
 def region_of(wrapper: list, heavy: set[str]) -> str:
@@ -307,7 +367,7 @@ def blocks(nodes: list) -> list[str]:
 
     for node in nodes:
         walk(node)
-        flush()
+    flush()
     return out
 
 
@@ -331,19 +391,22 @@ def named_regions(node: Node) -> list[Node]:
 
 
 def at_path(node: Node, path: str) -> list[Node]:
-    """Outermost elements at a region's path."""
-    found = [node]
+    """Elements at a region's path, or the outermost named ones on the way there."""
+    found, ends = [node], []
     for mark in path.split("/")[1:]:
         found = [c for n in found for c in n.children if not isinstance(c, str) and c.mark == mark and not c.out]
-    return found
+        ends += [n for n in found if n.named]
+        found = [n for n in found if not n.named]
+    return ends + found
 
 
 def article_text(page: str | None, region: str) -> str:
     tree = parsed(page or "")
-    nodes = named_regions(tree)
-    if not nodes:
-        nodes = at_path(tree, region) or [tree]
-    return "\n\n".join(b for n in nodes for b in blocks(n.children))
+    found = [b for n in at_path(tree, region) for b in blocks(n.children)] if region else []
+    if not found:
+        # A page of another build than its host's wrapper.
+        found = [b for n in named_regions(tree) or [tree] for b in blocks(n.children)]
+    return "\n\n".join(found)
 
 
 # --- jobs -----------------------------------------------------------------------------------
@@ -354,28 +417,31 @@ def host(url: str) -> Column:
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """``host, skeleton, path, n``: pages of each skeleton (path null) and text below each path (skeleton null).
+    """``host, skeleton, path, text, n``: pages of each skeleton, and the length ``n`` of each text behind a path (skeleton null).
 
-    Equal ones meet inside the batch, then in a partial aggregation.
+    A text stands for itself by a hash, so it counts once for a path of a host. Equal ones meet inside the batch, then in a
+    partial aggregation.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter[tuple] = Counter()
+            seen: dict[tuple, int] = {}
             for name, page in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 tree = parsed(page or "")
-                seen[name, json.dumps(skeleton(tree)), None] += 1
-                for path, size in slot_sizes(tree):
-                    for prefix in accumulate(path.split("/"), "{}/{}".format):
-                        seen[name, None, prefix] += size
-            columns = zip(*((*key, n) for key, n in seen.items()), strict=True) if seen else ([], [], [], [])
-            kinds_ = (pa.string(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, kinds_, strict=True)], ["host", "skeleton", "path", "n"]
-            )
-
-    found = pages.select(host("url").alias("host"), "html").mapInArrow(of, "host string, skeleton string, path string, n long")
-    return found.groupBy("host", "skeleton", "path").agg(F.sum("n").alias("n"))
+                key = (name, json.dumps(skeleton(tree)), None, None)
+                seen[key] = seen.get(key, 0) + 1
+                for path, text in slots(tree):
+                    seen[name, None, path, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1] = len(text)
+            columns = zip(*((*key, n) for key, n in seen.items()), strict=True) if seen else ([],) * 5
+            kinds_ = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            names = ["host", "skeleton", "path", "text", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds_, strict=True)], names)
+
+    found = pages.select(host("url").alias("host"), "html").mapInArrow(
+        of, "host string, skeleton string, path string, text long, n long"
+    )
+    total = F.when(F.col("skeleton").isNull(), F.max("n")).otherwise(F.sum("n"))
+    return found.groupBy("host", "skeleton", "path", "text").agg(total.alias("n"))
 
 
 def merged(rows: pa.Table) -> pa.Table:
@@ -405,7 +471,10 @@ def wrappers(pages: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """``host, wrapper`` (the expression as JSON), ``pages`` and ``region`` for every host of ``url, html``."""
     facts = staged(page_facts(pages))
     patterns = host_patterns(facts.where(F.col("path").isNull()).select("host", "skeleton", F.col("n").alias("pages")), at_once)
-    sizes = facts.where(F.col("path").isNotNull()).select("host", "path", "n")
+    texts = facts.where(F.col("path").isNotNull()).groupBy("host", "path").agg(F.sum("n").alias("n"))
+    parts = F.split("path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    sizes = texts.select("host", F.explode(prefixes).alias("path"), "n").groupBy("host", "path").agg(F.sum("n").alias("n"))
     totals = sizes.where("path = ''").select("host", F.col("n").alias("total"))
     # At most one path of each depth holds more than half of the text, so these lists are short.
     heavy = (

@@ -604,3 +604,50 @@ def test_pipeline_stages(spark):
     shards = corpus_pipeline.shard(spark, mix, sf).collect()
     assert len(shards) == mix.count()
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == set(ids)
+
+
+# --- wrappers that decide ---------------------------------------------------------------------------------------
+
+
+def test_deep_blocks_stay_apart_and_other_articles_stay_out(spark):
+    deep = "<div>" * 200 + "<p>one</p><p>two <b>x</b></p>three" + "</div>" * 200
+    texts = [prose(i, 60) for i in range(8)]
+    rows = [(i, "http://h.example/", f"<body><article class='post main'><p>{t}</p></article><article class='teaser'><p>More</p></article></body>") for i, t in enumerate(texts)]
+    rows += [(100, "http://deep.example/", deep), (101, "http://i.example/", "<div>" * 200 + "a <i>b</i> c" + "</div>" * 200)]
+    pages = spark.createDataFrame([(*r, "w", "s") for r in rows], "page_id long, url string, html string, wrapper string, skeleton string")
+    out = {r["page_id"]: r["text"] for r in wrappers.main_texts(pages).collect()}
+    assert out[100] == "one\n\ntwo x\n\nthree" and out[101] == "a b c"
+    assert [out[i] for i in range(8)] == texts
+
+
+def test_wrappers_decide_pages_without_names(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")  # some forty pages a host
+    plain = pages.withColumn("html", F.regexp_replace("html", r"<(/?)(article|main)\b", "<$1div"))
+    assert plain.where(F.lower("html").contains("<article")).count() == 0
+    assert rows(wrappers.main_texts(plain), "page_id", "text") == rows(wrappers.main_texts(pages), "page_id", "text")
+    regions = {r["host"]: r["region"] for r in wrappers.wrappers(pages).collect()}
+    for r in pages.select("html", wrappers.host("url").alias("host")).collect():
+        tree = wrappers.parsed(r["html"])
+        found = [b for n in wrappers.at_path(tree, regions[r["host"]]) for b in wrappers.blocks(n.children)]
+        assert regions[r["host"]] and found  # the wrapper's region, not the page's own name
+
+
+def test_constant_texts_do_not_make_a_region(spark):
+    """The template says far more than the articles do, but says the same on every page."""
+    legal = prose(1, 900)
+    rows_ = [(i, "http://h.example/", f"<div class='top'><p>{legal}</p></div><div class='text'><p>{prose(i + 5, 40)}</p></div>") for i in range(60)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string")
+    assert wrappers.wrappers(pages).first()["region"] == "/div.text"
+    assert {r["page_id"]: r["text"] for r in wrappers.main_texts(pages).collect()} == {i: prose(i + 5, 40) for i in range(60)}
+
+
+def test_long_and_unlike_sibling_lists():
+    long = [[f"m{i}", "1", []] for i in range(1500)]
+    other = [[f"m{i}" if i % 3 else f"n{i}", "1", []] for i in range(1500)]
+    found = wrappers.aligned(long, other)
+    kept = {x[0]: x[1] for x in found}
+    assert kept["m1"] == "1" and kept["m0"] == "?" and kept["n0"] == "?" and len(found) == 2000
+    assert len(wrappers.aligned(long, [[f"x{i}", "1", []] for i in range(1500)])) == 3000
+    group = [[f"g{i}", "1", []] for i in range(7)]
+    assert [x[1] for x in wrappers.folded(group * 3)] == ["+"] * 7 and len(wrappers.folded(group * 40)) == 7
+    assert wrappers.folded(["#", "#", "#"]) == ["#"] and wrappers.folded([]) == []
