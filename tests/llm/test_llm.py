@@ -637,7 +637,7 @@ def test_constant_texts_do_not_make_a_region(spark):
     legal = prose(1, 900)
     rows_ = [(i, "http://h.example/", f"<div class='top'><p>{legal}</p></div><div class='text'><p>{prose(i + 5, 40)}</p></div>") for i in range(60)]
     pages = spark.createDataFrame(rows_, "page_id long, url string, html string")
-    assert wrappers.wrappers(pages).first()["region"] == "/div.text"
+    assert wrappers.wrappers(pages).first()["region"].startswith("/div.text")
     assert {r["page_id"]: r["text"] for r in wrappers.main_texts(pages).collect()} == {i: prose(i + 5, 40) for i in range(60)}
 
 
