@@ -1,8 +1,13 @@
-"""Names of folders in the shared directory, through Spark's own file systems (any store that Spark reads)."""
+"""Folders in the shared directory: new ones, stored rows, and names through Spark's own file systems (any store that Spark reads)."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import functools
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(spark: SparkSession, path: str):
@@ -33,3 +38,25 @@ def committed(spark: SparkSession, path: str) -> bool:
 def remove_folder(spark: SparkSession, path: str) -> None:
     where, store = _at(spark, path)
     store.delete(where, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``; a local one only for a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_folder()
+    return f"{base.rstrip('/')}/gleanflow-{uuid.uuid4()}"
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="gleanflow-")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, written once."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

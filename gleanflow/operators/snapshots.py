@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gleanflow.contract import OUTBOX_STATUSES
 from gleanflow.operators import outbox as ob
-from gleanflow.operators.folders import committed, names_in, remove_folder
+from gleanflow.operators.folders import committed, names_in, remove_folder, staged
 
 REMOVED = "removed"
 COLUMNS = "id STRING, status STRING, attempts BIGINT, last_error STRING, updated_at STRING, target STRING, born BIGINT"
@@ -171,10 +171,13 @@ class Snapshots:
     def counts(self, later: DataFrame, manifest: Manifest | None = None) -> dict[str, int]:
         """Entries per status after the ``later`` events; reads these and the entries that they touch."""
         manifest = manifest or self.manifest()
-        before = self.lookup(later.select("id").distinct(), manifest)
-        steps = before.select("status", F.lit(-1).alias("n")).unionByName(
-            ob.outbox_state(later, before).select("status", F.lit(1).alias("n"))
-        )
+        later = staged(later)
+        known = staged(self.lookup(later.select("id").distinct(), manifest))
+        return self._changed_counts(manifest, known, ob.outbox_state(later, known))
+
+    def _changed_counts(self, manifest: Manifest, known: DataFrame, entries: DataFrame) -> dict[str, int]:
+        """Counts once the ``known`` entries have become ``entries``."""
+        steps = known.select("status", F.lit(-1).alias("n")).unionByName(entries.select("status", F.lit(1).alias("n")))
         change = dict(steps.groupBy("status").agg(F.sum("n")).collect())
         return {status: manifest.counts[status] + change.get(status, 0) for status in OUTBOX_STATUSES}
 
@@ -185,15 +188,18 @@ class Snapshots:
         before = self.manifest()
         if high <= before.high:
             return before
+        later = staged(later)
         touched = later.select("id").distinct()
-        entries = ob.outbox_state(later, self.lookup(touched, before))
+        known = staged(self.lookup(touched, before))
+        entries = ob.outbox_state(later, known)
         gone = touched.join(entries.select("id"), "id", "left_anti").select(
             "id", F.lit(REMOVED).alias("status"), F.lit(0).cast("bigint").alias("attempts"),
             *[F.lit(None).cast("string").alias(name) for name in ("last_error", "updated_at", "target")],
             F.lit(None).cast("bigint").alias("born"),
         )
-        counts = self.counts(later, before)
         levels = [self._write(entries.unionByName(gone), before.buckets), *before.levels]
+        newest = self._level(levels[0], before.buckets)
+        counts = before.counts | self._changed_counts(before, known, newest.where(F.col("status") != REMOVED))
         merged, rows = 1, levels[0].rows
         while merged < len(levels) and rows * SHARE >= levels[merged].rows:
             rows += levels[merged].rows

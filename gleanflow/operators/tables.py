@@ -6,10 +6,6 @@ crash replaces the same folder, so replays change nothing.
 
 from __future__ import annotations
 
-import functools
-import re
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -25,32 +21,10 @@ from gleanflow.contract import (
     utc_now,
 )
 from gleanflow.operators import outbox as ob
-from gleanflow.operators.folders import committed, names_in, remove_folder
+from gleanflow.operators.folders import committed, names_in, remove_folder, shared_folder, staged
 from gleanflow.operators.snapshots import Manifest, Snapshots
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a local one only for a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_folder()
-    return f"{base.rstrip('/')}/gleanflow-{uuid.uuid4()}"
-
-
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="gleanflow-")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, written once."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, path: str, schema: T.StructType, folders: list[str] | None = None) -> DataFrame:
     """The Parquet folder, or only some of its ``batch=`` folders; no rows while nothing was written yet."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.StringType(), True)])
