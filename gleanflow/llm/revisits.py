@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from gleanflow.functions.urls import canonical_url
 from gleanflow.llm.common import ordered, table
+from gleanflow.plans.oracles import PAGE_URI
 
 # The header fields that a 304 response may carry for an update (RFC 9110, 15.4.5; RFC 9111, 3.2).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age", "via", "warning")
@@ -165,3 +166,34 @@ def op5_warc_revisits(spark, sf_dir):
         F.sha1("payload").alias("payload_sha1"),
         F.length("payload").cast("long").alias("payload_chars"),
     )
+
+
+# The crawl from the pages themselves, and each revisit's base as the best of all earlier responses of its address.
+OP5_SQL = f"""
+with r as (
+  select page_id as p, url, html, {PAGE_URI} as uri, timestamp '2024-01-01' + to_minutes(page_id) as moment, sha1(html) as digest,
+    '"' || left(md5(html), 16) || '"' as etag, strftime(timestamp '2024-01-01' + to_minutes(page_id), '%Y-%m-%d %H:%M:%S') as date
+  from pages
+), v as (
+  select p, uri, moment + case when p % 5 = 0 then interval (-90) second else interval 30 second end as seen,
+    case p % 24 when 1 then '"other"' when 2 then null else etag end as etag, case p % 24 when 2 then '1999-01-01 00:00:00' else date end as modified,
+    case p % 24 when 3 then sha1(url) else digest end as digest
+  from r
+), based as (
+  select v.p, arg_max(r.p, {{'m': r.moment, 'p': r.p}}) as base from v join r on r.uri = v.uri and r.moment < v.seen group by v.p
+), told as (
+  select v.*, o.p as base, o.html, case when o.p is null then 'no_response' when v.etag <> o.etag then 'etag'
+    when v.etag is null and v.modified <> o.date then 'last_modified' when v.digest <> o.digest then 'digest' else 'resolved' end as outcome, o.etag as old_etag
+  from v left join based using (p) left join r as o on o.p = based.base
+)
+select 2 * p as record_id, p as page_id, uri as url, date as "at", 'response' as kind, 'response' as outcome, null::bigint as refers_to,
+  'content-type: text/html' || chr(10) || 'date: ' || date || chr(10) || 'etag: ' || etag || chr(10) || 'last-modified: ' || date as headers,
+  sha1(html) as payload_sha1, length(html) as payload_chars
+from r
+union all
+select 2 * p + 1, p, uri, strftime(seen, '%Y-%m-%d %H:%M:%S'), 'revisit', outcome, case when outcome = 'resolved' then 2 * base end,
+  'content-type: text/' || case when outcome = 'resolved' then 'html' else 'plain' end || chr(10) || 'date: ' || strftime(seen, '%Y-%m-%d %H:%M:%S')
+    || coalesce(chr(10) || 'etag: ' || coalesce(etag, case when outcome = 'resolved' then old_etag end), '') || chr(10) || 'last-modified: ' || modified,
+  case when outcome = 'resolved' then sha1(html) end, case when outcome = 'resolved' then length(html) end
+from told
+"""

@@ -403,3 +403,33 @@ def passes(texts: DataFrame, buckets: int, with_text: bool) -> DataFrame:
 
 def op8_radix_suffixes(spark, sf_dir):
     return deduplicated(table(spark, sf_dir, "documents"))
+
+
+# Every 50-byte string of every text, put together byte by byte.
+OP8_SQL = r"""
+with bytes as (
+  select doc_id, unnest(string_split(rtrim(regexp_replace(hex(encode(text)), '(..)', '\1,', 'g'), ','), ',')) as b,
+    generate_subscripts(string_split(rtrim(regexp_replace(hex(encode(text)), '(..)', '\1,', 'g'), ','), ','), 1) as pos
+  from documents where text <> ''
+), w2 as (select *, b || lead(b, 1) over d as s2 from bytes window d as (partition by doc_id order by pos)),
+w4 as (select *, s2 || lead(s2, 2) over d as s4 from w2 window d as (partition by doc_id order by pos)),
+w8 as (select *, s4 || lead(s4, 4) over d as s8 from w4 window d as (partition by doc_id order by pos)),
+w16 as (select *, s8 || lead(s8, 8) over d as s16 from w8 window d as (partition by doc_id order by pos)),
+w50 as (
+  select doc_id, pos, b, s16 || lead(s16, 16) over d || lead(s16, 32) over d || lead(s2, 48) over d as s50
+  from w16 window d as (partition by doc_id order by pos)
+), firsts as (select s50, min(doc_id) as doc from w50 where s50 is not null group by s50 having count(*) > 1
+), marked as (
+  select w.doc_id, pos, b, max(case when w.doc_id > f.doc then 1 else 0 end) over (
+    partition by w.doc_id order by pos rows between 49 preceding and current row) as gone
+  from w50 as w left join firsts as f using (s50)
+), edges as (select *, gone - coalesce(lag(gone) over (partition by doc_id order by pos), 0) as step from marked),
+told as (
+  select doc_id, sum(gone)::bigint as n_removed, count(*) filter (step = 1) as n_spans,
+    sha256(unhex(coalesce(string_agg(b, '' order by pos) filter (gone = 0), ''))) as kept_sha256
+  from edges group by doc_id
+)
+select doc_id, coalesce(octet_length(encode(text)), 0)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  coalesce(kept_sha256, sha256('')) as kept_sha256
+from documents left join told using (doc_id)
+"""
