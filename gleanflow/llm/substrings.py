@@ -163,9 +163,11 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.nd
     right = np.minimum(ends[text] - at - GRAM, SIDE)
     padded = np.concatenate((np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)))
     around = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[at]
+    # Near the ends of a text the bytes of its neighbours are blanked.
+    edge = np.flatnonzero((left < SIDE) | (right < SIDE))
     steps = np.arange(WIDTH)
-    inside = (steps >= SIDE - left[:, None]) & (steps < SIDE + GRAM + right[:, None])
-    return np.where(inside, around, 0).astype(np.uint8), left.astype(np.uint8), right.astype(np.uint8)
+    around[edge] *= (steps >= SIDE - left[edge, None]) & (steps < SIDE + GRAM + right[edge, None])
+    return around, left.astype(np.uint8), right.astype(np.uint8)
 
 
 def context_table(chunk: Chunk, wanted: np.ndarray):
@@ -195,12 +197,21 @@ def context_table(chunk: Chunk, wanted: np.ndarray):
     return h[one], body[one], left[one], right[one], least, (text, place, number)
 
 
+def alike(body: np.ndarray, rows: np.ndarray, others: np.ndarray, at: int) -> bool:
+    """True if each row's window, WINDOW bytes from ``at`` in its body, is that of the other row."""
+    wide = WINDOW // 8
+    words = np.ndarray((len(body), wide), "<u8", body, at, body.strides[:1] + (8,))
+    tail = slice(at + 8 * wide, at + WINDOW)
+    return bool((words[rows] == words[others]).all() and (body[rows, tail] == body[others, tail]).all())
+
+
 def late_windows(h, body, left, right, docs) -> np.ndarray:
     """For each context a mask of distances from window start to anchor at which a smaller document has the window too."""
     n = len(h)
     mask = np.zeros(n, np.uint32)
     if not n:
         return mask
+    body = np.ascontiguousarray(body)
     # Hashes of the j bytes before and after the anchor, for all j.
     before, after = np.zeros((SIDE + 1, n), np.uint64), np.zeros((SIDE + 1, n), np.uint64)
     for j in range(SIDE):
@@ -212,9 +223,10 @@ def late_windows(h, body, left, right, docs) -> np.ndarray:
             continue
         key = scrambled(before[distance, fits]) + np.uint64(ODD) * scrambled(after[SIDE - distance, fits] + h[fits])
         order, starts = per_value(key)
-        windows = body[fits[order], SIDE - distance : SIDE - distance + WINDOW]
-        differ = np.flatnonzero((windows[1:] != windows[:-1]).any(axis=1)) + 1
-        if not np.isin(differ, starts).all() or not np.isin(starts[1:], differ).all():
+        inside = np.ones(len(order), bool)
+        inside[starts] = False
+        same = np.flatnonzero(inside)
+        if not alike(body, fits[order[same]], fits[order[same - 1]], SIDE - distance):
             # Different windows of one hash: sorted by their bytes.
             bytes_ = np.ascontiguousarray(body[fits, SIDE - distance : SIDE - distance + WINDOW])
             order, starts = per_value(np.unique(bytes_.view((np.void, WINDOW)).ravel(), return_inverse=True)[1])
