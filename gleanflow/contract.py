@@ -41,13 +41,14 @@ CAPTURE_VERSION = "capture.v1"
 _S = T.StringType()
 
 
-def _struct(spec: str) -> T.StructType:
-    """``"a b? c"`` to struct of strings, ``?`` marks a nullable field."""
+def _texts(required: tuple[str, ...], optional: tuple[str, ...] = ()) -> T.StructType:
+    """A struct of strings; the optional ones may be null."""
     return T.StructType(
-        [T.StructField(name.rstrip("?"), _S, name.endswith("?")) for name in spec.split()]
+        [T.StructField(name, _S, False) for name in required] + [T.StructField(name, _S, True) for name in optional]
     )
 
 
+# The names of the record fields below.
 # ``metadata`` is a JSON object kept as text: it hashes, writes to every sink and
 # turns into a variant with ``parse_json`` where a rule has to look inside.
 CAPTURE_SCHEMA = T.StructType(
@@ -59,8 +60,8 @@ CAPTURE_SCHEMA = T.StructType(
         T.StructField("run_id", _S, True),
         T.StructField("observed_at", _S, False),
         T.StructField("captured_at", _S, False),
-        T.StructField("subject", _struct("kind uri title? url?"), False),
-        T.StructField("payload", _struct("kind text? raw_ref? content_hash? mime_type?"), False),
+        T.StructField("subject", _texts(("kind", "uri"), ("title", "url")), False),
+        T.StructField("payload", _texts(("kind",), ("text", "raw_ref", "content_hash", "mime_type")), False),
         T.StructField("note", _S, True),
         T.StructField("tags", T.ArrayType(_S, False), False),
         T.StructField("metadata", _S, False),
@@ -74,12 +75,12 @@ CAPTURE_SCHEMA = T.StructType(
             ),
             False,
         ),
-        T.StructField("provenance", _struct("trigger connector_version cursor?"), False),
+        T.StructField("provenance", _texts(("trigger", "connector_version"), ("cursor",)), False),
     ]
 )
 
-LISTING_SCHEMA = _struct("instance_id path type sha url?")
-BLOB_SCHEMA = _struct("sha encoding content?")
+LISTING_SCHEMA = _texts(("instance_id", "path", "type", "sha"), ("url",))
+BLOB_SCHEMA = _texts(("sha", "encoding"), ("content",))
 RESPONSE_SCHEMA = T.StructType(
     [
         T.StructField("url", _S, False),
@@ -92,7 +93,7 @@ RESPONSE_SCHEMA = T.StructType(
         T.StructField("ratelimit_reset", _S, True),
     ]
 )
-CHECKPOINT_FILES_SCHEMA = _struct("instance_id path sha?")
+CHECKPOINT_FILES_SCHEMA = _texts(("instance_id", "path"), ("sha",))
 CHECKPOINT_HEADER_SCHEMA = T.StructType(
     [
         T.StructField("instance_id", _S, False),

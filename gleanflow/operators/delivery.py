@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gleanflow.contract import CAPTURE_SCHEMA, DEFAULT_TIMEOUT_MS, FILE_LEVELS, OUTBOX_STATUSES, PUSH_LEVELS
 from gleanflow.operators.outbox import file_order
-from gleanflow.operators.tables import shared_folder
+from gleanflow.operators.tables import staged
 
 OUTCOME_SCHEMA = "id string, status string, error string"
 EXCERPT_UNITS = 200
@@ -39,7 +39,7 @@ class Target:
 
 
 def skip_reason(level: Column, accepted: Sequence[str] | Column) -> Column:
-    """Why a capture of this privacy level is held back; null when it may go out."""
+    """Why a capture of this privacy level is held back (fixed wording); null when it may go out."""
     allowed = accepted if isinstance(accepted, Column) else F.array(*[F.lit(x) for x in accepted])
     return F.when(
         ~F.array_contains(allowed, level),
@@ -83,9 +83,7 @@ def nth_key(keys: DataFrame, n: int, ranges: int | None = None) -> Column:
     range are then sorted, so no task holds more than one range whatever ``n`` is. The keys are stored first and computed once.
     """
     spark = keys.sparkSession
-    stage = shared_folder(spark)
-    keys.write.parquet(stage)
-    keys = spark.read.schema(keys.schema).parquet(stage)
+    keys = staged(keys)
     found = (
         keys.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
         .groupBy(F.spark_partition_id().alias("part"))
@@ -108,9 +106,13 @@ def sync_plan(
     ids: DataFrame | None = None,
     ranges: int | None = None,
     reason: Column | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Visited entries with ``reason`` (null: deliver). Needs columns ``id`` and ``level``.
 
+    ``keep`` names the columns of the result besides the reason; with a limit these narrow rows are then stored, so that entries are
+    found out once and not again for the cut.
+
     ``reason`` replaces the privacy gate by the rule of a custom target.
 
     With a limit, the visit stops at the n-th accepted entry in file order; later entries are
@@ -121,8 +123,12 @@ def sync_plan(
     visited = select_ids(pending, ids).withColumn(
         "reason", skip_reason(F.col("level"), accepted) if reason is None else reason
     )
+    if keep is not None:
+        visited = visited.select(*keep, "reason")
     if limit is None:
         return visited
+    if keep is not None:
+        visited = staged(visited)
     keys = visited.where(F.col("reason").isNull()).select(file_order(F.col("id")).alias("key"))
     cutoff = nth_key(keys, limit, ranges)
     return visited.where(file_order(F.col("id")) <= F.coalesce(cutoff, file_order(F.col("id"))))
@@ -243,7 +249,7 @@ class Webhook:
         return Webhook(**given)
 
     def resolved(self) -> tuple[dict[str, str], str | None]:
-        """Headers of every request, and what keeps them from being complete."""
+        """Headers of every request, and what keeps them from being complete (fixed wording)."""
         fixed = {"content-type": "application/json", "user-agent": "gleanflow"}
         token = os.environ.get(self.token_env, "").strip() if self.token_env else ""
         missing = f"Environment variable {self.token_env} is not set" if self.token_env and not token else None

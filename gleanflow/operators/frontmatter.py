@@ -1,8 +1,8 @@
 """Front matter of documents as rows: leaves, tags, JSON and rejects.
 
-The block is split into an array of lines inside its row and folded with ``aggregate``,
-so parsing needs no shuffle and no Python. A block that is not understood yields a reject
-with line and reason; it never loses data silently.
+The block is split into an array of lines inside its row, the lines into sections of one top-level key each, and every section is folded
+with ``aggregate``. A section's state is small, so the cost grows with the lines; parsing needs no shuffle and no Python.
+A block that is not understood yields a reject with line and reason (fixed wording); it never loses data silently.
 """
 
 from __future__ import annotations
@@ -646,6 +646,24 @@ def _start(first: Column) -> Column:
     ).cast(_STATE)
 
 
+def _sections(lines: Column, indent: Column) -> Column:
+    """The lines of each top-level key. Items of a list may stand below their key without being indented further."""
+    begins = F.filter(
+        F.transform(
+            lines,
+            lambda line, i: F.when((line["content"] != "") & (line["indent"] == indent) & ~_dash(line["content"]), i),
+        ),
+        lambda i: i.isNotNull(),
+    )
+    return _let(
+        begins,
+        lambda starts: F.transform(
+            starts,
+            lambda start, i: F.slice(lines, start + 1, F.coalesce(F.get(starts, i + 1), F.size(lines)) - start),
+        ),
+    )
+
+
 def _parse_lines(lines: Column) -> Column:
     """Struct ``(leaves, error)`` of an array of lines."""
     done = "struct<leaves:array<" + _LEAF + ">,error:struct<line:int,reason:string>>"
@@ -659,23 +677,45 @@ def _parse_lines(lines: Column) -> Column:
     def problem(line: Column, reason: str) -> Column:
         return F.struct(line["line"].alias("line"), F.lit(reason).alias("reason"))
 
-    def fold(first: Column) -> Column:
-        end = lambda state: _let(
-            _close_open(state),
-            lambda closed: _let(
-                _close_block(closed),
-                lambda last: F.when(last["error"].isNotNull(), result(nothing, last["error"])).otherwise(
-                    result(last["leaves"], no_error)
-                ),
+    end = lambda state: _let(
+        _close_open(state),
+        lambda closed: _let(
+            _close_block(closed),
+            lambda last: F.when(last["error"].isNotNull(), result(nothing, last["error"])).otherwise(
+                result(last["leaves"], no_error)
             ),
+        ),
+    )
+
+    def joined(parts: Column) -> Column:
+        """The first error, or the leaves of all sections; of a top-level key that comes again, only the last section's."""
+        broken = F.get(F.filter(parts, lambda part: part["error"].isNotNull()), F.lit(0))
+        # Every section has a leaf, as empty values and collections are leaves too.
+        names = F.transform(
+            parts, lambda part: F.coalesce(F.get(F.get(part["leaves"], F.lit(0))["path"], F.lit(0)), F.lit(""))
         )
+
+        def kept(names: Column) -> Column:
+            last = lambda part, i: ~F.array_contains(
+                F.slice(names, i + 2, F.size(names)), F.get(names, i)
+            )
+            return F.flatten(F.transform(F.filter(parts, last), lambda part: part["leaves"]))
+
+        return _let(broken, lambda bad: F.when(bad.isNotNull(), result(nothing, bad["error"])).otherwise(result(_let(names, kept), no_error)))
+
+    def fold(first: Column) -> Column:
         return (
             F.when(first.isNull(), result(nothing, no_error))
             .when(
                 _dash(first["content"]),
                 result(nothing, problem(first, "the document must be a mapping, not a sequence")),
             )
-            .otherwise(F.aggregate(lines, _start(first), _step, end))
+            .otherwise(
+                _let(
+                    F.transform(_sections(lines, first["indent"]), lambda part: F.aggregate(part, _start(first), _step, end)),
+                    joined,
+                )
+            )
         )
 
     tabbed = F.get(F.filter(lines, lambda line: line["tab"]), F.lit(0))

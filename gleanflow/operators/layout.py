@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanflow.operators.folders import staged
+
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy column work as many tasks as the cluster has cores.
@@ -47,6 +49,16 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+# Rows of keys that go to all tasks at most: some 8 MB of hashes.
+FEW_KEYS = 100_000
+
+
+def sent_if_few(keys: DataFrame) -> DataFrame:
+    """The keys, stored and counted; few of them go to all tasks, so that the rows they pick stay where they are until then."""
+    keys = staged(keys)
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+
+
 def hot_key_join(
     many: DataFrame,
     one: DataFrame,
@@ -58,11 +70,11 @@ def hot_key_join(
     """Inner join of narrow ``many`` with wide ``one`` (unique on ``on``), exact under skew.
 
     The keys of ``many`` are counted first (partial aggregation, narrow). They pick the rows of ``one`` that are needed at
-    all, and only those meet ``prepare`` and the second shuffle; a row is repeated once per ``rows_per_task`` partners.
+    all, and only those meet ``prepare`` and a shuffle if the keys are few; a row is repeated once per ``rows_per_task`` partners.
     ``many`` is read three times, so pass a stored table.
     """
     fan = F.ceil(F.count("*") / rows_per_task).cast("int").alias("_fan")
-    needed = many.groupBy(on).agg(fan)
+    needed = sent_if_few(many.groupBy(on).agg(fan))
     hot = needed.where(F.col("_fan") > 1)
     left = (
         many.join(hot, on, "left")

@@ -1,6 +1,7 @@
 """Independent SQL for registered queries, written for DuckDB.
 
 Inputs come from the shared mapping in ``fixtures``; the operators are written again in plain SQL.
+Messages in it are fixed wording.
 """
 
 from __future__ import annotations

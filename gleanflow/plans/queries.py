@@ -496,7 +496,7 @@ def privacy_gate(spark, sf):
 
 
 def sync_limit(spark, sf):
-    return dl.sync_plan(_pending(spark, sf), PUSH_TARGET.accepted, limit=SYNC_LIMIT).select("id", "level", "reason")
+    return dl.sync_plan(_pending(spark, sf), PUSH_TARGET.accepted, limit=SYNC_LIMIT, keep=("id", "level"))
 
 
 def sync_ids(spark, sf):

@@ -297,7 +297,7 @@ def sync(
     spark = outbox.spark
     batch = outbox.unused_batch(batch)
     reason = None if deliverer is None else deliverer.accepts()
-    plan = dl.sync_plan(outbox.pending(), target.accepted, limit, ids, reason=reason).select("id", "seq", "reason")
+    plan = dl.sync_plan(outbox.pending(), target.accepted, limit, ids, reason=reason, keep=("id", "seq"))
     if waves > 1:
         plan = plan.repartitionByRange(waves, dl.file_order(F.col("id")))
     plan = staged(plan.withColumn("wave", F.spark_partition_id() if waves > 1 else F.lit(0)))

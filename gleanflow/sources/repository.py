@@ -9,7 +9,7 @@ from gleanflow.contract import CAPTURE_VERSION, DEFAULT_CONTENT_DIR, PRIVACY_LEV
 from gleanflow.functions import text as tx
 from gleanflow.functions import urls
 from gleanflow.operators import frontmatter as fm
-from gleanflow.operators.layout import computed, hot_key_join
+from gleanflow.operators.layout import computed, hot_key_join, sent_if_few
 from gleanflow.sources.web import capture_id, with_optional
 
 REPOSITORY_MANIFEST = Manifest(
@@ -115,7 +115,7 @@ def readable_blobs(blobs: DataFrame) -> DataFrame:
 
 def missing_blobs(changed: DataFrame, blobs: DataFrame) -> DataFrame:
     """Changed files whose blob is absent or unreadable. Only blobs of changed files are decoded."""
-    needed = changed.select("sha").distinct()
+    needed = sent_if_few(changed.select("sha").distinct())
     readable = readable_blobs(blobs.join(needed, "sha", "left_semi")).select("sha")
     return changed.join(readable, "sha", "left_anti").select(
         "instance_id", "path", "sha", F.concat(F.lit("blob is missing or unreadable: "), F.col("sha")).alias("problem")

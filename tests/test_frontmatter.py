@@ -118,3 +118,32 @@ def test_leaf_rows(spark):
         (1, "a[0].n", 0, "1", "number", 2),
         (1, "b", 1, "x", "string", 3),
     ]
+
+
+def test_sections_of_repeated_empty_and_late_keys(spark):
+    def leaves(block):
+        docs = spark.createDataFrame([(1, f"---\n{block}\n---\n")], "doc_id long, text string")
+        return [(r["key_path"], r["value"], r["value_type"]) for r in fm.frontmatter_leaves(docs).orderBy("ordinal").collect()]
+
+    assert leaves("a: 1\nb: 2\na: 3") == [("b", "2", "number"), ("a", "3", "number")]
+    assert [p for p, _, _ in leaves("a:\n  x: 1\n  y: 2\nb: 1\na: []")] == ["b", "a"]
+    assert [p for p, _, _ in leaves("a:\n  x: 1\n\"a\": {}\nb:")] == ["a", "b"]
+    assert leaves("\n\n# c\na:\n- 1\n- 2\n\nb: |\n  # no comment\n\n  x\n# end\nc: ''") == [
+        ("a[0]", "1", "number"), ("a[1]", "2", "number"), ("b", "# no comment\n\nx", "string"), ("c", "", "string"),
+    ]
+    assert leaves("  a: 1\n  b: 2") == [("a", "1", "number"), ("b", "2", "number")]
+
+
+def test_cost_grows_with_the_lines(spark):
+    import time
+
+    def seconds(keys):
+        block = "\n".join(f"key{i}: {i}" if i % 3 else f"map{i}:\n  sub: {i}" for i in range(keys))
+        docs = spark.createDataFrame([(i, f"---\n{block}\n---\n") for i in range(8)], "doc_id long, text string").repartition(4)
+        assert fm.frontmatter_leaves(docs).count() == 8 * keys
+        start = time.perf_counter()
+        fm.frontmatter_leaves(docs).count()
+        return time.perf_counter() - start
+
+    seconds(20)
+    assert seconds(2000) < 12 * seconds(200)
