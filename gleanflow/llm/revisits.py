@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanflow.functions.urls import canonical_url
-from gleanflow.llm.common import ordered, table
+from gleanflow.llm.common import ordered, staged, table
 from gleanflow.plans.oracles import PAGE_URI
 
 # The header fields that a 304 response may carry for an update (RFC 9110, 15.4.5; RFC 9111, 3.2).
@@ -59,6 +59,8 @@ def resolve(records: DataFrame) -> DataFrame:
         lowered(F.col("headers")).alias("headers"),
         "digest",
     )
+    # Stored once: the range partitioning looks at its rows twice.
+    narrow = staged(narrow)
     full = F.col("kind") == "response"
     # Revisits come before responses of their time: these are not earlier.
     rows = ordered(
