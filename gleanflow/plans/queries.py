@@ -753,8 +753,12 @@ def sync_custom(spark, sf):
 
 
 def _stream_table(spark, sf, name):
+    """A given table as a stream, be it one file or a folder of files.
+
+    A stream takes a single file only by a pattern, so the last letter of its name is one.
+    """
     schema = fx.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("basePath", sf).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _stream_responses(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gleanflow.contract import CAPTURE_SCHEMA, CHECKPOINT_FILES_SCHEMA, CHECKPOINT_HEADER_SCHEMA
 from gleanflow.operators.tables import Checkpoints, Outbox
 from gleanflow.plans import fixtures as fx
+from gleanflow.plans import queries as q
 from gleanflow.streaming import pipelines
 from test_snapshots import capture_rows
 
@@ -106,3 +107,33 @@ def test_checkpoints_write_changed_instances_only(spark, tmp_path):
     assert state.forget(keep=1) == [1, 2]
     assert state.compact() == 4 and held() == [("a", "p/x", "t1"), ("a", "p/y", "t1"), ("b", "p/q", "")]
     assert state.forget(keep=1) == [0, 3] and len(held()) == 3 and state.next_version() == 5
+
+
+def table_folder(spark, sf, name, rows):
+    """A table as a folder of two files, as larger tables come."""
+    rows.repartition(2).write.parquet(f"{sf}/{name}.parquet")
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    sf = str(tmp_path)
+    pages = [(n, f"https://{n}.example/", "<title>t</title><p>" + "x" * n + "</p>") for n in range(1, 31)]
+    table_folder(spark, sf, "pages", spark.createDataFrame(pages, "page_id long, url string, html string"))
+    documents = [(n, f"text {n}", ("en", "fr", "de", "es")[n % 4], f"src{n % 3}", 500) for n in range(1, 31)]
+    table_folder(spark, sf, "documents", spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long"))
+    table_folder(spark, sf, "labels", spark.createDataFrame([(n, n % 2, 0) for n in range(1, 31, 3)], "doc_id long, quality long, toxic long"))
+    everything = lambda df: sorted(map(str, df.collect()))
+    captures = everything(q.stream_captures(spark, sf))
+    assert captures == everything(q.web_captures_query(spark, sf)) and len(captures) == 30
+    counts = {r["problem"]: r["n"] for r in q.stream_rejects(spark, sf).groupBy("problem").agg(F.sum("pages").alias("n")).collect()}
+    assert len(counts) > 1 and sum(counts.values()) == 30
+    assert everything(q.stream_changes(spark, sf)) == everything(q.stream_changes_split(spark, sf)) != []
+    assert q.stream_enqueue(spark, sf).count() == q.stream_sync(spark, sf).count() == 30
+
+
+def test_streams_read_tables_that_are_files(spark, tmp_path):
+    for name, ids in (("pages", [1, 2]), ("pages2", [3])):
+        rows = spark.createDataFrame([(n, f"https://{n}.example/", "<p>x</p>") for n in ids], "page_id long, url string, html string")
+        rows.coalesce(1).write.parquet(str(tmp_path / "parts" / name))
+        (file,) = (tmp_path / "parts" / name).glob("*.parquet")
+        (tmp_path / f"{name}.parquet").write_bytes(file.read_bytes())
+    assert sorted(r["url"] for r in q.stream_captures(spark, str(tmp_path)).collect()) == ["https://1.example/", "https://2.example/"]
