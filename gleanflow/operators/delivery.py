@@ -10,12 +10,12 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleanflow.contract import CAPTURE_SCHEMA, DEFAULT_TIMEOUT_MS, FILE_LEVELS, OUTBOX_STATUSES, PUSH_LEVELS
+from gleanflow.operators.folders import names_in, remove_folder, shared_folder, staged
 from gleanflow.operators.outbox import file_order
-from gleanflow.operators.tables import staged
 
 OUTCOME_SCHEMA = "id string, status string, error string"
 EXCERPT_UNITS = 200
@@ -230,6 +230,44 @@ def push_captures(
     return payloads.select("id", "value").mapInPandas(run_lane, OUTCOME_SCHEMA)
 
 
+# Bytes of payloads that a lane sends in one step, so that no task holds more.
+STEP_BYTES = 64 << 20
+
+
+def push_in_steps(
+    payloads: DataFrame,
+    send: Callable[[str, str], str | None] | None = None,
+    lanes: int | None = 1,
+    connect: Callable[[], Callable[[str, str], str | None]] | None = None,
+    step_bytes: int | None = None,
+) -> DataFrame:
+    """Outcomes of :func:`push_captures` for payloads of any size; all are sent and the outcomes stored when this returns.
+
+    Payloads are stored in ranges of the file order, about ``step_bytes`` (by default ``STEP_BYTES``) a lane, and these go out one after the other. So there are
+    never more than ``lanes`` sends at once, and no task reads more than its lane of one range, however much there is to send.
+    """
+    if lanes is None:
+        return staged(push_captures(payloads, send, None, connect))
+    spark, size = payloads.sparkSession, Observation()
+    given, ranges, outcomes = (shared_folder(spark) for _ in range(3))
+    held = F.octet_length("id") + F.octet_length("value")
+    payloads = payloads.select("id", "value")
+    payloads.observe(size, F.sum(held).alias("bytes")).write.parquet(given)
+    rows = spark.read.schema(payloads.schema).parquet(given)
+    steps = -(-(size.get["bytes"] or 0) // ((step_bytes or STEP_BYTES) * lanes))
+    if steps <= 1:
+        push_captures(rows, send, lanes, connect).write.parquet(f"{outcomes}/step=0")
+    else:
+        cut = rows.repartitionByRange(steps, file_order(F.col("id"))).withColumn("step", F.spark_partition_id())
+        cut.write.partitionBy("step").parquet(ranges)
+        for step in sorted(int(name[5:]) for name in names_in(spark, ranges) if name.startswith("step=")):
+            part = spark.read.schema(rows.schema).parquet(f"{ranges}/step={step}")
+            push_captures(part, send, lanes, connect).write.parquet(f"{outcomes}/step={step}")
+        remove_folder(spark, ranges)
+    remove_folder(spark, given)
+    return spark.read.schema(OUTCOME_SCHEMA).parquet(outcomes).drop("step")
+
+
 @dataclass(frozen=True)
 class Webhook:
     """An endpoint that takes one capture per POST.

@@ -512,7 +512,7 @@ def _try_send(identifier: str, value: str) -> str | None:
 def _outcomes(spark, sf):
     plan = dl.sync_plan(_pending(spark, sf), PUSH_TARGET.accepted)
     payload = plan.where(F.col("reason").isNull()).select("id", F.to_json(F.struct("id", "level")).alias("value"))
-    return plan, dl.push_captures(payload, _try_send)
+    return plan, dl.push_in_steps(payload, _try_send)
 
 
 def push_outcomes(spark, sf):

@@ -311,7 +311,7 @@ def sync(
         elif target.kind == "file":
             done = dl.exported(accepted, f"{target.config['directory'].rstrip('/')}/batch={name}")
         else:
-            done = dl.push_captures(
+            done = dl.push_in_steps(
                 accepted.select("id", dl.capture_json().alias("value")), send, lanes, None if send else dl.Webhook.of(target).connect
             )
         outbox.append(dl.outcome_events(done, target.id, F.lit(0), F.lit(utc_now())), name)

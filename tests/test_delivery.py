@@ -212,3 +212,23 @@ def test_gate_and_limit_read_no_bodies(spark, tmp_path):
     shown = plan._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in shown and "payload" not in shown and "metadata" not in shown
     assert plan.where("reason is null").count() == 1
+
+
+def test_a_lane_sends_in_order_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    outbox = Outbox(spark, shared_folder(spark))
+    assert outbox.enqueue(captures(spark, ["public"] * 60), "b1") == 60
+    sent = tmp_path / "sent"
+
+    def send(identifier, value):
+        from pyspark import TaskContext
+
+        with open(sent, "a") as log:
+            log.write(f"{TaskContext.get().taskAttemptId()} {identifier}\n")
+        return "no" if identifier.endswith("0") else None
+
+    monkeypatch.setattr(dl, "STEP_BYTES", 4_000, raising=False)
+    outcomes = {r["id"]: r["outcome"] for r in sync(outbox, PUSH, "s1", send=send).collect()}
+    tasks, ids = zip(*[line.split() for line in sent.read_text().splitlines()], strict=True)
+    assert list(ids) == sorted(ids, key=lambda i: i + ".json") and len(set(ids)) == 60
+    assert len(set(tasks)) > 5 and max(tasks.count(t) for t in tasks) < 30
+    assert outcomes == {i: "failed" if i.endswith("0") else "delivered" for i in ids}
