@@ -8,6 +8,7 @@ a SQL null, a JSON null is a variant null.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,8 @@ _JSON_TYPES = {
 def json_class(value: Column) -> Column:
     """``object, array, string, number, boolean, null`` of a variant; null when missing."""
     names = F.create_map(*[F.lit(text) for pair in _JSON_TYPES.items() for text in pair])
-    return F.try_element_at(names, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
+    name = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+    return F.try_element_at(names, name)
 
 
 def member(value: Column, key: str) -> Column:
@@ -51,7 +53,7 @@ def member(value: Column, key: str) -> Column:
 
 
 def as_text(value: Column) -> Column:
-    return F.when(json_class(value) == "string", F.try_variant_get(value, "$", "string"))
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def as_number(value: Column) -> Column:
@@ -261,26 +263,40 @@ def config_errors(configs: DataFrame, schema: dict, key: str, config: str = "con
 # --- capture contract -------------------------------------------------------------------
 
 
-def capture_problem(value: Column, version: str = CAPTURE_VERSION) -> Column:
-    """First broken rule of the capture contract, null for a valid capture."""
+_MEMBERS = ("subject", "payload", "privacy", "tags", "metadata")
+
+
+def with_capture_problem(rows: DataFrame, capture: str, version: str = CAPTURE_VERSION) -> DataFrame:
+    """Adds ``problem``: what keeps a variant column from being JSON or a valid capture, the first broken rule; null for a valid one.
+
+    Members and their types are found out once per row, before the rules ask for them.
+    """
+    value, part = F.col(capture), lambda name: F.col(f"_part_{name}")
+    found = computed(rows, *[member(value, name).alias(f"_part_{name}") for name in _MEMBERS])
+    inner = {"kind": ("subject", "payload"), "level": ("privacy",)}
+    leaves = [member(part(owner), name).alias(f"_part_{owner}_{name}") for name, owners in inner.items() for owner in owners]
+    found = computed(found, *leaves)
+    problem = F.when(value.isNull(), "not valid JSON").otherwise(_capture_problem(value, part, version))
+    return computed(found, problem.alias("problem")).select(*rows.columns, "problem")
+
+
+def _capture_problem(value: Column, part: Callable[[str], Column], version: str) -> Column:
     filled = lambda key: F.coalesce(as_text(member(value, key)) != "", F.lit(False))
-    subject, payload, privacy = (member(value, key) for key in ("subject", "payload", "privacy"))
     nested = lambda column: json_class(column).isin("object", "array")
-    tags, metadata = member(value, "tags"), member(value, "metadata")
 
     return first_broken(
-        object=json_class(value).isin("object", "array"),
+        object=nested(value),
         schema=as_text(member(value, "schema_version")) == version,
         keys=filled("id") & filled("connector") & filled("observed_at") & filled("captured_at"),
-        subject=nested(subject)
-        & is_truthy(member(subject, "kind"))
-        & F.coalesce(as_text(member(subject, "uri")) != "", F.lit(False)),
-        payload=nested(payload) & is_truthy(member(payload, "kind")),
-        privacy=nested(privacy) & is_truthy(member(privacy, "level")),
-        level=as_text(member(privacy, "level")).isin(*PRIVACY_LEVELS),
-        tags=(json_class(tags) == "array")
-        & F.forall(F.coalesce(elements(tags), F.array().cast("array<variant>")), lambda t: json_class(t) == "string"),
-        metadata=json_class(metadata) == "object",
+        subject=nested(part("subject"))
+        & is_truthy(part("subject_kind"))
+        & F.coalesce(as_text(member(part("subject"), "uri")) != "", F.lit(False)),
+        payload=nested(part("payload")) & is_truthy(part("payload_kind")),
+        privacy=nested(part("privacy")) & is_truthy(part("privacy_level")),
+        level=as_text(part("privacy_level")).isin(*PRIVACY_LEVELS),
+        tags=(json_class(part("tags")) == "array")
+        & F.forall(F.coalesce(elements(part("tags")), F.array().cast("array<variant>")), lambda t: json_class(t) == "string"),
+        metadata=json_class(part("metadata")) == "object",
     )
 
 
@@ -292,7 +308,7 @@ def first_broken(**holds: Column) -> Column:
 
 
 def row_problem(version: str = CAPTURE_VERSION) -> Column:
-    """:func:`capture_problem` of a typed capture row; its types already say that it is an object."""
+    """The problem of :func:`with_capture_problem` for a typed capture row; its types already say that it is an object."""
     filled = lambda name: F.col(name) != ""
     return first_broken(
         schema=F.col("schema_version") == version,
@@ -308,11 +324,8 @@ def row_problem(version: str = CAPTURE_VERSION) -> Column:
 
 def capture_rejects(documents: DataFrame, key: str, capture: str, version: str = CAPTURE_VERSION) -> DataFrame:
     """Rows ``(key, problem)`` of JSON texts that are no valid capture."""
-    parsed = documents.select(key, F.try_parse_json(F.col(capture)).alias("_value"))
-    problem = F.when(F.col("_value").isNull(), "not valid JSON").otherwise(
-        capture_problem(F.col("_value"), version)
-    )
-    return computed(parsed, problem.alias("problem")).select(key, "problem").where(F.col("problem").isNotNull())
+    parsed = computed(documents.select(key, capture), F.try_parse_json(F.col(capture)).alias("_value"))
+    return with_capture_problem(parsed, "_value", version).select(key, "problem").where(F.col("problem").isNotNull())
 
 
 # --- instance and target rows ---------------------------------------------------------------

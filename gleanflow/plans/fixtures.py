@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanflow.contract import RunContext
-from gleanflow.operators.layout import spread
+from gleanflow.operators.layout import spread, spread_rows
 
 RUN = RunContext(run_id="run_fixed", trigger="schedule", now="2024-02-01T03:00:00.000Z")
 
@@ -211,7 +211,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "events"), "event_id")
+    return spread_rows(table(spark, sf_dir, "events"), "event_id")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

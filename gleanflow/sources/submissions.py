@@ -9,7 +9,7 @@ from gleanflow.contract import CAPTURE_ID_PREFIX, CAPTURE_SCHEMA, CAPTURE_VERSIO
 from gleanflow.functions import text as tx
 from gleanflow.functions import urls
 from gleanflow.operators.layout import computed
-from gleanflow.operators.rules import capture_problem
+from gleanflow.operators.rules import with_capture_problem
 from gleanflow.operators.tables import Outbox, staged
 from gleanflow.sources.web import with_optional
 
@@ -114,9 +114,8 @@ def manual_captures(
 # --- capture import -------------------------------------------------------------------
 
 
-def unwrap_capture(json: Column) -> Column:
-    """Variant of a capture, or of the capture inside an envelope; null for broken JSON."""
-    value = F.try_parse_json(json)
+def unwrap_capture(value: Column) -> Column:
+    """The capture inside an envelope, or the variant itself."""
     wrapped = F.variant_get(value, "$.capture", "variant")
     return F.when(
         F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.coalesce(wrapped, value)
@@ -126,22 +125,17 @@ def unwrap_capture(json: Column) -> Column:
 def read_captures(
     documents: DataFrame, json: str = "value", version: str = CAPTURE_VERSION
 ) -> DataFrame:
-    """Adds ``capture`` (struct) and ``problem`` to rows that hold one JSON text each."""
-    unwrapped = documents.withColumn("_capture", unwrap_capture(F.col(json)))
-    checked = computed(
-        unwrapped,
-        F.when(F.col("_capture").isNull(), "not valid JSON")
-        .otherwise(capture_problem(F.col("_capture"), version))
-        .alias("problem"),
-    )
-    metadata = F.to_json(F.variant_get("_capture", "$.metadata", "variant"))
-    parsed = F.from_json(F.to_json(F.col("_capture")), _IMPORT_SCHEMA)
-    fields = [
-        (metadata if name == "metadata" else parsed[name]).alias(name) for name in CAPTURE_SCHEMA.names
-    ]
-    return checked.withColumn(
-        "capture", F.when(F.col("problem").isNull(), F.struct(*fields))
-    ).drop("_capture")
+    """Adds ``capture`` (struct) and ``problem`` to rows that hold one JSON text each.
+
+    Each text is parsed once, and once more as a typed row if it is a capture.
+    """
+    value = computed(documents, F.try_parse_json(F.col(json)).alias("_value"))
+    checked = with_capture_problem(computed(value, unwrap_capture(F.col("_value")).alias("_capture")), "_capture", version)
+    good = F.when(F.col("problem").isNull(), F.col("_capture"))
+    metadata = F.to_json(F.variant_get(good, "$.metadata", "variant"))
+    read = computed(checked, F.from_json(F.to_json(good), _IMPORT_SCHEMA).alias("_typed"))
+    fields = [(metadata if name == "metadata" else F.col("_typed")[name]).alias(name) for name in CAPTURE_SCHEMA.names]
+    return read.withColumn("capture", F.when(F.col("problem").isNull(), F.struct(*fields))).drop("_value", "_capture", "_typed")
 
 
 # Metadata has any shape; it is taken from the variant and left out of the typed read.

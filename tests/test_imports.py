@@ -2,6 +2,7 @@
 
 import json
 
+from gleanflow.operators.layout import spread_rows
 from gleanflow.operators.tables import Outbox
 from gleanflow.sources import submissions as sub
 from test_snapshots import capture_rows, id_rows
@@ -57,3 +58,17 @@ def test_capture_files(spark, tmp_path):
     (tmp_path / "bad.json").write_text("[]")
     found = {r["file_name"]: (r["problem"], r["capture"] and r["capture"]["id"]) for r in sub.read_capture_files(spark, str(tmp_path)).collect()}
     assert found["one.json"] == (None, "one") and found["bad.json"][0] and found["bad.json"][1] is None
+
+
+def test_narrow_rows_are_spread_by_their_number(spark, tmp_path):
+    spark.range(0, 5000, 1, 1).write.parquet(str(tmp_path / "t"))  # one row group: one split reads it all
+    scan = spark.read.option("maxPartitionBytes", "1").parquet(str(tmp_path / "t"))
+    parts = [len(p) for p in spread_rows(scan, "id", rows=250).rdd.glom().collect()]
+    assert len(parts) == 20 and sum(parts) == 5000 and max(parts) < 400
+
+
+def test_a_capture_is_read_once(spark):
+    rows = sub.read_captures(spark.createDataFrame([(json.dumps(capture("one")),)], "value string"))
+    plan = rows.select("problem", "capture.id", "capture.subject.uri", "capture.tags")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("parseJson(") == 1
+    assert rows.first()["capture"]["subject"]["uri"] == "u/one"
